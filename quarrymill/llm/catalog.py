@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, packing
+from quarrymill.llm import bpe, names, packing
 from quarrymill.runtime import table
 
 CAPACITY = 2048
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.map_values(table(spark, sf_dir, "skills"), table(spark, sf_dir, "canonical_values"))
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names no entry, with how often it was typed."""
+    found = p3_found(spark, sf_dir).where("reference_id = 0")
+    values = names._values(table(spark, sf_dir, "skills"))
+    return found.join(values, ["skill_id", "field", "pos"]).groupBy("field", "value").agg(F.count("*").alias("times"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "text", ("doc_id",))
 
@@ -19,6 +31,6 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_packed": p7_packed}
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 ORACLES: dict[str, str] = {}
