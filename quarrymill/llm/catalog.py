@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, names, packing
+from quarrymill.llm import bpe, licences, names, packing
 from quarrymill.runtime import table
 
 CAPACITY = 2048
@@ -22,6 +22,10 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(values, ["skill_id", "field", "pos"]).groupBy("field", "value").agg(F.count("*").alias("times"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.decide(*(table(spark, sf_dir, t) for t in ("repositories", "skills", "skill_files", "canonical_values")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "text", ("doc_id",))
 
@@ -31,6 +35,6 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_ids": p6_ids, "p7_packed": p7_packed}
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 ORACLES: dict[str, str] = {}
