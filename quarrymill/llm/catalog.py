@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, licences, names, packing
+from quarrymill.llm import bpe, licences, names, packing, sentences
 from quarrymill.runtime import table
 
 CAPACITY = 2048
@@ -35,6 +35,10 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 
 ORACLES: dict[str, str] = {}
