@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, licences, names, packing, sentences
+from quarrymill.llm import bpe, licences, names, packing, sentences, similar
 from quarrymill.runtime import table
 
 CAPACITY = 2048
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_pairs(table(spark, sf_dir, "skill_embeddings"), "vec_id", "embedding", 384).toDF("vec_id_a", "vec_id_b")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.map_values(table(spark, sf_dir, "skills"), table(spark, sf_dir, "canonical_values"))
 
@@ -39,6 +43,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 
 ORACLES: dict[str, str] = {}
