@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, licences, names, packing, sentences, similar
+from quarrymill.llm import bpe, licences, names, near, packing, planes, sentences, similar
 from quarrymill.runtime import table
 
 CAPACITY = 2048
@@ -26,6 +26,16 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(values, ["skill_id", "field", "pos"]).groupBy("field", "value").agg(F.count("*").alias("times"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every body that has one."""
+    return near.linked_groups(table(spark, sf_dir, "corpus_documents"), "skill_id", "body_text", 20, planes.BOUND).toDF("skill_id", "group_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near.linked_groups(table(spark, sf_dir, "corpus_documents"), "skill_id", "body_text", 20, planes.BOUND)
+    return near.pairs_within(groups).toDF("skill_id_a", "skill_id_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.decide(*(table(spark, sf_dir, t) for t in ("repositories", "skills", "skill_files", "canonical_values")))
 
@@ -43,6 +53,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 
 ORACLES: dict[str, str] = {}
