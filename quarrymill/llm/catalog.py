@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, licences, names, near, packing, planes, sentences, similar
+from quarrymill.llm import bpe, history, licences, names, near, packing, planes, sentences, similar
 from quarrymill.runtime import table
 
 CAPACITY = 2048
@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_pairs(table(spark, sf_dir, "skill_embeddings"), "vec_id", "embedding", 384).toDF("vec_id_a", "vec_id_b")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeated(table(spark, sf_dir, "existing_skills"), table(spark, sf_dir, "skill_candidates"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.map_values(table(spark, sf_dir, "skills"), table(spark, sf_dir, "canonical_values"))
 
@@ -53,6 +57,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 
 ORACLES: dict[str, str] = {}
