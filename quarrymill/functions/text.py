@@ -63,7 +63,7 @@ def headings_and_body(text: str) -> tuple[list[str], str]:
     rest: list[str] = []
     lines = text.splitlines()
     open_mark, skip = "", False
-    for here, below in zip(lines, [*lines[1:], None], strict=True):
+    for here, below in zip(lines, [*lines[1:], None], strict=False):
         if skip:
             skip = False
             continue
@@ -92,7 +92,7 @@ def normalize(text: pd.Series) -> pd.Series:
     return text.map(normalized, na_action="ignore")
 
 
-@F.pandas_udf("headings array<string>, body string")
+@F.pandas_udf(T.StructType([T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("body", T.StringType())]))
 def partition_markdown(text: pd.Series) -> pd.DataFrame:
     parts = [headings_and_body(t) if t is not None else (None, None) for t in text]
     return pd.DataFrame({"headings": [p[0] for p in parts], "body": [p[1] for p in parts]})
