@@ -15,7 +15,7 @@ from quarrymill.functions import checks
 from quarrymill.functions import text as X
 from quarrymill.operators import corpus, dense, fusion, ingest, lexical, metrics, parse, pooling, stats
 from quarrymill.plans import sql as S
-from quarrymill.runtime import table
+from quarrymill.runtime import Stage, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +47,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokenized(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.tokenized(_documents(spark, d))
+    """The tokenised corpus as a written table: its readers (terms, lengths, names) each scan the columns they need."""
+    return Stage(spark, "tokens").write(corpus.tokenized(spread(_documents(spark, d))), "corpus")
 
 
 def _one(spark: SparkSession, text: str = QUESTION) -> DataFrame:
@@ -579,7 +580,7 @@ def corpus_drift(spark, d):
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("path", F.lit("SKILL.md")).alias("path"), F.col("text").cast("binary").alias("content"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.coalesce("path", F.lit("SKILL.md")).alias("path"), F.col("text").cast("binary").alias("content"))
     return parse.parse_documents(docs, "doc_id", "path", "content")
 
 

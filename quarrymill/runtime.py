@@ -61,18 +61,10 @@ class Stage:
         _remove(self.spark, getattr(df, "_staged_path", os.devnull + "/none"))
 
 
-def fresh(df: DataFrame, wanted: str) -> str:
-    """A column name based on `wanted` that does not clash with the columns of df."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = "_" + wanted
-    return wanted
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in far fewer partitions (a few small files) than there are cores; else as it is.
 
-
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Rows repeated verbatim count once."""
-    return df.dropDuplicates()
-
-
-def column_hash(*cols) -> "F.Column":
-    return F.xxhash64(*cols)
+    Only for scans before costly per-row work: larger inputs have more partitions than cores and are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
