@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quarrymill.runtime import Stage
 
 #: Parts into which the items of one length are split while they are ranked, as one length may be that of many items.
-RANK_PARTS = 256
+RANK_PARTS = 64
 #: Unused places a combination may leave.
 WINDOW = 2
 STEPS = 120
@@ -165,8 +165,8 @@ def pack(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     for row in counted.groupBy("n").agg(F.sum("count").alias("c")).collect():  # at most `capacity` rows
         hist[row.n] = row.c
     where = slots(plan(hist, capacity))
-    # at most capacity * RANK_PARTS rows
-    ranked = space.join(F.broadcast(offsets), ["n", "part"]).select(
+    # joined by the keys that the ranking is partitioned by anyway
+    ranked = space.join(offsets, ["n", "part"]).select(
         "k", "piece", "n", (F.col("base") + F.row_number().over(Window.partitionBy("n", "part").orderBy("k", "piece")) - 1).alias("rank")
     )
     kind = df.schema[key].dataType.simpleString()
