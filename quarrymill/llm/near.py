@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.words import DEGREE, Elements, alike, band_keys
@@ -33,7 +33,7 @@ Bound = tuple[Callable[[list[np.ndarray]], list[bytes]], Callable[[np.ndarray, n
 
 
 def classes(df: DataFrame, key: str, text: str, least: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """(members, nodes): members (id, node) of every text of at least `least` words; nodes (node, text), one for each class.
+    """(members, nodes): members (id, node) of every text of at least `least` words; nodes (node, text, bag), one for each class.
 
     A node is the smallest id of its class.
     """
@@ -55,7 +55,7 @@ def classes(df: DataFrame, key: str, text: str, least: int, stage: Stage) -> tup
     bags = stage.write(bags, "bags")
     nodes = stage.write(bags.groupBy("bag").agg(F.min("id").alias("node"), F.min_by("text", "id").alias("text")), "nodes")
     members = bags.select("id", "bag").distinct().join(nodes.select("bag", "node"), "bag").select("id", "node").distinct()
-    return members, nodes.select("node", "text")
+    return members, nodes.select("node", "text", "bag")
 
 
 def word_weights(nodes: DataFrame) -> dict[int, float]:
@@ -109,14 +109,16 @@ def banded(nodes: DataFrame, weights: dict[int, float], sketch: Callable, keep:
 def candidates(bands: DataFrame, pairs_of: Callable, new: str = "") -> DataFrame:
     """(a, b), a < b: pairs of nodes that share a bucket and are within the bound; with `new`, at least one has it set."""
     kind = bands.schema["node"].dataType.simpleString()
-    crowded = bands.groupBy("band").count().where(F.col("count") > TILE).select("band", F.ceil(F.col("count") / TILE).cast("int").alias("m"))
-    mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    tiles = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j) + 1)
-    )
-    tiled = bands.join(crowded, "band", "left").withColumn("tile", F.explode(tiles)).withColumn("block", F.coalesce(mine, F.lit(0))).drop("m")
-    ordered = tiled.repartition("band", "tile").sortWithinPartitions("band", "tile", "n")
+    # one exchange by band serves both branches; the sort puts a bucket's rows in order of n
+    w = Window.partitionBy("band").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = bands.withColumn("c", F.count("*").over(w)).where("c > 1")
     columns = ["band", "tile", "block", "node", "n", "sketch", *([new] if new else [])]
+    usual = counted.where(F.col("c") <= TILE).withColumn("tile", F.lit(0).cast("long")).withColumn("block", F.lit(0)).select(*columns)
+    m = F.ceil(F.col("c") / TILE).cast("int")
+    mine = F.pmod(F.xxhash64("node"), m).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j) + 1)
+    crowded = counted.where(F.col("c") > TILE).withColumn("tile", F.explode(tiles)).withColumn("block", mine)
+    crowded = crowded.repartition("band", "tile").sortWithinPartitions("band", "tile", "n").select(*columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -160,7 +162,8 @@ def candidates(bands: DataFrame, pairs_of: Callable, new: str = "") -> DataFrame
         found = np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return ordered.select(*columns).mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    schema = f"a {kind}, b {kind}"
+    return usual.mapInArrow(compare, schema).unionByName(crowded.mapInArrow(compare, schema)).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, degree: float = DEGREE) -> DataFrame:
