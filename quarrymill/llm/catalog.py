@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, history, licences, names, near, packing, planes, sentences, similar
-from quarrymill.runtime import table
+from quarrymill.runtime import spread, table
 
 CAPACITY = 2048
 
@@ -45,16 +45,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_column(table(spark, sf_dir, "documents"), "text", ("doc_id",))
+    return bpe.encode_column(spread(table(spark, sf_dir, "documents")), "text", ("doc_id",))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = bpe.encode_column(table(spark, sf_dir, "documents"), "text", ("doc_id",), "n_tokens", count_only=True)
+    sizes = bpe.encode_column(spread(table(spark, sf_dir, "documents")), "text", ("doc_id",), "n_tokens", count_only=True)
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentences.split_sentences(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}

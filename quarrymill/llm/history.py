@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import near, pivots
@@ -52,7 +52,7 @@ def file_path(path: str | None) -> str | None:
     return "/".join(out) or None
 
 
-def _hash(c) -> F.Column:
+def _hash(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.lower(F.trim(c)))
 
 
@@ -67,67 +67,150 @@ def _paths(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def repeated(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(accepted_id, record_id): the records that every candidate repeats."""
-    stage = Stage(existing.sparkSession, "history")
-    old = existing.select(
+_ONE_FILE = ["repository_id", "path", "git_blob_sha", "content_text"]
+
+
+def _old(existing: DataFrame) -> DataFrame:
+    return _paths(existing.select(
         F.col("record_id").alias("id"), F.lit(-1).alias("batch"), "repository_id", "path", _hash(F.col("git_blob_sha")).alias("blob"),
-        _hash(F.col("content_sha256")).alias("sha"), "content_text", F.lit(False).alias("new"),
-    ).where("id IS NOT NULL").dropDuplicates(["id"])
-    fields = ["batch_id", "repository_id", "path", "git_blob_sha", "content_text"]
-    first = candidates.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min_by(F.struct(*fields), F.struct("arrived_at", *[f for f in fields])).alias("r")).select("record_id", "r.*")
-    new = first.select(
+        _hash(F.col("content_sha256")).alias("sha"), F.col("content_text").alias("text"), F.lit(False).alias("new"),
+    ).where("id IS NOT NULL").dropDuplicates(["id"]))
+
+
+def _new(candidates: DataFrame) -> DataFrame:
+    fields = ["batch_id", *_ONE_FILE]
+    first = candidates.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min_by(F.struct(*fields), F.struct("arrived_at", *fields)).alias("r")).select("record_id", "r.*")
+    return _paths(first.select(
         F.col("record_id").alias("id"), F.coalesce("batch_id", F.lit(2**31 - 1)).cast("int").alias("batch"), "repository_id", "path", _hash(F.col("git_blob_sha")).alias("blob"),
-        F.sha2(F.col("content_text").cast("binary"), 256).alias("sha"), "content_text", F.lit(True).alias("new"),
-    )
-    records = stage.write(_paths(old.unionByName(new)), "records")
-    members, nodes = near.classes(records.withColumnRenamed("content_text", "text").where("text IS NOT NULL"), "id", "text", 1, stage)
-    members = stage.write(members, "members")
-    sides = members.join(records.select("id", "new"), "id").groupBy("node").agg(F.max("new").alias("new"), F.max(~F.col("new")).alias("old"))
-    nodes = stage.write(nodes.join(sides, "node"), "nodes")
-    # weights are those of the history, so that its stored bands stay valid; without a history, all words weigh alike
-    weights = near.word_weights(nodes.where("old"))
-    sketch, pairs_of = pivots.BOUND
-    accepted = near.banded(nodes.where("old"), weights, sketch, "new")
-    added = near.banded(nodes.where("NOT old"), weights, sketch, "new")
-    links = stage.write(near.verified(near.candidates(accepted.unionByName(added), pairs_of, "new"), nodes), "links")
-
-    key = lambda kind, *c: F.concat_ws("\u0001", F.lit(kind), *[x.cast("string") for x in c])
-    path = F.when(F.col("repository_id").isNotNull() & F.col("path").isNotNull(), key("p", F.col("repository_id"), F.col("path")))
-    blob = F.when(F.col("blob").isNotNull(), key("b", F.col("blob")))
-    sha = F.when(F.col("sha").isNotNull(), key("s", F.col("sha")))
-    some = lambda *c: F.explode(F.filter(F.array(*c), lambda x: x.isNotNull())).alias("key")
-    base = records.select("id", "batch", "new", "repository_id", "path", "blob", "sha")
-    node_key = F.concat_ws("\u0001", F.lit("n"), F.col("node").cast("string"))
-    of_node = members.join(base.select("id", "batch", "new"), "id")
-    holds = base.select("id", "batch", "new", some(path, blob, F.when(~F.col("new"), sha))).unionByName(of_node.select("id", "batch", "new", node_key.alias("key")))
+        F.sha2(F.col("content_text").cast("binary"), 256).alias("sha"), F.col("content_text").alias("text"), F.lit(True).alias("new"),
+    ))
+
+
+def _key(kind: str, *c: Column) -> Column:
+    return F.concat_ws("\u0001", F.lit(kind), *[x.cast("string") for x in c])
+
+
+def _listed(records: DataFrame, sha: Column) -> DataFrame:
+    """(id, batch, new, key) for each key of a record; a null column gives none."""
+    path = F.when(F.col("repository_id").isNotNull() & F.col("path").isNotNull(), _key("p", F.col("repository_id"), F.col("path")))
+    blob = F.when(F.col("blob").isNotNull(), _key("b", F.col("blob")))
+    keys = F.filter(F.array(path, blob, F.when(sha.isNotNull(), _key("s", sha))), lambda x: x.isNotNull())
+    return records.select("id", "batch", "new", F.explode(keys).alias("key"))
+
+
+def _node(column: str) -> Column:
+    return _key("n", F.col(column)).alias("key")
+
+
+def holds_of(records: DataFrame, members: DataFrame) -> DataFrame:
+    """What later records can match: identity, blob, words, and for the history the content hash."""
+    said = F.when(~F.col("new"), F.col("sha"))
+    return _listed(records, said).unionByName(members.join(records.select("id", "batch", "new"), "id").select("id", "batch", "new", _node("node")))
+
+
+def seeks_of(records: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """The keys whose holders a candidate matches: its own, and those of the texts its text is linked with."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    of_new = of_node.where("new").select("id", "batch", "node")
-    seeks = (
-        base.where("new").select("id", "batch", some(path, blob, sha))
-        .unionByName(of_new.select("id", "batch", node_key.alias("key")))
-        .unionByName(of_new.join(both, "node").select("id", "batch", F.concat_ws("\u0001", F.lit("n"), F.col("other").cast("string")).alias("key")))
-    )
-    holds, seeks = stage.write(holds, "holds"), stage.write(seeks, "seeks")
-
-    old_keys = holds.where("NOT new").select("key").distinct()
-    cases = seeks.join(old_keys, "key", "left_semi").select("id").distinct()
+    mine = members.join(records.where("new").select("id", "batch"), "id")
+    own = _listed(records.where("new"), F.col("sha")).select("id", "batch", "key")
+    return own.unionByName(mine.select("id", "batch", _node("node"))).unionByName(mine.join(both, "node").select("id", "batch", _node("other")))
+
+
+def decide(holds: DataFrame, seeks: DataFrame, undecided: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(the repeated records of every case, the accepted candidates). holds, seeks and undecided (id, batch) are written tables."""
     order = F.struct("batch", "id")
-    undecided = stage.write(base.where("new").select("id", "batch").join(cases, "id", "left_anti"), "undecided")
-    accepted_ids = []
+    cases = seeks.join(holds.where("NOT new").select("key").distinct(), "key", "left_semi").select("id").distinct()
+    undecided = stage.write(undecided.join(cases, "id", "left_anti"), "undecided")
+    rounds = []
     while not undecided.isEmpty():
         open_holds = holds.where("new").join(undecided.select("id"), "id", "left_semi")
         open_seeks = seeks.join(undecided.select("id"), "id", "left_semi")
-        earliest = open_holds.groupBy("key").agg(F.min(order).alias("first"))
         # the smallest order that holds anything a candidate seeks; its own keys hold itself
+        earliest = open_holds.groupBy("key").agg(F.min(order).alias("first"))
         best = open_seeks.join(earliest, "key").groupBy("id", "batch").agg(F.min("first").alias("first"))
         win = stage.write(undecided.join(best, ["id", "batch"], "left").where(F.col("first").isNull() | (F.col("first") >= order)).select("id", "batch"), "accepted")
-        accepted_ids.append(win)
+        rounds.append(win)
         taken = holds.join(win.select("id"), "id", "left_semi").groupBy("key").agg(F.min(order).alias("first"))
         lost = open_seeks.join(taken, "key").where(F.col("first") < order).select("id")
         undecided = stage.write(undecided.join(win.select("id"), "id", "left_anti").join(lost, "id", "left_anti"), "undecided")
-    kept = holds.where("NOT new").select("id", "batch", "key")
-    for win in accepted_ids:
-        kept = kept.unionByName(holds.where("new").join(win.select("id"), "id", "left_semi").select("id", "batch", "key"))
+    accepted = undecided.select("id", "batch")  # empty now
+    for win in rounds:
+        accepted = accepted.unionByName(win)
+    kept = holds.where("NOT new").unionByName(holds.where("new").join(accepted.select("id"), "id", "left_semi"))
     found = seeks.select(F.col("id").alias("record_id"), F.col("batch").alias("at"), "key").join(kept.select(F.col("id").alias("accepted_id"), "batch", "key"), "key")
-    return found.where((F.col("batch") < F.col("at")) | (F.col("batch") == F.col("at")) & (F.col("accepted_id") < F.col("record_id"))).select("accepted_id", "record_id").distinct()
+    earlier = (F.col("batch") < F.col("at")) | (F.col("batch") == F.col("at")) & (F.col("accepted_id") < F.col("record_id"))
+    return found.where(earlier).select("accepted_id", "record_id").distinct(), accepted
+
+
+def repeated(existing: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(accepted_id, record_id): the records that every candidate repeats, all batches in one pass."""
+    stage = Stage(existing.sparkSession, "history")
+    records = stage.write(_old(existing).unionByName(_new(candidates)), "records")
+    members, nodes = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
+    members = stage.write(members, "members")
+    sides = members.join(records.select("id", "new"), "id").groupBy("node").agg(F.max("new").alias("new"), F.max(~F.col("new")).alias("old"))
+    nodes = stage.write(nodes.join(sides, "node"), "nodes")
+    # weights are those of the history, so that its stored bands stay valid; without a history, all words weigh alike
+    weights = near.word_weights(nodes.where("old"))
+    sketch, pairs_of = pivots.BOUND
+    bands = near.banded(nodes, weights, sketch, "new")
+    links = stage.write(near.verified(near.candidates(bands, pairs_of, "new"), nodes), "links")
+    holds, seeks = stage.write(holds_of(records, members), "holds"), stage.write(seeks_of(records, members, links), "seeks")
+    return decide(holds, seeks, records.where("new").select("id", "batch"), stage)[0]
+
+
+class History:
+    """The accepted records as tables below a folder, to which batches are added one by one.
+
+    Stored are keys (id, batch, new, key), classes of texts (node, text, bag), the pivot table (band, node, n, sketch) and
+    the word weights of the start. A batch reads of the pivot table only the bands it has itself, and cuts only its own
+    texts into words; stored texts are read again where they have to be verified.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def _append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def start(self, existing: DataFrame) -> None:
+        stage = Stage(self.spark, "history")
+        records = stage.write(_old(existing), "records")
+        members, nodes = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
+        weights = near.word_weights(nodes)
+        self.spark.createDataFrame(list(weights.items()), "e long, w double").write.parquet(f"{self.root}/weights")
+        self._append(nodes, "nodes")
+        self._append(near.banded(nodes, weights, pivots.BOUND[0]), "bands")
+        self._append(holds_of(records, members), "holds")
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """(accepted_id, record_id) for the candidates of a batch that are held already; the others are accepted."""
+        stage = Stage(self.spark, "batch")
+        sketch, pairs_of = pivots.BOUND
+        weights = {r.e: r.w for r in self._read("weights").collect()}  # bounded, see near.word_weights
+        records = stage.write(_new(batch), "records")
+        mine, fresh = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
+        stored = self._read("nodes")
+        known = fresh.select(F.col("node").alias("mine"), "bag").join(stored.select("node", "bag"), "bag")
+        members = stage.write(mine.withColumnRenamed("node", "mine").join(known.select("mine", "node"), "mine", "left").select("id", F.coalesce("node", "mine").alias("node")), "members")
+        fresh = stage.write(fresh.join(known.select(F.col("mine").alias("node")), "node", "left_anti"), "fresh")
+        asked = stage.write(fresh.select("node", "text").unionByName(known.select("node").distinct().join(stored.select("node", "text"), "node")), "asked")
+        bands = stage.write(near.banded(asked, weights, sketch), "bands")
+        old = self._read("bands").join(bands.select("band").distinct(), "band", "left_semi").join(asked.select("node"), "node", "left_anti")
+        pairs = near.candidates(old.withColumn("new", F.lit(False)).unionByName(bands.withColumn("new", F.lit(True))), pairs_of, "new")
+        texts = stored.select("node", "text").unionByName(fresh.select("node", "text"))
+        links = stage.write(near.verified(pairs, texts), "links")
+        held = stage.write(holds_of(records, members), "holds")
+        seeks = stage.write(seeks_of(records, members, links), "seeks")
+        before = self._read("holds").join(seeks.select("key").distinct(), "key", "left_semi").withColumn("new", F.lit(False))
+        holds = stage.write(before.unionByName(held), "both")
+        found, accepted = decide(holds, seeks, records.select("id", "batch"), stage)
+        found, accepted = stage.write(found, "found"), stage.write(accepted, "new")
+        kept = members.join(accepted.select("id"), "id", "left_semi").select("node").distinct()
+        self._append(fresh.join(kept, "node", "left_semi").select("node", "text", "bag"), "nodes")
+        self._append(bands.join(fresh.select("node"), "node", "left_semi").join(kept, "node", "left_semi").select("band", "node", "n", "sketch"), "bands")
+        self._append(held.join(accepted.select("id"), "id", "left_semi"), "holds")
+        return found

@@ -14,17 +14,17 @@ import numpy as np
 
 from quarrymill.llm.words import DEGREE, mix
 
-CLASSES = 64
+CLASSES = 96
 
 
 def distances(sets: list[np.ndarray]) -> list[bytes]:
-    """For each set, how many of its elements each class has (up to 65,535; beyond, the bound stays a lower bound)."""
+    """For each set, how many of its elements each class has (up to 255; beyond, the bound stays a lower bound)."""
     lengths = np.array([len(s) for s in sets])
     flat = np.concatenate(sets) if len(sets) and lengths.sum() else np.zeros(0, np.int64)
     cls = (mix(flat.astype(np.uint64), 5151) % np.uint64(CLASSES)).astype(np.int64)
     row = np.repeat(np.arange(len(sets)), lengths)
     counts = np.bincount(row * CLASSES + cls, minlength=len(sets) * CLASSES).reshape(len(sets), CLASSES)
-    return [r.tobytes() for r in counts.clip(max=65_535).astype("<u2")]
+    return [r.tobytes() for r in counts.clip(max=255).astype(np.uint8)]
 
 
 def pairs_of(run: np.ndarray, n: np.ndarray, table: np.ndarray, degree: float = DEGREE) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +33,7 @@ def pairs_of(run: np.ndarray, n: np.ndarray, table: np.ndarray, degree: float =
     A row's partners are a range: those whose distance to the empty set is within reach.
     """
     rows = len(n)
-    counts = table.view("<u2").astype(np.int32)
+    counts = table.astype(np.int16)
     end = np.searchsorted(run, run, side="right")
     share = 1 - degree
     # the last row of the run that is short enough: n_j <= n_i (2 - degree) / degree

@@ -177,3 +177,16 @@ def test_similar_small(spark):
     assert similar.similar_pairs(spark.createDataFrame([(1, [1.0, 0.0])], schema), "vec_id", "embedding", 2).count() == 0
     two = spark.createDataFrame([(5, [1.0, 0.0]), (3, [2.0, 0.0]), (9, [0.0, 1.0])], schema)
     assert sorted(map(tuple, similar.similar_pairs(two, "vec_id", "embedding", 2, 1).collect())) == [(3, 5), (3, 9)]
+
+
+def test_batches_added_one_by_one_are_as_in_one_pass(spark, tmp_path):
+    rng = random.Random(3)
+    texts = corpus(90, 21)
+    o = spark.createDataFrame([(i, 1, f"s/{i % 20}/SKILL.md", f"{i % 23:040d}", None, texts[i], datetime(2025, 1, 1)) for i in range(30)], "record_id long, repository_id long, path string, git_blob_sha string, content_sha256 string, content_text string, accepted_at timestamp")
+    rows = [(i, (i - 30) // 20, rng.choice([1, 2, 3]), f"s/{rng.randrange(90)}/SKILL.md", f"{rng.randrange(200):040d}", rng.choice([texts[i], texts[i - 30]]), datetime(2025, 2, 1)) for i in range(30, 90)]
+    c = spark.createDataFrame(rows, "record_id long, batch_id int, repository_id long, path string, git_blob_sha string, content_text string, arrived_at timestamp")
+    whole = {tuple(r) for r in history.repeated(o, c).collect()}
+    kept = history.History(spark, "file://" + str(tmp_path / "h"))
+    kept.start(o)
+    parts = [tuple(r) for b in range(3) for r in kept.add(c.where(F.col("batch_id") == b)).collect()]
+    assert len(parts) == len(set(parts)) and set(parts) == whole and whole
