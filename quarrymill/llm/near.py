@@ -118,7 +118,9 @@ def candidates(bands: DataFrame, pairs_of: Callable, new: str = "") -> DataFrame
     mine = F.pmod(F.xxhash64("node"), m).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j) + 1)
     crowded = counted.where(F.col("c") > TILE).withColumn("tile", F.explode(tiles)).withColumn("block", mine)
-    crowded = crowded.repartition("band", "tile").sortWithinPartitions("band", "tile", "n").select(*columns)
+    # with a number, as tiles cost far more than their bytes and must not be put together in one task
+    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowded = crowded.repartition(parts, "band", "tile").sortWithinPartitions("band", "tile", "n").select(*columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
