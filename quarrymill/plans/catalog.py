@@ -137,6 +137,16 @@ def metadata_texts(spark, d):
     return s.select("skill_id", X.metadata_text(F.col("declared_license"), F.col("compatibility"), F.filter("allowed_tools", lambda t: t.isNotNull()), F.col("metadata")).alias("metadata_text"))
 
 
+@query(f"""WITH {S.SKILLS}, m AS (SELECT skill_id, list_sort(map_entries(metadata)) AS e, * FROM sk)
+SELECT skill_id, concat_ws(' ', nullif(declared_license, ''), nullif(compatibility, ''), coalesce(array_to_string(list_sort(list_filter(allowed_tools, lambda t: t IS NOT NULL)), ' '), ''),
+ coalesce(array_to_string(list_transform(e, lambda x: concat_ws(' ', x.key, x.value)), ' '), '')) AS metadata_text FROM m""")
+def metadata_texts_all(spark, d):
+    """metadata_texts with a row for every skill: null allowed_tools are an empty list, null metadata is an empty map."""
+    tools = F.coalesce(F.filter("allowed_tools", lambda t: t.isNotNull()), F.array().cast("array<string>"))
+    keyed = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    return _skills(spark, d).select("skill_id", X.metadata_text(F.col("declared_license"), F.col("compatibility"), tools, keyed).alias("metadata_text"))
+
+
 @query("SELECT DISTINCT document_id, sha256('name: ' || coalesce(name_text, '') || chr(10) || 'description: ' || coalesce(description_text, '') || chr(10) || 'metadata: ' || coalesce(metadata_text, '') || chr(10) || 'headings: ' || coalesce(heading_text, '') || chr(10) || 'body: ' || coalesce(body_text, '')) AS sha FROM corpus_documents")
 def embedding_text_hashes(spark, d):
     c = table(spark, d, "corpus_documents")
