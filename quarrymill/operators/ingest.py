@@ -38,27 +38,30 @@ def conflicts(found: DataFrame, evidence: list[str]) -> DataFrame:
 
 
 def classify(candidates: DataFrame, stored: DataFrame, version: str = "git_blob_sha") -> DataFrame:
-    """candidates with `change`: unchanged (same version is stored), changed, or new. Identities are unique on both sides."""
+    """candidates with `change`: unchanged (same version is stored), changed, new, or skipped (without a version). Identities are unique on both sides."""
     known = stored.select(*IDENTITY, F.col(version).alias("_v"), F.lit(True).alias("_there"))
-    change = F.when(F.col("_there").isNull(), "new").when(F.col(version) == F.col("_v"), "unchanged").otherwise("changed")
+    change = F.when(F.col(version).isNull(), "skipped").when(F.col("_there").isNull(), "new").when(F.col(version) == F.col("_v"), "unchanged").otherwise("changed")
     return candidates.join(known, IDENTITY, "left").withColumn("change", change).drop("_v", "_there")
 
 
-def merge(stored: DataFrame, incoming: DataFrame, seen_at: str, keep: list[str]) -> DataFrame:
+def merge(stored: DataFrame, incoming: DataFrame, seen_at: str, keep: list[str], skip: bool = False) -> DataFrame:
     """The new version of a table with identity keys: incoming rows replace stored ones; an unchanged one only moves last_seen_at.
 
+    With `skip`, an incoming row without git_blob_sha is reported as `skipped` and replaces nothing: what is stored stays as it is, but
+    for last_seen_at; if nothing is stored, its row is not part of the new version.
     Both have IDENTITY, git_blob_sha and the columns `keep`. stored has first_seen_at and last_seen_at, incoming has seen_at.
     """
     old = stored.select(*IDENTITY, F.struct("git_blob_sha", "first_seen_at", "last_seen_at", *keep).alias("o"))
     new = incoming.select(*IDENTITY, F.struct("git_blob_sha", F.col(seen_at).alias("seen"), *keep).alias("n"))
     both = old.join(new, IDENTITY, "full_outer")
+    blank = F.lit(skip) & F.col("n").isNotNull() & F.col("n.git_blob_sha").isNull()
     same = F.col("o").isNotNull() & F.col("n").isNotNull() & F.col("o.git_blob_sha").eqNullSafe(F.col("n.git_blob_sha"))
-    pick = lambda c: F.when(F.col("n").isNull() | same, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
+    pick = lambda c: F.when(F.col("n").isNull() | blank | same, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     return both.select(
         *IDENTITY, pick("git_blob_sha"), *[pick(c) for c in keep],
         F.coalesce("o.first_seen_at", "n.seen").alias("first_seen_at"),
         F.greatest("o.last_seen_at", "n.seen").alias("last_seen_at"),
-        F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "inserted").when(same, "unchanged").otherwise("updated").alias("action"),
+        F.when(F.col("n").isNull(), "kept").when(blank, "skipped").when(F.col("o").isNull(), "inserted").when(same, "unchanged").otherwise("updated").alias("action"),
     )
 
 

@@ -574,6 +574,41 @@ def snapshot_counts(spark, d):
     return ingest.snapshot_counts(items)
 
 
+# The three queries again over every identity: of its candidates the last with a blob decides, and one that has none at all is skipped.
+_INCOMING_ALL = f"{S.CANDIDATES}, inc AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha, record_id, arrived_at AS seen_at FROM ca ORDER BY repository_id, path, git_blob_sha IS NULL, record_id DESC), old AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha, record_id, accepted_at FROM existing_skills ORDER BY repository_id, path, record_id)"
+
+
+def _incoming_all(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "skill_candidates").groupBy("record_id").agg(F.min_by(F.struct("repository_id", "path", "git_blob_sha", "arrived_at"), "arrived_at").alias("r")).select("record_id", "r.*")
+    last = F.max_by(F.struct("git_blob_sha", "record_id", F.col("arrived_at").alias("seen_at")), F.struct(F.col("git_blob_sha").isNotNull(), "record_id"))
+    return c.groupBy("repository_id", "path").agg(last.alias("r")).select("repository_id", "path", "r.*")
+
+
+@query(f"""WITH {_INCOMING_ALL} SELECT i.record_id, CASE WHEN i.git_blob_sha IS NULL THEN 'skipped' WHEN o.repository_id IS NULL THEN 'new' WHEN i.git_blob_sha = o.git_blob_sha THEN 'unchanged' ELSE 'changed' END AS change FROM inc i LEFT JOIN old o USING (repository_id, path)""")
+def classify_changes_all(spark, d):
+    return ingest.classify(_incoming_all(spark, d), _stored(spark, d)).select("record_id", "change")
+
+
+@query(f"""WITH {_INCOMING_ALL} SELECT coalesce(o.repository_id, i.repository_id) AS repository_id, coalesce(o.path, i.path) AS path, CASE WHEN i.git_blob_sha IS NULL THEN o.git_blob_sha ELSE i.git_blob_sha END AS git_blob_sha,
+ CASE WHEN i.path IS NULL THEN 'kept' WHEN i.git_blob_sha IS NULL THEN 'skipped' WHEN o.path IS NULL THEN 'inserted' WHEN o.git_blob_sha = i.git_blob_sha THEN 'unchanged' ELSE 'updated' END AS action,
+ coalesce(o.accepted_at, i.seen_at) AS first_seen_at, greatest(o.accepted_at, i.seen_at) AS last_seen_at
+FROM old o FULL OUTER JOIN inc i ON o.repository_id = i.repository_id AND o.path = i.path""")
+def merge_upsert_all(spark, d):
+    stored = _stored(spark, d).withColumn("first_seen_at", F.col("accepted_at")).withColumn("last_seen_at", F.col("accepted_at"))
+    return ingest.merge(stored, _incoming_all(spark, d), "seen_at", ["record_id"], skip=True).select("repository_id", "path", "git_blob_sha", "action", "first_seen_at", "last_seen_at")
+
+
+@query(f"""WITH {_INCOMING_ALL}, {S.SKILLS}, it AS (SELECT i.repository_id, CASE WHEN i.git_blob_sha IS NULL THEN 'skipped' WHEN i.git_blob_sha = o.git_blob_sha THEN 'unchanged' ELSE 'ingested' END AS status, i.git_blob_sha IS NOT NULL AS stored, s.validation_status FROM inc i LEFT JOIN old o USING (repository_id, path) LEFT JOIN sk s USING (repository_id, path))
+SELECT count(*) AS item_count, count(DISTINCT CASE WHEN stored THEN repository_id END) AS repository_count, count(CASE WHEN stored THEN 1 END) AS stored_count, count(CASE WHEN status = 'ingested' THEN 1 END) AS ingested_count, count(CASE WHEN status = 'unchanged' THEN 1 END) AS unchanged_count,
+ 0::BIGINT AS invalid_count, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped_count, 0::BIGINT AS error_count, count(CASE WHEN stored AND validation_status = 'valid' THEN 1 END) AS valid_skill_count, count(CASE WHEN stored AND validation_status = 'warning' THEN 1 END) AS warning_skill_count, count(CASE WHEN stored AND validation_status = 'invalid' THEN 1 END) AS invalid_skill_count FROM it""")
+def snapshot_counts_all(spark, d):
+    changes = ingest.classify(_incoming_all(spark, d), _stored(spark, d))
+    known = _skills(spark, d).select("repository_id", "path", "validation_status")
+    status = F.when(F.col("change").isin("unchanged", "skipped"), F.col("change")).otherwise("ingested")
+    items = changes.join(known, ["repository_id", "path"], "left").select("repository_id", status.alias("status"), (F.col("change") != "skipped").alias("stored"), "validation_status")
+    return ingest.snapshot_counts(items)
+
+
 @query(f"""WITH {S.SKILLS}, {S.REPOSITORIES}, c AS (SELECT DISTINCT repository_id, path, lower(repository_full_name) AS n, validation_status, content_sha256, sha256(body_text) AS now FROM corpus_documents)
 SELECT c.repository_id, c.path, CASE WHEN s.skill_id IS NULL THEN 'missing' WHEN c.n IS DISTINCT FROM lower(r.full_name) THEN 'renamed' WHEN content_sha256 IS DISTINCT FROM now THEN 'stale' ELSE 'status' END AS problem
 FROM c LEFT JOIN sk s USING (repository_id, path) LEFT JOIN rp r ON r.github_repository_id = c.repository_id

@@ -18,3 +18,19 @@ def test_every_skill_has_a_metadata_text(spark, tmp_path):
     d = written(spark, tmp_path, skills=(rows, "skill_id long, declared_license string, compatibility string, allowed_tools array<string>, metadata map<string,string>, last_seen_at timestamp"))
     got = {r.skill_id: r.metadata_text.split() for r in catalog.QUERIES["metadata_texts_all"](spark, d).collect()}
     assert got == {1: ["MIT", "linux", "a", "b", "k", "v"], 2: ["MIT", "k", "v"], 3: ["MIT", "a"], 4: []}
+
+
+def test_candidates_without_a_blob_have_an_outcome(spark, tmp_path):
+    old = [(1, 1, "a", "s1", T1), (2, 1, "b", "s2", T1)]
+    new = [(11, 1, "a", None, T2), (12, 2, "c", None, T2), (13, 1, "b", "s9", T2), (14, 1, "b", None, T3), (15, 3, "d", "s3", T2)]
+    skills = [(1, 1, "a", "valid", T1), (2, 1, "b", "valid", T1), (3, 3, "d", "warning", T1)]
+    d = written(
+        spark, tmp_path, existing_skills=(old, "record_id long, repository_id long, path string, git_blob_sha string, accepted_at timestamp"),
+        skill_candidates=(new, "record_id long, repository_id long, path string, git_blob_sha string, arrived_at timestamp"),
+        skills=(skills, "skill_id long, repository_id long, path string, validation_status string, last_seen_at timestamp"),
+    )
+    assert {r.record_id: r.change for r in catalog.QUERIES["classify_changes_all"](spark, d).collect()} == {11: "skipped", 12: "skipped", 13: "changed", 15: "new"}
+    got = {r.path: (r.action, r.git_blob_sha, r.first_seen_at, r.last_seen_at) for r in catalog.QUERIES["merge_upsert_all"](spark, d).collect()}
+    assert got == {"a": ("skipped", "s1", T1, T2), "b": ("updated", "s9", T1, T2), "c": ("skipped", None, T2, T2), "d": ("inserted", "s3", T2, T2)}
+    c = catalog.QUERIES["snapshot_counts_all"](spark, d).first()
+    assert (c.item_count, c.skipped_count, c.ingested_count, c.stored_count, c.repository_count, c.valid_skill_count, c.warning_skill_count) == (4, 2, 2, 2, 2, 1, 1)
