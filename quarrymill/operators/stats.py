@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from quarrymill.functions import text as X
 
 
-def zero_filled(df: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """(value, count, share) for each of the values, also those that don't occur."""
+def zero_filled(df: DataFrame, column: str, values: list[str], rest: str | None = None) -> DataFrame:
+    """(value, count, share) for each of the values, also those that don't occur; with `rest`, a row of that name for all other values and null."""
+    if rest is not None:
+        df = df.select(F.when(F.col(column).isin(values), F.col(column)).otherwise(rest).alias(column))
+        values = [*values, rest]
     listed = df.sparkSession.createDataFrame([(v,) for v in values], "value string")
     counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     filled = listed.join(counted, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))

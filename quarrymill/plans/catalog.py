@@ -430,6 +430,16 @@ def source_stats_zero_filled(spark, d):
     return stats.zero_filled(table(spark, d, "documents"), "lang", ["en", "de", "fr", "es", "xx"])
 
 
+LANGUAGES = ["en", "de", "fr", "es", "ru", "zh", "ja", "hi", "ar", "th"]
+
+
+@query(f"""WITH v AS (SELECT unnest({[*LANGUAGES, 'other']}) AS value), f AS (SELECT CASE WHEN lang IN ({str(LANGUAGES)[1:-1]}) THEN lang ELSE 'other' END AS value, count(*) AS n FROM documents GROUP BY 1)
+SELECT value, coalesce(n, 0) AS n, CASE WHEN (SELECT count(*) FROM documents) > 0 THEN round(coalesce(n, 0) / (SELECT count(*) FROM documents), 6) ELSE 0.0 END AS share FROM v LEFT JOIN f USING (value)""")
+def source_stats_all(spark, d):
+    """Every document counts: a row for each language, and `other` for other spellings and null."""
+    return stats.zero_filled(table(spark, d, "documents"), "lang", LANGUAGES, "other")
+
+
 @query(f"""WITH {S.SKILLS}, {S.REPOSITORIES}, r AS (SELECT count(*) AS repositories, count(CASE WHEN is_archived THEN 1 END) AS archived, count(CASE WHEN is_fork THEN 1 END) AS forks FROM rp)
 SELECT r.*, s.* FROM r, (SELECT count(*) AS skills, count(CASE WHEN has_scripts THEN 1 END) AS with_scripts, count(declared_license) AS with_license, count(CASE WHEN len(allowed_tools) > 0 THEN 1 END) AS with_tools, max(indexed_at) AS last_indexed FROM sk) s""")
 def feature_counts(spark, d):

@@ -34,3 +34,11 @@ def test_candidates_without_a_blob_have_an_outcome(spark, tmp_path):
     assert got == {"a": ("skipped", "s1", T1, T2), "b": ("updated", "s9", T1, T2), "c": ("skipped", None, T2, T2), "d": ("inserted", "s3", T2, T2)}
     c = catalog.QUERIES["snapshot_counts_all"](spark, d).first()
     assert (c.item_count, c.skipped_count, c.ingested_count, c.stored_count, c.repository_count, c.valid_skill_count, c.warning_skill_count) == (4, 2, 2, 2, 2, 1, 1)
+
+
+def test_every_document_counts_in_the_shares(spark, tmp_path):
+    rows = [(i, lang) for i, lang in enumerate(["en", "en", "de", "zh", "EN", "de-XX", None, "th"])]
+    d = written(spark, tmp_path, documents=(rows, "doc_id long, lang string"))
+    got = {r.value: (r.n, r.share) for r in catalog.QUERIES["source_stats_all"](spark, d).collect()}
+    assert len(got) == 11 and sum(n for n, _ in got.values()) == 8
+    assert [got[v] for v in ("en", "zh", "th", "ja", "other")] == [(2, 0.25), (1, 0.125), (1, 0.125), (0, 0.0), (3, 0.375)]
