@@ -536,6 +536,14 @@ def discovery_plan(spark, d):
     return ingest.discovery_plan(seeds, ["name:", "description:"]).select("query")
 
 
+@query("""WITH s AS (SELECT min(trim(full_name)) AS repository, lower(trim(full_name)) AS k FROM repositories WHERE trim(full_name) <> '' GROUP BY 2), m AS (SELECT unnest(['name:', 'description:']) AS marker)
+SELECT marker || ' filename:SKILL.md repo:' || repository AS query FROM s CROSS JOIN m UNION ALL SELECT marker || ' filename:SKILL.md' FROM m""")
+def discovery_plan_all(spark, d):
+    """Every repository is a seed, whatever its stars."""
+    seeds = table(spark, d, "repositories").select(F.col("full_name").alias("repository")).distinct()
+    return ingest.discovery_plan(seeds, ["name:", "description:"]).select("query")
+
+
 @query("""SELECT repository_id, path, array_to_string(list_sort(list_distinct(flatten(list(matched_queries)))), '|') AS matched_queries, count(DISTINCT coalesce(git_blob_sha, '') || '|' || coalesce(repository_full_name, '')) AS versions FROM skill_candidates GROUP BY 1, 2""")
 def dedupe_candidates(spark, d):
     return ingest.merge_found(table(spark, d, "skill_candidates"), ["git_blob_sha", "repository_full_name"]).withColumn("matched_queries", F.array_join("matched_queries", "|"))

@@ -42,3 +42,9 @@ def test_every_document_counts_in_the_shares(spark, tmp_path):
     got = {r.value: (r.n, r.share) for r in catalog.QUERIES["source_stats_all"](spark, d).collect()}
     assert len(got) == 11 and sum(n for n, _ in got.values()) == 8
     assert [got[v] for v in ("en", "zh", "th", "ja", "other")] == [(2, 0.25), (1, 0.125), (1, 0.125), (0, 0.0), (3, 0.375)]
+
+
+def test_every_repository_is_a_seed(spark, tmp_path):
+    d = written(spark, tmp_path, repositories=([("a/x", 500), ("b/y", 3), ("c/z", None), ("B/Y", 2), (None, 900)], "full_name string, stars_count int"))
+    got = sorted(r.query for r in catalog.QUERIES["discovery_plan_all"](spark, d).collect())
+    assert got == sorted([f"{m} filename:SKILL.md{r}" for m in ("name:", "description:") for r in ("", " repo:B/Y", " repo:a/x", " repo:c/z")])
