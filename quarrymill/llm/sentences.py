@@ -183,6 +183,7 @@ def _letters(text: str, start: int, end: int, event: re.Pattern, letters: bytear
     letters.append(RESET)
     places.append(start)
     last = start
+    low = False  # whether a low opening mark is open, however far back
     for m in event.finditer(text, start, end):
         c = m.group()
         at = m.start()
@@ -200,13 +201,16 @@ def _letters(text: str, start: int, end: int, event: re.Pattern, letters: bytear
             last = at
             continue
         kind = 0
+        closes_low = head == "“" and low
+        if head in "„“”":
+            low = head == "„"
         if head == '"':
             before = text[at - 1] if at > start else " "
             if (before.isspace() or before in "([{¿¡„“«>—–-*_（「：，。！？、") and text.find('"', at + 1, end) >= 0:
                 kind, opening = 1, True
             else:
                 kind, opening = 1, False
-        elif head in _PAIRS and not (head == "“" and text.rfind("„", max(start, at - 400), at) > text.rfind("“", max(start, at - 400), at)):
+        elif head in _PAIRS and not closes_low:
             kind, partners = _PAIRS[head]
             opening = any(text.find(p, at + 1, end) >= 0 for p in partners)
             if not opening:
