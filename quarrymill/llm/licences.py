@@ -35,22 +35,26 @@ _LETTERS = re.compile(r"[\W_]+")
 #: A replaceable section: what a notice calls the thing it covers.
 _THING = r"(?:this (?:work|software|program|code|file|library|package|project)|the (?:\w+ ){1,3}?(?:files|file|work|software|program|code|library|package|project)|these files)"
 
+#: A line break that a mention does not go beyond: before a blank line, the end, or a line that labels its licence.
+_STOP = r"\n(?=[^\S\n]*(?:\n|\Z)|[^\n]*(?:\bspdx[-\s]+licen[cs]e[-\s]+identifier|@licen[cs]e\b)|licen[cs]e[ \t]*(?:[:=]|[-–—]\s))"
+_IN = rf"(?:[^.!?\n]|(?!{_STOP})\n)"
+_GAP = rf"(?:[^\S\n]|(?!{_STOP})\n)+"
 #: Sentences that mention a licence without stating it. Dots inside numbers and names are middle dots here.
 _MENTION = re.compile(
-    r"\b(?:(?:until|before)\s+\d{4}\b[^.!?;]*[.!?;]?"
-    r"|do\s+not\b[^.!?]*[.!?]?"
-    r"|(?:output|results?)\s+(?:is|are)\s+compared\b[^.!?]*[.!?]?"
-    r"|ships?\s+under\b[^.!?]*[.!?]?"
-    r"|scans\b[^.!?]*?\bwords?\b[^.!?]*[.!?]?"
+    rf"\b(?:(?:until|before){_GAP}\d{{4}}\b(?:(?!;){_IN})*[.!?;]?"
+    rf"|do{_GAP}not\b{_IN}*[.!?]?"
+    rf"|(?:output|results?){_GAP}(?:is|are){_GAP}compared\b{_IN}*[.!?]?"
+    rf"|(?:a|an|another){_GAP}\w+{_GAP}(?:that|which){_GAP}ships?{_GAP}under\b{_IN}*[.!?]?"
+    rf"|scans\b{_IN}*?\bwords?\b{_IN}*[.!?]?"
     r"|example(?:\s+value)?\s*:[^\n]*"
-    r"|(?:not|no\s+longer|never|formerly|previously|unlike|was)\s+(?:\w+\s+){0,3}?(?:licen[cs]ed|released|distributed|under)\b[^.!?]*[.!?]?)"
+    rf"|(?:not|no{_GAP}longer|never|formerly|previously|unlike|was){_GAP}(?:\w+{_GAP}){{0,3}}?(?:licen[cs]ed|released|distributed|under)\b{_IN}*[.!?]?)"
 )
 _OPENERS = re.compile(
     r"(?P<spdx>\bspdx[-\s]+licen[cs]e[-\s]+identifier[ \t]*:?[ \t]*)"
     r"|(?P<tag>@licen[cs]e\b[ \t]*:?[ \t]*)"
     r"|(?P<dual>\b(?:dual|multi)[-\s]+licen[cs]ed\b[^:.\n]*?(?::|\bunder\b)\s*)"
     r"|(?P<either>\b(?:licen[cs]ed|released|distributed|available)\s+under\s+(?:the\s+terms\s+of\s+)?either\s+(?:of\s+)?(?:the\s+)?)"
-    r"|(?P<under>\b(?:licen[cs]ed|released|distributed|available|published|provided|offered|free\s+to\s+use|covered|governed|usable|now)\s+(?:under|by)\s+(?:the\s+terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?)"
+    r"|(?P<under>\b(?:licen[cs]ed|released|distributed|available|published|provided|offered|free\s+to\s+use|covered|governed|usable|now|ships?)\s+(?:under|by)\s+(?:the\s+terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?)"
     r"|(?P<today>\btoday\s+(?:the\s+)?)"
     r"|(?P<label>(?:^|(?<=\n)|(?<=[.;]\s))licen[cs]e[ \t]*(?:[:=]|[-–—](?=\s))[ \t]*)"
 )
