@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 QUESTION = "escaped ledger review before the next run of the ledger"
-MODEL, DIMENSION = "lumen/mini-encoder-384", 384
+MODEL, REVISION, DIMENSION = "lumen/mini-encoder-384", "e3c43c44602b97fdddcc73dca1dfd9af4d05d1d2", 384
 
 
 def query(sql: str | None = None):
@@ -261,8 +261,7 @@ e AS (SELECT document_id, bool_or(model_id = '{MODEL}' AND model_dimension = {DI
 SELECT CASE WHEN e.document_id IS NULL THEN 'missing' WHEN list_contains(hs, h) THEN 'current' ELSE 'stale' END AS state, count(*) AS n FROM c LEFT JOIN e USING (document_id) GROUP BY 1""")
 def embedding_coverage(spark, d):
     c = table(spark, d, "corpus_documents").select("document_id", F.sha2(X.embedding_text(*[F.col(f) for f in corpus.FIELDS]), 256).alias("embedding_text_sha256")).distinct()
-    e = table(spark, d, "skill_embeddings").withColumn("model_revision", F.lit("any"))
-    return dense.coverage(c, e, MODEL, "any", DIMENSION).groupBy("state").agg(F.count("*").alias("n"))
+    return dense.coverage(c, table(spark, d, "skill_embeddings"), MODEL, REVISION, DIMENSION).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -1,5 +1,6 @@
 """Queries that take whole tables, on tables made by hand with the rows that narrower queries leave out."""
 
+import hashlib
 from datetime import datetime
 
 from quarrymill.plans import catalog
@@ -48,3 +49,15 @@ def test_every_repository_is_a_seed(spark, tmp_path):
     d = written(spark, tmp_path, repositories=([("a/x", 500), ("b/y", 3), ("c/z", None), ("B/Y", 2), (None, 900)], "full_name string, stars_count int"))
     got = sorted(r.query for r in catalog.QUERIES["discovery_plan_all"](spark, d).collect())
     assert got == sorted([f"{m} filename:SKILL.md{r}" for m in ("name:", "description:") for r in ("", " repo:B/Y", " repo:a/x", " repo:c/z")])
+
+
+def test_vectors_of_another_revision_are_stale(spark, tmp_path):
+    fields = ("name_text", "description_text", "metadata_text", "heading_text", "body_text")
+    text = "name: a\ndescription: a\nmetadata: a\nheadings: a\nbody: a"
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    vectors = [("now", catalog.MODEL, catalog.REVISION), ("before", catalog.MODEL, "0" * 40)]
+    d = written(
+        spark, tmp_path, corpus_documents=([(k, *"aaaaa") for k in ("now", "before", "none")], "document_id string, " + ", ".join(f"{f} string" for f in fields)),
+        skill_embeddings=([(k, m, r, 384, [1.0], sha) for k, m, r in vectors], "document_id string, model_id string, model_revision string, model_dimension int, embedding array<float>, embedding_text_sha256 string"),
+    )
+    assert {r.state: r.n for r in catalog.QUERIES["embedding_coverage"](spark, d).collect()} == {"current": 1, "stale": 1, "missing": 1}
