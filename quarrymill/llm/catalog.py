@@ -25,18 +25,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What names no entry, with how often it was typed."""
-    found = p3_found(spark, sf_dir).where("reference_id = 0")
-    values = names._values(table(spark, sf_dir, "skills"))
-    return found.join(values, ["skill_id", "field", "pos"]).groupBy("field", "value").agg(F.count("*").alias("times"))
+    found = names.resolved_values(table(spark, sf_dir, "skills"), table(spark, sf_dir, "canonical_values"))
+    return found.where("reference_id = 0").groupBy("field", "value").agg(F.count("*").alias("times"))
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every body that has one."""
-    return near.linked_groups(table(spark, sf_dir, "corpus_documents"), "skill_id", "body_text", 20, planes.BOUND).toDF("skill_id", "group_id")
+    return near.linked_groups(table(spark, sf_dir, "corpus_documents"), "skill_id", "body_text", 20, planes.Bits).toDF("skill_id", "group_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near.linked_groups(table(spark, sf_dir, "corpus_documents"), "skill_id", "body_text", 20, planes.BOUND)
+    groups = near.linked_groups(table(spark, sf_dir, "corpus_documents"), "skill_id", "body_text", 20, planes.Bits)
     return near.pairs_within(groups).toDF("skill_id_a", "skill_id_b")
 
 

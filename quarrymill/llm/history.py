@@ -1,31 +1,39 @@
 """New batches against everything accepted before, without going through the history again.
 
-What is accepted is kept as two appended tables: the keys a record holds (identity, blob, content, words), and a pivot
-table with a row for each band of each distinct text: its distances to the pivots. A batch is turned into the same rows,
-meets the stored ones by equal keys and by range within buckets, and adds its own; no stored text is cut into words
-again, except the few that have to be verified.
+What is accepted is kept as appended tables (`History`): the keys a record holds (identity, blob, content, words), the
+classes of its texts, and a pivot table: for each distinct text its distances to fixed pivots and its band keys. A batch
+is turned into the same rows. Its texts meet the stored ones in a join that is partitioned by ranges of the distance to
+the empty set (a partner lies in the same range or a neighbouring one) and by band; within a partition the other
+distances prune by the triangle inequality, and what is left is verified with the true metric. Then the batch's own rows
+are appended. No stored text is cut into words again, except those that have to be verified.
 
-Who is accepted is decided in rounds over all candidates at once: a candidate that matches the history is a case; of the
-rest, one that has no earlier undecided candidate among its matches is accepted; one that matches an accepted earlier
-one is a case. Equal keys never become pairs: for each key only the smallest order that holds it counts.
+Bands are needed as well as ranges, because distances to pivots alone tell two texts of one language apart by little more
+than their sizes; the README gives figures.
+
+Who is accepted is decided in rounds over the candidates of a batch at once: a candidate that matches the history is a
+case; of the rest, one that has no earlier undecided candidate among its matches is accepted; one that matches an
+accepted earlier one is a case. Equal keys never become pairs: for each key only the smallest order that holds it counts.
 
 Defined results: null, blank and wordless values match nothing; rows sent twice count once (the first arrival of a
-record_id); a path that leaves the repository keeps no key; records are taken by batch_id, then record_id; empty tables
-give no rows; other columns play no part.
+record_id); a path that leaves the repository keeps no key; records are taken by batch_id, then record_id, a null
+batch_id last; empty tables give no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import near, pivots
+from quarrymill.llm.words import Weights
 from quarrymill.runtime import Stage
 
 
@@ -110,7 +118,7 @@ def holds_of(records: DataFrame, members: DataFrame) -> DataFrame:
 
 def seeks_of(records: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
     """The keys whose holders a candidate matches: its own, and those of the texts its text is linked with."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("l")).select("l.*")
     mine = members.join(records.where("new").select("id", "batch"), "id")
     own = _listed(records.where("new"), F.col("sha")).select("id", "batch", "key")
     return own.unionByName(mine.select("id", "batch", _node("node"))).unionByName(mine.join(both, "node").select("id", "batch", _node("other")))
@@ -143,74 +151,151 @@ def decide(holds: DataFrame, seeks: DataFrame, undecided: DataFrame, stage: Stag
 
 
 def repeated(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(accepted_id, record_id): the records that every candidate repeats, all batches in one pass."""
-    stage = Stage(existing.sparkSession, "history")
-    records = stage.write(_old(existing).unionByName(_new(candidates)), "records")
-    members, nodes = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
-    members = stage.write(members, "members")
-    sides = members.join(records.select("id", "new"), "id").groupBy("node").agg(F.max("new").alias("new"), F.max(~F.col("new")).alias("old"))
-    nodes = stage.write(nodes.join(sides, "node"), "nodes")
-    # weights are those of the history, so that its stored bands stay valid; without a history, all words weigh alike
-    weights = near.word_weights(nodes.where("old"))
-    sketch, pairs_of = pivots.BOUND
-    bands = near.banded(nodes, weights, sketch, "new")
-    links = stage.write(near.verified(near.candidates(bands, pairs_of, "new"), nodes), "links")
-    holds, seeks = stage.write(holds_of(records, members), "holds"), stage.write(seeks_of(records, members, links), "seeks")
-    return decide(holds, seeks, records.where("new").select("id", "batch"), stage)[0]
+    """(accepted_id, record_id): the records that every candidate repeats, batch after batch against the stored history."""
+    spark = existing.sparkSession
+    stage = Stage(spark, "history")
+    held = History(spark, f"{stage.root}/held")
+    held.start(existing)
+    # a record belongs to the batch of its first arrival
+    first = stage.write(_new(candidates), "candidates")
+    found = None
+    for row in first.select("batch").distinct().orderBy("batch").collect():  # one row for each batch that arrived
+        one = held.add_records(first.where(F.col("batch") == row.batch))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        kind = existing.schema["record_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"accepted_id {kind}, record_id {candidates.schema['record_id'].dataType.simpleString()}")
+    return found
 
 
 class History:
     """The accepted records as tables below a folder, to which batches are added one by one.
 
-    Stored are keys (id, batch, new, key), classes of texts (node, text, bag), the pivot table (band, node, n, sketch) and
-    the word weights of the start. A batch reads of the pivot table only the bands it has itself, and cuts only its own
-    texts into words; stored texts are read again where they have to be verified.
+    Every step (the start, a batch) writes its rows into a folder of its own and is committed by one small file at its
+    end; readers see committed steps only, so a step that failed can be run again. Stored are keys (id, batch, new, key),
+    classes of texts (node, text, bag) and the pivot table (node, n, sketch, keys). The word weights, which decide the
+    band keys, are those of the texts held when they were made; they are made again, and all band keys with them, when
+    the number of texts has grown `REWEIGH`-fold, also from nothing. So their cost per text stays bounded.
     """
 
+    REWEIGH = 4
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
-
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(f"{self.root}/{name}")
+        jvm = spark.sparkContext._jvm
+        self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _log(self) -> list[dict]:
+        """What each committed step says of itself, in order."""
+        out = []
+        while self._fs.exists(self._path(f"{self.root}/{len(out):06d}/COMMITTED")):
+            stream = self._fs.open(self._path(f"{self.root}/{len(out):06d}/COMMITTED"))
+            try:
+                out.append(json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+        return out
+
+    def _commit(self, step: int, said: dict) -> None:
+        part, final = (self._path(f"{self.root}/{step:06d}/{name}") for name in ("COMMITTING", "COMMITTED"))
+        stream = self._fs.create(part, True)
+        stream.write(bytearray(json.dumps(said), "utf-8"))
+        stream.close()
+        if not self._fs.rename(part, final):
+            raise OSError(f"could not commit step {step} of {self.root}")
+
+    def _read(self, name: str, log: list[dict], since: int = 0) -> DataFrame:
+        return self.spark.read.schema(log[0]["schemas"][name]).parquet(*[f"{self.root}/{k:06d}/{name}" for k in range(since, len(log))])
+
+    def _write(self, df: DataFrame, step: int, name: str) -> DataFrame:
+        path = f"{self.root}/{step:06d}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _weights(self, step: int) -> Weights:
+        rows = self.spark.read.parquet(f"{self.root}/{step:06d}/weights").toArrow()  # bounded, see near.word_weights
+        return Weights(rows.column("e").to_numpy(), rows.column("w").to_numpy())
+
+    def _store_weights(self, nodes: DataFrame, step: int) -> Weights:
+        weights = near.word_weights(nodes)
+        rows = pa.table({"e": pa.array(weights.elements, pa.int64()), "w": pa.array(weights.weights, pa.float64())})
+        self._write(self.spark.createDataFrame(rows), step, "weights")
+        return weights
 
     def start(self, existing: DataFrame) -> None:
+        """The first step: the history there is. It may be empty."""
         stage = Stage(self.spark, "history")
         records = stage.write(_old(existing), "records")
         members, nodes = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
-        weights = near.word_weights(nodes)
-        self.spark.createDataFrame(list(weights.items()), "e long, w double").write.parquet(f"{self.root}/weights")
-        self._append(nodes, "nodes")
-        self._append(near.banded(nodes, weights, pivots.BOUND[0]), "bands")
-        self._append(holds_of(records, members), "holds")
+        weights = self._store_weights(nodes, 0)
+        made = {"nodes": nodes, "marks": near.marks(nodes, weights, pivots.Pivots), "holds": holds_of(records, members)}
+        written = {name: self._write(df, 0, name) for name, df in made.items()}
+        texts = written["nodes"].count()
+        ddl = {name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for name, df in made.items()}
+        self._commit(0, {"texts": texts, "weighed": texts, "weights": 0, "schemas": ddl})
 
     def add(self, batch: DataFrame) -> DataFrame:
         """(accepted_id, record_id) for the candidates of a batch that are held already; the others are accepted."""
+        stage = Stage(self.spark, "arrived")
+        return self.add_records(stage.write(_new(batch), "records"))
+
+    def add_records(self, records: DataFrame) -> DataFrame:
+        """As `add`, for a written table of records."""
+        log = self._log()
+        if not log:
+            raise ValueError("the history was not started")
+        step, said = len(log), log[-1]
         stage = Stage(self.spark, "batch")
-        sketch, pairs_of = pivots.BOUND
-        weights = {r.e: r.w for r in self._read("weights").collect()}  # bounded, see near.word_weights
-        records = stage.write(_new(batch), "records")
-        mine, fresh = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
-        stored = self._read("nodes")
-        known = fresh.select(F.col("node").alias("mine"), "bag").join(stored.select("node", "bag"), "bag")
-        members = stage.write(mine.withColumnRenamed("node", "mine").join(known.select("mine", "node"), "mine", "left").select("id", F.coalesce("node", "mine").alias("node")), "members")
-        fresh = stage.write(fresh.join(known.select(F.col("mine").alias("node")), "node", "left_anti"), "fresh")
-        asked = stage.write(fresh.select("node", "text").unionByName(known.select("node").distinct().join(stored.select("node", "text"), "node")), "asked")
-        bands = stage.write(near.banded(asked, weights, sketch), "bands")
-        old = self._read("bands").join(bands.select("band").distinct(), "band", "left_semi").join(asked.select("node"), "node", "left_anti")
-        pairs = near.candidates(old.withColumn("new", F.lit(False)).unionByName(bands.withColumn("new", F.lit(True))), pairs_of, "new")
+        stored = self._read("nodes", log)
+        bags = stage.write(near.bags(records.where("text IS NOT NULL"), "id", "text", 1), "bags")
+        mine = bags.groupBy("bag").agg(F.min("id").alias("mine"), F.min_by("text", "id").alias("text"))
+        # a class that is stored keeps its node
+        placed = stage.write(mine.join(stored.select("bag", F.col("node").alias("held")), "bag", "left"), "placed")
+        fresh = placed.where("held IS NULL").select(F.col("mine").alias("node"), "text", "bag")
+        known = placed.where("held IS NOT NULL").select(F.col("held").alias("node"))
+        members = bags.select("id", "bag").distinct().join(placed.select("bag", F.coalesce("held", "mine").alias("node")), "bag").select("id", "node")
+        weights = self._weights(said["weights"]) if said["weighed"] else self._store_weights(fresh, step)
+        old = self._read("marks", log, said["weights"])
+        marked = near.marks(fresh, weights, pivots.Pivots).withColumn("fresh", F.lit(True))
+        asked = stage.write(marked.unionByName(old.join(known, "node", "left_semi").withColumn("fresh", F.lit(False))), "asked")
         texts = stored.select("node", "text").unionByName(fresh.select("node", "text"))
-        links = stage.write(near.verified(pairs, texts), "links")
-        held = stage.write(holds_of(records, members), "holds")
+        links = near.verified(self._near(asked, old, stage), texts)
         seeks = stage.write(seeks_of(records, members, links), "seeks")
-        before = self._read("holds").join(seeks.select("key").distinct(), "key", "left_semi").withColumn("new", F.lit(False))
-        holds = stage.write(before.unionByName(held), "both")
+        before = self._read("holds", log).join(seeks.select("key").distinct(), "key", "left_semi").withColumn("new", F.lit(False))
+        holds = stage.write(before.unionByName(holds_of(records, members)), "holds")
         found, accepted = decide(holds, seeks, records.select("id", "batch"), stage)
-        found, accepted = stage.write(found, "found"), stage.write(accepted, "new")
+        found = stage.write(found, "found")
+        # what was accepted is appended
         kept = members.join(accepted.select("id"), "id", "left_semi").select("node").distinct()
-        self._append(fresh.join(kept, "node", "left_semi").select("node", "text", "bag"), "nodes")
-        self._append(bands.join(fresh.select("node"), "node", "left_semi").join(kept, "node", "left_semi").select("band", "node", "n", "sketch"), "bands")
-        self._append(held.join(accepted.select("id"), "id", "left_semi"), "holds")
+        added = self._write(fresh.join(kept, "node", "left_semi"), step, "nodes")
+        self._write(holds.where("new").join(accepted.select("id"), "id", "left_semi"), step, "holds")
+        count, weighed, at = said["texts"] + added.count(), said["weighed"], said["weights"]
+        if not weighed or count >= self.REWEIGH * weighed:
+            every = stored.select("node", "text").unionByName(added.select("node", "text"))
+            weights, weighed, at = self._store_weights(every, step), count, step
+            self._write(near.marks(every, weights, pivots.Pivots), step, "marks")
+        else:
+            self._write(asked.where("fresh").drop("fresh").join(added.select("node"), "node", "left_semi"), step, "marks")
+        self._commit(step, {"texts": count, "weighed": weighed, "weights": at})
         return found
+
+    def _near(self, asked: DataFrame, old: DataFrame, stage: Stage) -> DataFrame:
+        """(a, b): pairs of a text of the batch and another, stored or of the batch, that bands and pivots do not keep apart.
+
+        asked: marks of the batch's texts, `fresh` or stored already; old: the stored marks.
+        """
+        cell = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(float(np.log(pivots.LONGEST))) + 1e-9).cast("int")  # as pivots.cell
+        own = asked.select("node", "keys", F.explode(F.sequence(F.greatest(cell - 1, F.lit(0)), cell + 1)).alias("cell"))
+        own = own.select(F.explode("keys").alias("band"), "cell", "node", F.lit(True).alias("new"))
+        # the range join: stored rows whose band and range the batch asks for
+        wanted = own.select("band", "cell").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(near.SALTS - 1))))
+        theirs = old.select(F.explode("keys").alias("band"), cell.alias("cell"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(near.SALTS)).cast("int"))
+        met = theirs.join(wanted, ["band", "cell", "salt"], "left_semi").join(asked.where("NOT fresh").select("node"), "node", "left_anti")
+        rows = near.shared(stage.write(own.unionByName(met.select("band", "cell", "node", F.lit(False).alias("new"))), "met"), ["band", "cell"])
+        mine, theirs = asked.select("node", "n", "sketch"), old.select("node", "n", "sketch")
+        full = rows.where("new").join(mine, "node").unionByName(rows.where("NOT new").join(theirs, "node"))
+        usual = full.where(F.col("c") <= near.TILE).withColumn("tile", F.lit(0).cast("long")).withColumn("block", F.lit(0))
+        crowded = near.tiled(full.where(F.col("c") > near.TILE), near.TILE)
+        columns = ["band", "cell", "tile", "block", "node", "n", "sketch", "new"]
+        return near.compared(usual.select(*columns).unionByName(crowded.select(*columns)), ["band", "cell"], pivots.Pivots)

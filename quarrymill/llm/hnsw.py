@@ -19,12 +19,13 @@ STEER = 384
 BATCH = 512
 
 
-def projection(dim: int) -> np.ndarray:
-    """A fixed orthogonal projection; every shard uses the same."""
+def steering(vectors: np.ndarray) -> np.ndarray:
+    """What steers the search for vectors; every shard uses the same projection."""
+    dim = vectors.shape[1]
     if dim <= STEER:
-        return np.eye(dim, dtype=np.float32)
+        return vectors
     q, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((dim, STEER)))
-    return np.ascontiguousarray(q.astype(np.float32) * np.sqrt(dim / STEER))
+    return vectors @ np.ascontiguousarray(q.astype(np.float32) * np.sqrt(dim / STEER))
 
 
 def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def diverse(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, sims: n
 class Graph:
     def __init__(self, vectors: np.ndarray):
         """vectors: unit length, float32."""
-        self.points = vectors @ projection(vectors.shape[1])
+        self.points = steering(vectors)
         n = len(vectors)
         u = (np.random.default_rng(n).random(n) + 1e-12).clip(max=1.0)
         levels = np.minimum((-np.log(u) / np.log(LINKS)).astype(np.int64), 4) if n else np.zeros(0, np.int64)
@@ -180,7 +181,7 @@ class Graph:
         """Ids of the up to ef nodes nearest to each vector; -1 where there are fewer. own: the nodes that the vectors are, if they are; a search starts there too."""
         out = []
         for low in range(0, len(vectors), BATCH):
-            q = vectors[low : low + BATCH] @ projection(vectors.shape[1])
+            q = steering(vectors[low : low + BATCH])
             at = np.full((len(q), 1), self.entry)
             for level in range(self.top, 0, -1):
                 at, _ = beam(self.points, self.links[level], q, at, EF_ABOVE)

@@ -1,11 +1,18 @@
 """The licence of every repository and file, from grammars over comment text.
 
-Templates are compiled into backtracking grammars. A notice template is the notice's words in order, with its
-replaceable section ("this work" may be "the ... files", "this program" and the like) and with punctuation and line
-breaks free. Statement templates are the sentences that put a file under a licence ("licensed under ...",
-"SPDX-License-Identifier: ..."), with optional parts and a section for the name, which is read by the resolver of typed
-values: the longest reading without a slip, else the longest within two slips. Sentences that only mention a licence, or
-one no longer in force, are templates of their own and are consumed before names are read.
+A comment text is read completely, as a sequence of notices, labels, statements, titles and other prose.
+
+Notices are templates compiled into grammars over words: a word, an optional word (an article), or a replaceable section
+(what a notice calls the thing it covers). A grammar that matches as it stands is found by backtracking; else the notice
+is aligned with the words of the text, at most one edit (a word put in, left out or exchanged) for every `WORDS_AN_EDIT`
+words of the template. What a notice covers is taken out of the text before the rest is read.
+
+The rest is cut into clauses. A clause states a licence if it is, as a whole, a label with names ("SPDX-License-Identifier:
+..."), a name on its own, names with a verb of force ("today the ... does"), or a subject, a verb of licensing, a link
+("under", "governed by" ...) and names. The subject, verb and adverbs before the link decide about scope and tense: a
+clause that is negated, conditional or past, or whose subject is another thing than the file (an indefinite thing, or one
+that a relative clause speaks of), states nothing. Names are read by the resolver of typed values: the longest reading
+without a slip, else the longest within its slips.
 
 Defined results: null and empty texts state nothing; a licence stated several times counts once; rows repeated verbatim
 count once; a file of an unknown skill or repository has no enclosing licence and the flag unknown; empty tables give no
@@ -27,46 +34,45 @@ from pyspark.sql import functions as F
 from quarrymill.llm import names
 
 FIELD = "declared_license"
+WORDS_AN_EDIT = 10
 _MARKS = re.compile(r"^[ \t]*(?:#!.*$|/\*+|\*+/|<!--+|--+>|\*(?!\w)|//+|#+|--+|;+|%+|\"\"\"|''')?[ \t]*")
 _TAIL = re.compile(r"[ \t]*(?:\*+/|--+>|\"\"\"|''')[ \t]*$")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-_HINT = re.compile(r"licen[cs]|spdx|under|governed|today")
+_HINT = re.compile(r"licen[cs]|spdx|under|govern|cover|subject|today|now|since|appl|terms")
 _LETTERS = re.compile(r"[\W_]+")
 #: A replaceable section: what a notice calls the thing it covers.
-_THING = r"(?:this (?:work|software|program|code|file|library|package|project)|the (?:\w+ ){1,3}?(?:files|file|work|software|program|code|library|package|project)|these files)"
-
-#: A line break that a mention does not go beyond: before a blank line, the end, or a line that labels its licence.
-_STOP = r"\n(?=[^\S\n]*(?:\n|\Z)|[^\n]*(?:\bspdx[-\s]+licen[cs]e[-\s]+identifier|@licen[cs]e\b)|licen[cs]e[ \t]*(?:[:=]|[-–—]\s))"
-_IN = rf"(?:[^.!?\n]|(?!{_STOP})\n)"
-_GAP = rf"(?:[^\S\n]|(?!{_STOP})\n)+"
-#: Sentences that mention a licence without stating it. Dots inside numbers and names are middle dots here.
-_MENTION = re.compile(
-    rf"\b(?:(?:until|before){_GAP}\d{{4}}\b(?:(?!;){_IN})*[.!?;]?"
-    rf"|do{_GAP}not\b{_IN}*[.!?]?"
-    rf"|(?:output|results?){_GAP}(?:is|are){_GAP}compared\b{_IN}*[.!?]?"
-    rf"|(?:a|an|another){_GAP}\w+{_GAP}(?:that|which){_GAP}ships?{_GAP}under\b{_IN}*[.!?]?"
-    rf"|scans\b{_IN}*?\bwords?\b{_IN}*[.!?]?"
-    r"|example(?:\s+value)?\s*:[^\n]*"
-    rf"|(?:not|no{_GAP}longer|never|formerly|previously|unlike|was){_GAP}(?:\w+{_GAP}){{0,3}}?(?:licen[cs]ed|released|distributed|under)\b{_IN}*[.!?]?)"
-)
-_OPENERS = re.compile(
-    r"(?P<spdx>\bspdx[-\s]+licen[cs]e[-\s]+identifier[ \t]*:?[ \t]*)"
-    r"|(?P<tag>@licen[cs]e\b[ \t]*:?[ \t]*)"
-    r"|(?P<dual>\b(?:dual|multi)[-\s]+licen[cs]ed\b[^:.\n]*?(?::|\bunder\b)\s*)"
-    r"|(?P<either>\b(?:licen[cs]ed|released|distributed|available)\s+under\s+(?:the\s+terms\s+of\s+)?either\s+(?:of\s+)?(?:the\s+)?)"
-    r"|(?P<under>\b(?:licen[cs]ed|released|distributed|available|published|provided|offered|free\s+to\s+use|covered|governed|usable|now|ships?)\s+(?:under|by)\s+(?:the\s+terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?)"
-    r"|(?P<today>\btoday\s+(?:the\s+)?)"
-    r"|(?P<label>(?:^|(?<=\n)|(?<=[.;]\s))licen[cs]e[ \t]*(?:[:=]|[-–—](?=\s))[ \t]*)"
-)
+_THING = r"(?:this (?:work|software|program|code|file|library|package|project|module|material)|(?:the|our) (?:\w+ ){0,3}?(?:files|file|work|software|program|code|library|package|project|module|material)|these files)"
+_COVERED = re.compile(rf"\b{_THING}\b")
+#: Optional words of a notice.
+ARTICLES = frozenset(("the", "a", "an"))
+
+_LABEL = re.compile(r"(?:spdx[-\s]+licen[cs]e[-\s]+identifier[ \t]*:?|@licen[cs]e\b[ \t]*:?|licen[cs]es?[ \t]*(?:[:=]|[-–—](?=\s)))[ \t]*")
+_LABEL_LINE = re.compile(rf"^[ \t]*(?={_LABEL.pattern})", re.I | re.M)
+#: Where a clause ends: an end mark or semicolon before white space, a blank line, before a label, before a line that starts with a verb of licensing.
+_CLAUSE = re.compile(r"[.!?;](?=\s|$)|\n[ \t]*\n|\n(?=[ \t]*(?:Licen[cs]ed|Released|Distributed|Published|Dual|Multi|Copyright)\b)")
+_TERMS = r"(?:(?:the\s+)?(?:same\s+)?terms(?:\s+and\s+conditions)?\s+of\s+)?(?P<either>either\s+(?:of\s+)?)?(?:the\s+)?"
+_LINK = re.compile(rf"\b(?:under|(?:governed|covered)\s+by|subject\s+to|in\s+accordance\s+with|according\s+to)\s+{_TERMS}")
+_DUAL = re.compile(r"\b(?:dual|double|multi|triple)[-\s]+licen[cs]ed\b[^:\n]*?:\s*(?:the\s+)?")
+_IN_FORCE = re.compile(r"(?:(?:today|now|currently|at present|since\s+\d{4}|from\s+\d{4}(?:\s+on)?)\b,?\s*)?(?:the\s+)?")
+_FORCE = re.compile(r"\s*(?:does|applies|holds|governs|covers|is\s+in\s+force)\b(?!\s+(?:not|no)\b)")
 _OR = re.compile(r"\s*(?:,?\s*\bor\b|/|\|\|?|,)\s*(?:the\s+)?")
 _AND = re.compile(r"\s*(?:,?\s*\band\b|&|\+)\s*(?:the\s+)?")
 _PIECE = re.compile(r"\s*[(\[]?[^\W_][^\s;()\[\]]*[)\]]?,?")
 _ENDS = re.compile(r"(?:[.!?:]|\))$")
-_DOES = re.compile(r"\s*(?:does|applies|holds|is)\b")
 _INNER_DOT = re.compile(r"\.(?=\w)")
-#: What a bare title within two slips of a name has at least.
+_TOKEN = re.compile(r"[\w'’-]+")
+# Closed classes of English words that decide about a clause before its link.
+#: Verbs of licensing, by their stems.
+_VERB = re.compile(r"^(?:licen[cs]|sublicen[cs]|releas|distribut|redistribut|availab|publish|provid|offer|free|govern|cover|us(?:e|ed|es|able|age)$|ship|subject|permit|allow|cop(?:y|ied|ies)$|shar(?:e|ed)$|grant|plac|put$|fall|remain|stay|come|modif|contribut|dual|multi)")
+NEGATED = frozenset("not no never nor neither cannot nobody nothing none without unlike except don't doesn't isn't aren't won't don’t doesn’t isn’t aren’t".split())
+CONDITIONAL = frozenset("if unless whether would could should might were".split())
+PAST = frozenset("was were had until before formerly previously once originally earlier ago".split())
+RELATIVE = frozenset("that which who whose where".split())
+#: Determiners of things other than the file itself.
+OTHER = frozenset("a an another other others some any each every their its his her upstream".split())
+OWN = frozenset("this these the our all".split())
+#: What a bare title within slips of a name has at least.
 _TITLE_HINT = re.compile(r"lic|ice|cen|ens|nse|comm|attr")
-LONGEST_NAME = 9
 
 
 def comment_text(text: str) -> str:
@@ -75,11 +81,58 @@ def comment_text(text: str) -> str:
     return "\n".join(_TAIL.sub("", _MARKS.sub("", line)).strip() for line in lines)
 
 
-def notice_grammar(notice: str) -> regex.Pattern:
-    """A notice as a grammar over words parted by single blanks."""
-    words = " ".join(_WORD.findall(unicodedata.normalize("NFKC", notice).lower()))
-    parts = words.split("this work")
-    return regex.compile(r"\b" + _THING.join(regex.escape(p, special_only=True) for p in parts) + r"\b")
+def own_and_in_force(clause: str) -> bool:
+    """Whether the words before a link speak of the file itself, as something that holds now."""
+    found = _TOKEN.findall(clause)
+    if any(w in NEGATED or w in CONDITIONAL or w in PAST for w in found):
+        return False
+    if not found:
+        return True
+    if not any(_VERB.match(w) for w in found) and found[-1] not in ("is", "are", "now"):
+        return False
+    for i, w in enumerate(found):
+        if w in RELATIVE:
+            # the relative clause speaks of what its nearest determiner stands before
+            for x in reversed(found[:i]):
+                if x in OTHER:
+                    return False
+                if x in OWN:
+                    break
+    return found[0] not in OTHER
+
+
+class Notice:
+    """A notice as a grammar over words."""
+
+    def __init__(self, canonical: str, notice: str):
+        self.canonical = canonical
+        text = " ".join(_WORD.findall(unicodedata.normalize("NFKC", notice).lower()))
+        self.items = _COVERED.sub("\u0000", text).split()
+        parts = [rf"(?:{regex.escape(w)} )?" if w in ARTICLES else r"\u0000 " if w == "\u0000" else regex.escape(w) + " " for w in self.items]
+        self.exact = regex.compile(r"(?<!\S)" + "".join(parts))
+        self.edits = len(self.items) // WORDS_AN_EDIT
+        pairs = set(zip(self.items, self.items[1:], strict=False))
+        self.pairs, self.needed = pairs, max(1, len(pairs) - 2 * self.edits - sum(w in ARTICLES for w in self.items))
+
+    def find(self, found: list[str], joined: str, pairs: set) -> tuple[int, int] | None:
+        """(first, end) of the words that the notice covers."""
+        m = self.exact.search(joined)
+        if m:
+            first = joined.count(" ", 0, m.start())
+            return first, first + m.group().count(" ")
+        if not self.edits or len(self.pairs & pairs) < self.needed:
+            return None
+        # alignment with free ends; each cell is (edits, where the match began)
+        row = [(0, j) for j in range(len(found) + 1)]
+        for w in self.items:
+            free = w in ARTICLES
+            last, row = row, [(row[0][0] + (not free), 0)]
+            for j, x in enumerate(found, 1):
+                best = (last[j - 1][0] + (w != x), last[j - 1][1])
+                best = min(best, (last[j][0] + (not free), last[j][1]), (row[j - 1][0] + (x not in ARTICLES), row[j - 1][1]))
+                row.append(best)
+        edits, end = min((c[0], j) for j, c in enumerate(row))
+        return (row[end][1], end) if edits <= self.edits else None
 
 
 class Grammar:
@@ -87,10 +140,9 @@ class Grammar:
         self.resolver = names.Resolver([e for e in entries if e[1] == FIELD])
         self.canonical = {e[0]: e[2] for e in entries if e[1] == FIELD}
         self.by_key = {c.strip().casefold(): c for c in self.canonical.values()}
-        self.notices = [(c, notice_grammar(t)) for c, t in notices if t and t.strip()]
-        # the first words of the notices tell which texts need the grammars at all
-        self.starts = tuple({" ".join(_WORD.findall(t.lower())[:2]) for _, t in notices if t and t.strip()})
-        self.odd_starts = any("anyone" not in x for x in self.starts)
+        self.notices = [Notice(c, t) for c, t in notices if t and t.strip()]
+        #: No name has more letters than the longest form and its slips.
+        self.longest = max((len(form) for _, form in self.resolver.exact), default=0) + names.SLIPS + len("the") + max(map(len, names.AFTER_VERSION)) + len("license")
         self.near = lru_cache(100_000)(self._near)
         self.stated = lru_cache(20_000)(self._stated)
 
@@ -105,16 +157,17 @@ class Grammar:
 
     def _named(self, key: str) -> str | None:
         """The licence whose form a squeezed text is, without a slip."""
-        return self.canonical.get(self.resolver.exact.get((FIELD, key), 0))
+        found = self.resolver.exact
+        return self.canonical.get(found.get((FIELD, key), 0) or found.get((FIELD, names.bare(key)), 0))
 
     def _near(self, key: str) -> str | None:
-        near = self.resolver.slipped(FIELD, key) if len(key) > 4 else None
+        near = self.resolver.slipped(FIELD, key)
         return self.canonical.get(near[3]) if near else None
 
-    def read(self, text: str, at: int) -> tuple[str, int] | None:
-        """The licence named by the words of text from a place on, and where its name ends."""
-        keys, key, first = [], "", at
-        for _ in range(LONGEST_NAME):
+    def read(self, text: str, at: int, slips: bool = True) -> tuple[str, int] | None:
+        """The licence named by the words of text from a place on, with slips or without, and where its name ends."""
+        keys, key = [], ""
+        while len(key) <= self.longest:
             m = _PIECE.match(text, at)
             if not m:
                 break
@@ -127,7 +180,7 @@ class Grammar:
         for key, end in reversed(keys):
             if found := self._named(key):
                 return found, end
-        for key, end in reversed(keys):
+        for key, end in reversed(keys if slips else []):
             if found := self.near(key):
                 return found, end
         return None
@@ -152,51 +205,103 @@ class Grammar:
             else:
                 return found, choice, end
 
+    def _notices(self, body: str, plain: set[str]) -> str:
+        """body without the notices in it, whose licences are added to plain."""
+        while True:
+            spans = [m.span() for m in _WORD.finditer(body)]
+            low = [body[a:b].lower() for a, b in spans]
+            # a replaceable section is one word
+            text = " ".join(low) + " "
+            found, where, at, k = [], [], 0, 0
+            for m in _COVERED.finditer(text):
+                n = text.count(" ", at, m.start())
+                found += low[k : k + n]
+                where += range(k, k + n)
+                k += n
+                size = m.group().count(" ") + 1
+                found.append("\u0000")
+                where.append(k)
+                k += size
+                at = m.end() + 1
+            found += low[k:]
+            where += range(k, len(low))
+            where.append(len(low))
+            pairs = set(zip(found, found[1:], strict=False))
+            joined = "".join(w + " " for w in found)
+            for notice in self.notices:
+                hit = notice.find(found, joined, pairs)
+                if hit and hit[1] > hit[0]:
+                    plain.add(notice.canonical)
+                    first, last = where[hit[0]], where[hit[1]] - 1
+                    body = body[: spans[first][0]] + "\n\n" + body[spans[last][1] :]
+                    break
+            else:
+                return body
+
+    def _clause(self, text: str) -> list[tuple[list[str], bool]]:
+        """[(names, whether a choice)] that a clause, in lower case, states."""
+        text = text.strip()
+        if not text:
+            return []
+        label = _LABEL.match(text)
+        if label:
+            end = label.end()
+            if end >= len(text) or text[end] == "\n":
+                return []
+            found, choice, end = self._names(text, end)
+            # what follows the names is a clause of its own
+            return [*([(found, choice)] if found else []), *self._clause(text[end:].lstrip(" \t,)]") if found else text[end:].partition("\n")[2])]
+        if dual := _DUAL.search(text):
+            found, choice, _ = self._names(text, dual.end())
+            return [(found, True)] if found and own_and_in_force(text[: dual.start()] + " licensed") else []
+        out, start = [], 0
+        for link in _LINK.finditer(text):
+            before = text[start : link.start()] + (" " + link.group().split()[0] if not link.group().startswith("under") else "")
+            found, choice, end = self._names(text, link.end())
+            if found and own_and_in_force(before):
+                out.append((found, choice or bool(link.group("either"))))
+                start = end
+        if not out:
+            # without a word for now, the subject of any sentence stands here: only a name without a slip is one
+            since = _IN_FORCE.match(text)
+            adverb = since.group().strip() not in ("", "the")
+            found, choice, end = self._names(text, since.end()) if adverb or self.read(text, since.end(), False) else ([], False, 0)
+            if found and _FORCE.match(text, end):
+                out.append((found, choice))
+        return out
+
     def _stated(self, text: str) -> tuple[frozenset, frozenset]:
         """(licences stated, licences of a choice) of a header or licence file."""
         plain: set[str] = set()
         choices: set[str] = set()
-        body = _INNER_DOT.sub("\u00b7", comment_text(text).lower())
-        if "anyone" in body or self.odd_starts:
-            words = " ".join(_WORD.findall(body))
-            if any(s in words for s in self.starts):
-                for canonical, grammar in self.notices:
-                    if grammar.search(words):
-                        plain.add(canonical)
-        if _HINT.search(body):
-            rest = _MENTION.sub(" ", body)
-            at = 0
-            while m := _OPENERS.search(rest, at):
-                at = m.end()
-                if at >= len(rest) or (rest[at] == "\n" and m.lastgroup in ("spdx", "tag", "label")):
-                    continue  # no name on the line
-                found, choice, end = self._names(rest, at)
-                if not found or m.lastgroup == "today" and not _DOES.match(rest, end):
-                    continue
-                at = end
-                if choice and len(set(found)) > 1:
-                    choices.update(found)
-                else:
-                    plain.update(found)
-        for line in body.split("\n"):
-            if 2 < len(line) <= 80 and line.count(" ") < LONGEST_NAME and ":" not in line:
-                key = _LETTERS.sub("", line).replace("licence", "license").removeprefix("the")
-                named = self._named(key) or (_TITLE_HINT.search(key) and self.near(key))
-                if named:
-                    plain.add(named)
+        body = self._notices(comment_text(text), plain)
+        body = _INNER_DOT.sub("\u00b7", body)
+        if _HINT.search(body.lower()):
+            for part in _LABEL_LINE.sub("\u0000", body).split("\u0000"):
+                for clause in _CLAUSE.split(part):
+                    for found, choice in self._clause(clause.lower()):
+                        (choices if choice and len(set(found)) > 1 else plain).update(found)
+        for line in body.lower().split("\n"):
+            key = _LETTERS.sub("", line).replace("licence", "license").removeprefix("the") if ":" not in line else ""
+            if 2 < len(key) <= self.longest and (named := self._named(key) or (_TITLE_HINT.search(key) and self.near(key))):
+                plain.add(named)
         return frozenset(plain), frozenset(choices)
 
     def file(self, header: str | None, enclosing: str | None, repository_flag: str) -> tuple[str, str]:
-        plain, choices = self.stated(header) if header else (frozenset(), frozenset())
-        if choices and plain <= choices:
-            return " OR ".join(sorted(choices)), "conflict" if enclosing and enclosing not in choices else "ok"
-        stated = plain | choices
-        if len(stated) > 1:
-            return "NONE", "conflict"
-        if stated:
-            (one,) = stated
-            return one, "conflict" if enclosing and enclosing != one else "ok"
-        return (enclosing, "ok") if enclosing else ("NONE", repository_flag)
+        return verdict(*(self.stated(header) if header else (frozenset(), frozenset())), enclosing, repository_flag)
+
+
+def verdict(plain: frozenset, choices: frozenset, enclosing: str | None, repository_flag: str) -> tuple[str, str]:
+    """(license, flag) of a file whose header states plain licences and those of a choice."""
+    if choices and plain <= choices:
+        return " OR ".join(sorted(choices)), "conflict" if enclosing and enclosing not in choices else "ok"
+    stated = plain | choices
+    if len(stated) > 1:
+        return "NONE", "conflict"
+    if stated:
+        (one,) = stated
+        return one, "conflict" if enclosing and enclosing != one else "ok"
+    return (enclosing, "ok") if enclosing else ("NONE", repository_flag)
 
 
 def decide(repositories: DataFrame, skills: DataFrame, skill_files: DataFrame, reference: DataFrame) -> DataFrame:
@@ -248,20 +353,30 @@ def decide(repositories: DataFrame, skills: DataFrame, skill_files: DataFrame, r
         )
     )
     declared = names.latest(skills, "skill_id", "last_seen_at", ["declared_license"]).mapInArrow(read_declared, "skill_id bigint, declared string")
-    own = files.where("skill_id IS NOT NULL").join(declared, "skill_id", "left").join(evidence.drop("own"), "repository_id", "left")
 
-    def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = grammar()
         for batch in batches:
-            ids, headers, enclosing, flags = (batch.column(i) for i in range(4))
-            out = [g.file(h, e, f) for h, e, f in zip(headers.to_pylist(), enclosing.to_pylist(), flags.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["subject_id", "license", "flag"])
-
-    of_files = own.select(
-        F.col("file_id").alias("subject_id"),
-        "header_text",
-        F.coalesce("declared", F.when(F.col("flag") == "ok", F.col("license"))).alias("enclosing"),
-        F.coalesce("flag", F.lit("unknown")).alias("flag"),
-    ).mapInArrow(read_files, "subject_id bigint, license string, flag string")
+            said = [g.stated(h) if h else (frozenset(), frozenset()) for h in batch.column(3).to_pylist()]
+            lists = [pa.array([sorted(x[k]) for x in said], pa.list_(pa.string())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], names=["file_id", "skill_id", "repository_id", "plain", "choices"])
+
+    # headers are read where their rows are; only what they state meets the skills and repositories. The joins are by the skewed keys, of few bytes a row
+    own = files.where("skill_id IS NOT NULL").select("file_id", "skill_id", "repository_id", "header_text")
+    own = own.mapInArrow(read_headers, "file_id bigint, skill_id bigint, repository_id bigint, plain array<string>, choices array<string>")
+    own = own.join(declared, "skill_id", "left").join(evidence.drop("own"), "repository_id", "left")
+    enclosing = F.coalesce("declared", F.when(F.col("flag") == "ok", F.col("license")))
+    stated = F.array_union("plain", "choices")
+    offered = (F.size("choices") > 0) & (F.size(F.array_except("plain", "choices")) == 0)
+    license_ = (
+        F.when(offered, F.array_join(F.array_sort("choices"), " OR "))
+        .when(F.size(stated) > 1, "NONE").when(F.size(stated) == 1, stated[0]).otherwise(F.coalesce(enclosing, F.lit("NONE")))
+    )
+    against = enclosing.isNotNull() & ~F.array_contains(F.when(offered, F.col("choices")).otherwise(stated), enclosing)
+    flag = (
+        F.when(~offered & (F.size(stated) > 1), "conflict").when(F.size(stated) >= 1, F.when(against, "conflict").otherwise("ok"))
+        .otherwise(F.when(enclosing.isNotNull(), "ok").otherwise(F.coalesce("flag", F.lit("unknown"))))
+    )
+    of_files = own.select(F.col("file_id").alias("subject_id"), license_.alias("license"), flag.alias("flag"))
     of_repos = evidence.where("own").select(F.lit("repository").alias("scope"), F.col("repository_id").alias("subject_id"), "license", "flag")
     return of_repos.unionByName(of_files.select(F.lit("file").alias("scope"), "subject_id", "license", "flag"))

@@ -5,7 +5,9 @@ the forms people write; a form and its deletes (of the first `PREFIX` letters, u
 every Python worker builds from the rows it gets with the task. A typed value is stripped of its decoration, looked up
 as it stands, then through its own deletes; candidates within two slips (Damerau-Levenshtein) are ranked by a weighted
 distance in which doubled, swapped and neighbouring keys cost less, then by how often the entry is named without a slip
-in the data, then by reference_id. Digits and forms of up to three letters allow no slip.
+in the data, then by reference_id. Digits allow no slip. Most words of three letters are within two slips of each other, so
+in a form of three letters a slip is two letters swapped or one doubled. "Or later" and the like after a version are
+decoration, however they are spelled: they name the entry of that version.
 
 Defined results: null and blank values give no row; what names no entry, or a family of several entries without saying
 which, gives reference_id 0; ties are broken as above; an empty reference list gives 0 throughout; equal values give
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.runtime import Stage
+
 MOST_ENTRIES = 10_000
 SLIPS, PREFIX = 2, 8
 
@@ -72,6 +76,19 @@ def squeeze(text: str) -> str:
     return _NOT.sub("", unicodedata.normalize("NFKC", text).lower()).replace("licence", "license")
 
 
+# What may follow a version without changing which entry is named.
+AFTER_VERSION = ("oranylaterversion", "orlaterversion", "oranylater", "orlater", "orabove", "ornewer", "plus", "international")
+
+
+def bare(squeezed: str) -> str:
+    """A squeezed reading without what may follow its version."""
+    key = squeezed.removesuffix("license")
+    for end in AFTER_VERSION:
+        if key.endswith(end) and key != end:
+            return key.removesuffix(end)
+    return squeezed
+
+
 def forms(field: str, canonical: str, long_name: str | None) -> set[str]:
     """The squeezed forms that name an entry without a slip."""
     if field != "declared_license":
@@ -116,17 +133,14 @@ def slips(a: str, b: str, most: int = SLIPS) -> tuple[int, float] | None:
         for j in range(1, len(b) + 1):
             y = b[j - 1]
             n, w = before[j - 1]
-            if x == y:
-                best = (n, w)
-            else:
-                best = (n + 1, w + (0.8 if frozenset((x, y)) in _NEXT else 1.0))
-                n, w = before[j]
-                best = min(best, (n + 1, w + (0.6 if i > 1 and x == a[i - 2] else 1.0)))
-                n, w = row[j - 1]
-                best = min(best, (n + 1, w + (0.6 if j > 1 and y == b[j - 2] else 1.0)))
-                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                    n, w = older[j - 2]
-                    best = min(best, (n + 1, w + 0.7))
+            best = (n, w) if x == y else (n + 1, w + (0.8 if frozenset((x, y)) in _NEXT else 1.0))
+            n, w = before[j]
+            best = min(best, (n + 1, w + (0.6 if i > 1 and x == a[i - 2] else 1.0)))
+            n, w = row[j - 1]
+            best = min(best, (n + 1, w + (0.6 if j > 1 and y == b[j - 2] else 1.0)))
+            if i > 1 and j > 1 and x != y and x == b[j - 2] and y == a[i - 2]:
+                n, w = older[j - 2]
+                best = min(best, (n + 1, w + 0.7))
             row.append(best)
             low = min(low, best[0])
         if low > most:
@@ -166,7 +180,7 @@ class Resolver:
                 if ("declared_license", family + end) not in own:
                     self.exact["declared_license", family + end] = 0
         for field, form in self.exact:
-            if len(form) > 3:
+            if len(form) > 2:
                 for x in deletes(form):
                     self.near.setdefault((field, x), []).append(form)
         self.known: dict[tuple[str, str], int] = {}
@@ -183,7 +197,10 @@ class Resolver:
         else:
             text = _TOOL.sub("", text)
             out += [text, _ARGS.sub("", text)]
-        return [s for s in dict.fromkeys(squeeze(x) for x in out) if s]
+        keys = [squeeze(x) for x in out]
+        if field == "declared_license":
+            keys += [bare(x) for x in keys]
+        return [s for s in dict.fromkeys(keys) if s]
 
     def plain(self, field: str, value: str) -> int | None:
         """The entry named without a slip, 0 for a family, None if there is none."""
@@ -207,7 +224,7 @@ class Resolver:
                 if _DIGITS.sub("", form) != digits:
                     continue
                 d = slips(squeezed, form)
-                if d is not None:
+                if d is not None and (len(form) > 3 or d[1] <= len(form) / 4):
                     ref = self.exact[field, form]
                     rank = (d[0], d[1], -self.named.get(ref, 0), ref)
                     if best is None or rank < best:
@@ -252,10 +269,10 @@ def _values(skills: DataFrame) -> DataFrame:
     return one.select("skill_id", F.inline(listed)).where(F.col("value").isNotNull() & F.col("value").rlike(r"[^\p{Z}\s,]"))
 
 
-def map_values(skills: DataFrame, reference: DataFrame) -> DataFrame:
-    """(skill_id, field, pos, reference_id) for every value that holds more than blanks and commas."""
+def resolved_values(skills: DataFrame, reference: DataFrame) -> DataFrame:
+    """(skill_id, field, pos, value, reference_id) for every value that holds more than blanks and commas."""
     entries = entries_of(reference)
-    values = _values(skills)
+    values = Stage(skills.sparkSession, "names").write(_values(skills), "values")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resolver, named = Resolver(entries), Counter()
@@ -272,6 +289,12 @@ def map_values(skills: DataFrame, reference: DataFrame) -> DataFrame:
         resolver = Resolver(entries, named)
         for batch in batches:
             refs = [resolver.resolve(f, v) for f, v in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(refs, pa.int32())], names=["skill_id", "field", "pos", "reference_id"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(refs, pa.int32())], names=["skill_id", "field", "pos", "value", "reference_id"])
+
+    kind = skills.schema["skill_id"].dataType.simpleString()
+    return values.mapInArrow(run, f"skill_id {kind}, field string, pos int, value string, reference_id int")
 
-    return values.mapInArrow(run, "skill_id bigint, field string, pos int, reference_id int")
+
+def map_values(skills: DataFrame, reference: DataFrame) -> DataFrame:
+    """(skill_id, field, pos, reference_id) for every value that holds more than blanks and commas."""
+    return resolved_values(skills, reference).drop("value")

@@ -3,33 +3,58 @@
 Texts with equal words are one class from the start; a class has one node, so a group of copies of any size costs one
 row. Classes meet in buckets of weighted min-hash bands (`BANDS` bands of `ROWS`). The weights come from how many texts
 hold a word; only words held by at least one text in `RARE` are listed, so that list has at most RARE times the mean
-number of words entries whatever the number of texts, and all others weigh alike. A bucket of more than `TILE` rows is
-compared in tiles, block by block, in different tasks. Inside a bucket a lossless bound drops what is too far apart, and
-what is left is verified with the full texts; nothing is capped or sampled.
+number of words entries whatever the number of texts, and all others weigh alike.
 
-Two bounds are offered. `bits`: parity sketches, compared bit-sliced (see planes.py). `pivots`: the table of distances to
-fixed pivots, pruned by the triangle inequality (see pivots.py).
+Of a text two things are kept: its band keys, and a sketch as wide as the text is long (see planes.py, pivots.py). Keys
+are counted with partial aggregation, and only rows of buckets with two rows or more go on and get their sketches, so
+neither a window nor a sketch is spent on the others. Rows meet their counts by key and salt, so a bucket of any size is
+spread over tasks. A bucket of more than `TILE` rows is compared in tiles, block by block, in different tasks. Where only
+groups are asked for, the rows of such a bucket are first held against a few leaders: rows alike to the same leader are
+connected by that and are not compared with each other, so a huge group of texts alike costs no more than its rows.
+
+Inside a bucket a lossless bound drops what is too far apart, and what is left is verified with the full texts; nothing
+is capped or sampled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.words import DEGREE, Elements, alike, band_keys
+from quarrymill.llm.words import DEGREE, Elements, Weights, alike, band_keys
 from quarrymill.runtime import Stage
 
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 36, 4
 RARE = 500
 TILE = 1_024
-#: (sketch of a list of sets, pairs of rows in the same run that may be alike)
-Bound = tuple[Callable[[list[np.ndarray]], list[bytes]], Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]
+#: Leaders of a crowded bucket, and parts that its rows are spread over when they meet its count.
+LEADERS, SALTS = 4, 8
+#: Rows that are cut into words at a time.
+CUT = 2_000
+
+
+def bags(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(id, bag, text) of every text of at least `least` words; equal bags are equal words."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        elements = Elements()
+        for whole in batches:
+            for low in range(0, whole.num_rows, CUT):
+                batch = whole.slice(low, CUT)
+                sets = elements.sets(batch.column(1).to_pylist())
+                rows = np.nonzero(sets.n >= max(1, least))[0]
+                digests = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in rows]
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(digests, pa.binary()), batch.column(1).take(take)], names=["id", "bag", "text"])
+
+    return df.select(df[key].alias("id"), df[text].alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(bag, f"id {kind}, bag binary, text string")
 
 
 def classes(df: DataFrame, key: str, text: str, least: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
@@ -37,90 +62,94 @@ def classes(df: DataFrame, key: str, text: str, least: int, stage: Stage) -> tup
 
     A node is the smallest id of its class.
     """
-    kind = df.schema[key].dataType.simpleString()
-
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        elements = Elements()
-        for batch in batches:
-            rows, digests = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                e = elements.of(t) if t else ()
-                if len(e) >= max(1, least):
-                    rows.append(i)
-                    digests.append(hashlib.blake2b(e.tobytes(), digest_size=16).digest())
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(digests, pa.binary()), batch.column(1).take(take)], names=["id", "bag", "text"])
-
-    bags = df.select(df[key].alias("id"), df[text].alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(bag, f"id {kind}, bag binary, text string")
-    bags = stage.write(bags, "bags")
-    nodes = stage.write(bags.groupBy("bag").agg(F.min("id").alias("node"), F.min_by("text", "id").alias("text")), "nodes")
-    members = bags.select("id", "bag").distinct().join(nodes.select("bag", "node"), "bag").select("id", "node").distinct()
+    cut = stage.write(bags(df, key, text, least), "bags")
+    nodes = stage.write(cut.groupBy("bag").agg(F.min("id").alias("node"), F.min_by("text", "id").alias("text")), "nodes")
+    members = stage.write(cut.select("id", "bag").distinct().join(nodes.select("bag", "node"), "bag").select("id", "node"), "members")
+    stage.drop(cut)
     return members, nodes.select("node", "text", "bag")
 
 
-def word_weights(nodes: DataFrame) -> dict[int, float]:
-    """Weights of the elements that at least one text in RARE holds."""
+def word_weights(nodes: DataFrame) -> Weights:
+    """Weights of the elements that at least one text in RARE holds: the root of the logarithm of how rare they are, so that rare edits do not outweigh a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        elements, held, n = Elements(), Counter(), 0
+        elements, parts, texts, size = Elements(), [], 0, 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*held, -1], pa.int64()), pa.array([*held.values(), n], pa.int64())], names=["e", "n"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(elements.of(t).tolist())
-                n += 1
-            if len(held) > 500_000:
-                yield out()
-                held, n = Counter(), 0
+            e, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(e, -1)), pa.array(np.append(n, texts).astype(np.int64))], names=["e", "n"])
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, CUT):
+                sets = elements.sets(whole.slice(low, CUT).column(0).to_pylist())
+                parts.append(sets.flat)
+                texts += len(sets)
+                size += len(sets.flat)
+                if size > 4_000_000:
+                    yield out()
+                    parts, texts, size = [], 0, 0
         yield out()
 
     counted = nodes.select("text").mapInArrow(count, "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n"))
     total = counted.where("e = -1").select(F.col("n").alias("total"))
     listed = counted.where("e >= 0").crossJoin(F.broadcast(total)).where(F.col("n") * RARE >= F.col("total")).where("n > 1")  # the other side is one row
-    rows = listed.select("e", F.greatest(F.log(F.col("total") / F.col("n")), F.lit(0.05)).alias("w")).toArrow()
-    return dict(zip(rows.column("e").to_pylist(), rows.column("w").to_pylist(), strict=True))
+    rows = listed.select("e", F.sqrt(F.greatest(F.log(F.col("total") / F.col("n")), F.lit(0.05))).alias("w")).toArrow()
+    return Weights(rows.column("e").to_numpy(), rows.column("w").to_numpy())
 
 
-def banded(nodes: DataFrame, weights: dict[int, float], sketch: Callable, keep: str = "") -> DataFrame:
-    """(band, node, n, sketch[, keep]) rows of every node: what a table of accepted texts stores and appends to."""
+def marks(nodes: DataFrame, weights: Weights, bound: Any) -> DataFrame:
+    """(node, n, sketch, keys) of every node: its size, its sketch, its band keys."""
     kind = nodes.schema["node"].dataType.simpleString()
-    extra = f", {keep} {nodes.schema[keep].dataType.simpleString()}" if keep else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elements = Elements()
         for batch in batches:
-            for low in range(0, batch.num_rows, 2_000):
-                part = batch.slice(low, 2_000)
-                sets = [elements.of(t) for t in part.column(1).to_pylist()]
+            for low in range(0, batch.num_rows, CUT):
+                part = batch.slice(low, CUT)
+                sets = elements.sets(part.column(1).to_pylist())
                 keys = band_keys(sets, weights, BANDS, ROWS)
-                of = pa.array(np.repeat(np.arange(len(sets)), BANDS))
-                cols = [pa.array(keys.ravel()), part.column(0).take(of), pa.array([len(s) for s in sets], pa.int32()).take(of), pa.array(sketch(sets), pa.binary()).take(of)]
-                names = ["band", "node", "n", "sketch"]
-                if keep:
-                    cols.append(part.column(2).take(of))
-                    names.append(keep)
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return nodes.select("node", "text", *([keep] if keep else [])).mapInArrow(run, f"band bigint, node {kind}, n int, sketch binary{extra}")
-
-
-def candidates(bands: DataFrame, pairs_of: Callable, new: str = "") -> DataFrame:
-    """(a, b), a < b: pairs of nodes that share a bucket and are within the bound; with `new`, at least one has it set."""
-    kind = bands.schema["node"].dataType.simpleString()
-    # one exchange by band serves both branches; the sort puts a bucket's rows in order of n
-    w = Window.partitionBy("band").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = bands.withColumn("c", F.count("*").over(w)).where("c > 1")
-    columns = ["band", "tile", "block", "node", "n", "sketch", *([new] if new else [])]
-    usual = counted.where(F.col("c") <= TILE).withColumn("tile", F.lit(0).cast("long")).withColumn("block", F.lit(0)).select(*columns)
-    m = F.ceil(F.col("c") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("node"), m).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j) + 1)
-    crowded = counted.where(F.col("c") > TILE).withColumn("tile", F.explode(tiles)).withColumn("block", mine)
+                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sets.n.astype(np.int32)), pa.array(bound.sketch(sets), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                    names=["node", "n", "sketch", "keys"],
+                )
+
+    return nodes.select("node", "text").mapInArrow(run, f"node {kind}, n int, sketch binary, keys array<bigint>")
+
+
+def slim(marked: DataFrame) -> DataFrame:
+    """(band, node) for each band key: what buckets are counted by."""
+    return marked.select("node", F.explode("keys").alias("band"))
+
+
+def shared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with `c`, how many rows have their bucket, of the buckets with two rows or more."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("c")).where("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(counts, [*by, "salt"]).drop("salt")
+
+
+def tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """rows of crowded buckets (with c), once for each tile they are in; a tile is a pair of blocks of a bucket."""
+    m = F.ceil(F.col("c") / tile).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), m).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), m - 1), lambda j: _tile(mine, j))
+    return rows.withColumn("block", mine).withColumn("tile", F.explode(tiles))
+
+
+def _tile(i, j):
+    return F.least(i, j).cast("long") * (1 << 31) + F.greatest(i, j) + 1
+
+
+def compared(rows: DataFrame, by: list[str], bound: Any) -> DataFrame:
+    """(a, b), a < b: pairs of nodes within the bound in a tile of a bucket. rows: by, tile, block, node, n, sketch, new; at least one of a pair is new.
+
+    Rows of one block meet in their own tile only.
+    """
+    kind = rows.schema["node"].dataType.simpleString()
+    keys = [*by, "tile"]
     # with a number, as tiles cost far more than their bytes and must not be put together in one task
-    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crowded = crowded.repartition(parts, "band", "tile").sortWithinPartitions("band", "tile", "n").select(*columns)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select(*keys, "block", "node", "n", "sketch", "new").repartition(parts, *keys).sortWithinPartitions(*keys, "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -129,8 +158,11 @@ def candidates(bands: DataFrame, pairs_of: Callable, new: str = "") -> DataFrame
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < 4 * TILE:
                 continue
-            band, tile = held.column("band").to_numpy(), held.column("tile").to_numpy()
-            last = int(np.nonzero((band != band[-1]) | (tile != tile[-1]))[0][-1]) + 1 if (band[0] != band[-1] or tile[0] != tile[-1]) else 0
+            differs = np.zeros(held.num_rows, dtype=bool)
+            for k in keys:
+                v = held.column(k).to_numpy()
+                differs |= v != v[-1]
+            last = int(np.nonzero(differs)[0][-1]) + 1 if differs.any() else 0
             if last:
                 yield from pairs(held.slice(0, last))
                 held = held.slice(last)
@@ -139,33 +171,47 @@ def candidates(bands: DataFrame, pairs_of: Callable, new: str = "") -> DataFrame
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        band, tile = t.column("band").to_numpy(), t.column("tile").to_numpy()
-        change = np.concatenate([[True], (band[1:] != band[:-1]) | (tile[1:] != tile[:-1])])
+        change = np.zeros(t.num_rows, dtype=bool)
+        change[:1] = True
+        for k in keys:
+            v = t.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
         run = np.cumsum(change) - 1
-        size = np.bincount(run)
-        some = size[run] > 1
+        new = t.column("new").to_numpy(zero_copy_only=False)
+        some = (np.bincount(run)[run] > 1) & (np.bincount(run, weights=new)[run] > 0)
         if not some.any():
             return
         t = t.filter(pa.array(some)).combine_chunks()
-        run, tile = run[some], tile[some]
+        run, new = np.unique(run[some], return_inverse=True)[1], new[some]
         n = t.column("n").to_numpy().astype(np.int64)
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(n), -1)
-        i, j = pairs_of(run, n, sketches)
-        block = t.column("block").to_numpy()
-        # rows of one block meet in their own tile only
+        tile, block = t.column("tile").to_numpy(), t.column("block").to_numpy()
+        node = t.column("node").to_numpy(zero_copy_only=False)
         low, high = (tile - 1) >> 31, (tile - 1) & ((1 << 31) - 1)
-        ok = (tile[i] == 0) | (low[i] == high[i]) | (block[i] != block[j])
-        if new:
-            fresh = t.column(new).to_numpy(zero_copy_only=False)
-            ok &= fresh[i] | fresh[j]
-        node = t.column("node").to_numpy()
-        a, b = node[i[ok]], node[j[ok]]
-        ok = a != b
-        found = np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    schema = f"a {kind}, b {kind}"
-    return usual.mapInArrow(compare, schema).unionByName(crowded.mapInArrow(compare, schema)).distinct()
+        raw = t.column("sketch").to_pylist()
+        sizes = np.array([len(x) for x in raw])
+        for size in np.unique(sizes):
+            mine = sizes == size
+            # rows of the next width are folded, where there is a row for them to meet
+            held_in = np.bincount(run[mine], minlength=int(run[-1]) + 1)[run] > 0
+            at = np.nonzero(mine | (sizes == 2 * size) & held_in)[0]
+            if len(at) < 2:
+                continue
+            wide = sizes[at] > size
+            table = None
+            for part, s in ((~wide, size), (wide, 2 * size)):
+                if part.any():
+                    folded = bound.fold(np.frombuffer(b"".join([raw[r] for r in at[part]]), dtype=np.uint8).reshape(-1, s), int(size))
+                    table = np.zeros((len(at), size), dtype=folded.dtype) if table is None else table
+                    table[part] = folded
+            i, j = bound.pairs_of(np.unique(run[at], return_inverse=True)[1], n[at], table, wide, new[at])
+            i, j = at[i], at[j]
+            ok = (tile[i] == 0) | (low[i] == high[i]) | (block[i] != block[j])
+            a, b = node[i[ok]], node[j[ok]]
+            ok = a != b
+            a, b = a[ok], b[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b)), pa.array(np.where(a < b, b, a))], names=["a", "b"])
+
+    return placed.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, degree: float = DEGREE) -> DataFrame:
@@ -176,14 +222,58 @@ def verified(pairs: DataFrame, nodes: DataFrame, degree: float = DEGREE) -> Data
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elements = Elements()
-        for batch in batches:
-            ok = [alike(elements.of(x), elements.of(y), degree) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            kept = batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-            yield kept
+        for whole in batches:
+            for low in range(0, whole.num_rows, CUT):
+                batch = whole.slice(low, CUT)
+                # a text of many pairs is cut once
+                place: dict[str, int] = {}
+                x, y = ([place.setdefault(t, len(place)) for t in batch.column(c).to_pylist()] for c in (2, 3))
+                sets = elements.sets(list(place))
+                ok = [alike(sets[i], sets[j], degree) for i, j in zip(x, y, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(check, f"a {kind}, b {kind}")
 
 
+def with_sketches(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    return rows.join(marked.select("node", "n", "sketch"), "node")
+
+
+def links(marked: DataFrame, nodes: DataFrame, bound: Any, stage: Stage, tile: int = TILE) -> DataFrame:
+    """(a, b) verified links between nodes, enough of them to connect all that is connected by links.
+
+    In buckets of up to `tile` rows all links are found; in crowded ones, links between rows alike to the same leader are left out.
+    """
+    rows = stage.write(shared(slim(marked), ["band"]), "shared")
+    usual = with_sketches(rows.where(F.col("c") <= tile), marked).withColumn("tile", F.lit(0).cast("long")).withColumn("block", F.lit(0)).withColumn("new", F.lit(True))
+    found = verified(compared(usual, ["band"], bound), nodes)
+    crowded = rows.where(F.col("c") > tile)
+    if crowded.isEmpty():
+        return found
+    # leaders: the least hash of each of LEADERS parts of a bucket, found with partial aggregation
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(LEADERS))
+    leaders = crowded.groupBy("band", part.alias("p"), "c").agg(F.min(F.struct(F.xxhash64("node", F.lit(3)).alias("h"), "node")).alias("m")).select("band", F.col("m.node").alias("leader"), "c")
+    spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / tile).cast("int") - 1))).drop("c")
+    salted = crowded.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / tile).cast("int")).cast("int"))
+    led = stage.write(salted.join(spread, ["band", "salt"]).where("node <> leader").select("band", "node", "leader"), "led")
+    near = stage.write(verified(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), nodes), "near")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = leaders.select("band", F.col("leader").alias("node"), "leader")
+    labels = led.join(both.toDF("node", "leader"), ["node", "leader"]).select("band", "node", "leader").unionByName(own).groupBy("band", "node").agg(F.min("leader").alias("label"))
+    labelled = stage.write(crowded.join(labels, ["band", "node"], "left"), "labelled")
+    # blocks hold rows of one label; blocks of a label are numbered one after the other
+    sizes = labelled.groupBy("band", "label").agg(F.ceil(F.count("*") / tile).cast("int").alias("m"))
+    before = Window.partitionBy("band").orderBy(F.col("label").asc_nulls_first())  # at most LEADERS + 1 rows a band
+    blocks = sizes.withColumn("base", F.sum("m").over(before).cast("int") - F.col("m")).withColumn("all", F.sum("m").over(Window.partitionBy("band")).cast("int"))
+    blocks = blocks.select("band", F.col("label").alias("of"), "m", "base", "all", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = labelled.select("band", "node", "label", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    numbered = salted.join(blocks, ["band", "salt"]).where(F.col("label").eqNullSafe(F.col("of"))).select("band", "node", "label", "m", "base", "all")
+    mine = (F.col("base") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("m"))).cast("int")
+    met = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda j: F.col("label").isNull() | (j < F.col("base")) | (j >= F.col("base") + F.col("m")))
+    tiles = with_sketches(numbered, marked).withColumn("block", mine).withColumn("tile", F.explode(F.transform(met, lambda j: _tile(F.col("block"), j)))).withColumn("new", F.lit(True))
+    return found.unionByName(near).unionByName(verified(compared(tiles, ["band"], bound), nodes))
+
+
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(node, root) of every node with an edge; the root is the smallest node it is connected with.
 
@@ -205,7 +295,7 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).distinct()
 
 
-def linked_groups(df: DataFrame, key: str, text: str, least: int, bound: Bound, degree: float = DEGREE) -> DataFrame:
+def linked_groups(df: DataFrame, key: str, text: str, least: int, bound: Any, tile: int = TILE) -> DataFrame:
     """(id, group) of every text of at least `least` words that is linked with another; the group is its smallest id.
 
     Null and empty texts take no part; rows repeated verbatim count once; an empty table gives no rows; other columns play
@@ -213,10 +303,8 @@ def linked_groups(df: DataFrame, key: str, text: str, least: int, bound: Bound,
     """
     stage = Stage(df.sparkSession, "near")
     members, nodes = classes(df, key, text, least, stage)
-    weights = word_weights(nodes)
-    sketch, pairs_of = bound
-    links = verified(candidates(banded(nodes, weights, sketch), pairs_of), nodes, degree)
-    roots = components(links, stage)
+    marked = stage.write(marks(nodes, word_weights(nodes), bound), "marks")
+    roots = components(links(marked, nodes, bound, stage, tile), stage)
     placed = members.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
     alone = placed.groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group")
     return stage.write(placed, "groups").join(alone, "group", "left_semi").select("id", "group")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.runtime import Stage
 
-#: Parts into which the items of one length are split while they are ranked, as one length may be that of many items.
-RANK_PARTS = 64
+#: Items of one length that are ranked together; a length of more items is split into as many parts as it takes.
+RANKED = 250_000
 #: Unused places a combination may leave.
 WINDOW = 2
 STEPS = 120
@@ -156,14 +156,16 @@ def pack(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
                 )
             )
         ).alias("piece", "n"),
-    ).withColumn("part", F.pmod(F.xxhash64("k", "piece"), F.lit(RANK_PARTS)))
+    )
     space = pieces.where("n > 0")
-    counted = stage.write(space.groupBy("n", "part").count(), "counts")
+    hist = np.zeros(capacity + 1, dtype=np.int64)
+    for row in space.groupBy("n").count().collect():  # at most `capacity` rows
+        hist[row.n] = row["count"]
+    parts = F.lit((hist // RANKED + 1).tolist())
+    space = space.withColumn("part", F.pmod(F.xxhash64("k", "piece"), F.element_at(parts, F.col("n").cast("int") + 1)))
+    counted = space.groupBy("n", "part").count()
     before = Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("n", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    hist = np.zeros(capacity + 1, dtype=np.int64)
-    for row in counted.groupBy("n").agg(F.sum("count").alias("c")).collect():  # at most `capacity` rows
-        hist[row.n] = row.c
     where = slots(plan(hist, capacity))
     # joined by the keys that the ranking is partitioned by anyway
     ranked = space.join(offsets, ["n", "part"]).select(

@@ -1,10 +1,13 @@
 """Sentence units of Markdown texts in any script, by a finite transducer.
 
 Lines are sorted into blocks first (front matter, fenced code, headings, items, quotes, paragraphs). Inside a block the
-places that can matter (end marks, quotes, brackets, white space between Thai letters) become a string over a small
-alphabet; what a place means for itself - an abbreviation, a number, what follows - is in its letter. A transducer with
-a few states (outside; inside each kind of quotation or bracket, opened at the start of a sentence or within it) reads
-the letters and writes boundaries. Its table is compiled once. A document with many letters is cut into chunks: each
+places that can matter (end marks, quotes, brackets, white space between Thai letters) become letters. A letter only says
+what stands at its place: the kind of mark, the class of the word before it, the class of what follows. Whether a
+sentence ends there is said by `RULES`, which are compiled, together with the states (outside; just after a boundary;
+inside an enclosure that opened at the start of a sentence or within it), into the table of a transducer.
+
+Enclosures may nest to any depth and mix: partners are matched with a stack, and only the outermost pair of a nest is
+given to the transducer, as nothing inside it can end a sentence. A document with many letters is cut into chunks: each
 chunk becomes a function from state to state, the functions are composed by a parallel prefix scan, and then every chunk
 writes its boundaries from the state it starts in.
 
@@ -16,6 +19,7 @@ text, an opening quotation or bracket without a partner in its block is an ordin
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,10 @@ NEVER = frozenset(
     "dr mr mrs ms prof st sr sra srta dra mme mlle mm hr fr frau herr jun sen rev gen col capt lt sgt hon vs approx ca cf e.g i.e viz ver resp al"
     " z bzw evtl ggf ebd inkl exkl usw-dgl vgl sog d.h z.b u.a s.o p.ej p.ex ej ex ee d m c-a-d т г-н им ул проф акад د डॉ श्री प्रो".split()
 )
+#: Of these, what stands before a name: before a word that opens sentences they end one.
+BEFORE_NAMES = frozenset("dr mr mrs ms prof st jun sen rev gen col capt lt sgt hon vs resp".split())
+#: Words that open sentences and are no names.
+OPENERS = frozenset("the this that these those it he she we they you there here then when while if but and so thus however dies diese dieser dann wenn es er wir aber und".split())
 #: A sentence doesn't end after these before a number.
 NUMBERED = frozenset(
     "no nos nr núm num fig figs abb sec secs sect art arts ch chap vol p pp pág págs pg par § eq tab taf kap bd n nº l'art s стр рис гл табл см п ст ver v rev item vers jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic okt dez".split()
@@ -53,65 +61,98 @@ _LINE = re.compile(
     r"[^\S\n]*(?:(?P<blank>$)|(?P<head>#{1,6}(?=\s|$))|(?P<fence>`{3,}|~{3,})"
     r"|(?P<quote>>[> \t]*)?(?P<item>(?:[-*+•]|(?P<n>\d{1,9})[.)])(?=[ \t ]+\S))?)"
 )
-_TOKEN = re.compile(r"[^\s\"“„«(\[（「『>]*$")
 _SPACE = re.compile(r"\s*")
 
-# kinds of enclosure: how they open and close
-_PAIRS = {"“": (2, "”"), "„": (2, "“”"), "«": (3, "»"), "「": (4, "」"), "『": (5, "』"), "《": (6, "》"), "〈": (6, "〉"), "(": (7, ")"), "（": (7, "）"), "[": (7, "]"), "【": (7, "】")}
+#: Enclosures: how they open (kind, partners that close them) and close (kind). Kind 1 is the straight quotation mark.
+_PAIRS = {"“": 2, "„": 2, "«": 3, "「": 4, "『": 5, "《": 6, "〈": 6, "(": 7, "（": 7, "[": 7, "【": 7}
 _ENDS = {"”": 2, "»": 3, "」": 4, "』": 5, "》": 6, "〉": 6, ")": 7, "）": 7, "]": 7, "】": 7}
-KINDS, DEPTHS = 7, 3
+STRAIGHT, CURLY, BRACKET = 1, 2, 7
+_BEFORE_STRAIGHT = frozenset("([{¿¡„“«>—–-*_（「：，。！？、")
+_BETWEEN = " \t\r\n >\"”»」』)）]】"
+_NOT_WORD = frozenset("\"“„«([（「『>")
+
+# what follows a place
+END, GLUED, GLUED_UNCASED, UPPER, OPENER, LOWER, UNCASED, DIGIT, DASH, OTHER = range(10)
+# kinds of end mark: always; exclamation and question; a single dot; another run of marks
+ALWAYS, ASKS, DOT, RUN = range(4)
+# the word before a dot: its shape, besides whether it is in NEVER, BEFORE_NAMES, NUMBERED
+WORD, INITIAL, LETTER, LETTER_AFTER_DOT, ORDINAL = range(5)
+PLAIN, NEVER_ENDS, NEEDS_NAME = range(3)
+
+_GLUED = {GLUED, GLUED_UNCASED}
+_CAPITAL = {UPPER, OPENER}
+#: (kinds of mark, condition on (abbreviation, numbered, shape), what follows, whether a sentence ends there); the first that fits decides. None fits all.
+RULES = (
+    ({ALWAYS}, None, None, True),
+    ({ASKS}, None, {GLUED, DASH}, False),
+    ({ASKS}, None, None, True),
+    ({RUN}, None, {END, UPPER, OPENER, UNCASED, DIGIT, OTHER}, True),
+    ({RUN}, None, None, False),
+    ({DOT}, None, {GLUED, GLUED_UNCASED, LOWER, DASH}, False),
+    ({DOT}, None, {END}, True),
+    ({DOT}, lambda abbreviation, numbered, shape: abbreviation == NEEDS_NAME, {OPENER}, True),
+    ({DOT}, lambda abbreviation, numbered, shape: abbreviation != PLAIN, None, False),
+    ({DOT}, lambda abbreviation, numbered, shape: numbered, {DIGIT}, False),
+    ({DOT}, lambda abbreviation, numbered, shape: shape in (INITIAL, LETTER_AFTER_DOT, ORDINAL), _CAPITAL, False),
+    ({DOT}, None, None, True),
+)
+#: (bracket, opened at the start of a sentence, what follows, whether a closer after an end mark ends the sentence); as above. "wide" is a full-width bracket.
+CLOSING = (
+    ({"quote"}, None, {UPPER, OPENER, DIGIT, OTHER}, True),
+    ({"bracket", "wide"}, True, {UPPER, OPENER, DIGIT, OTHER, UNCASED, GLUED_UNCASED}, True),
+    ({"wide"}, True, {GLUED}, True),
+    ({"quote", "bracket", "wide"}, None, None, False),
+)
+_SORTS = ("quote", "bracket", "wide")
 
-RESET, MARK = 0, 1
+RESET, BREAK, OPEN = 0, 1, 2  # an opening is OPEN, or OPEN + 1 if nothing but blanks and closers is before it
+_FIRST_MARK = 4
+_FIRST_CLOSE = _FIRST_MARK + 4 * 3 * 2 * 5 * 10
+LETTERS = _FIRST_CLOSE + 3 * 2 * 10
 
 
-def _open(kind: int, adjacent: bool) -> int:
-    return 2 + 2 * (kind - 1) + adjacent
+def _mark(kind: int, abbreviation: int, numbered: bool, shape: int, after: int) -> int:
+    return _FIRST_MARK + (((kind * 3 + abbreviation) * 2 + numbered) * 5 + shape) * 10 + after
 
 
-def _close(kind: int, ends_fresh: bool, ends_inner: bool) -> int:
-    return 2 + 2 * KINDS + 4 * (kind - 1) + 2 * ends_fresh + ends_inner
+def _close(sort: int, marked: bool, after: int) -> int:
+    return _FIRST_CLOSE + (sort * 2 + marked) * 10 + after
 
 
-LETTERS = 2 + 6 * KINDS
-#: States: 0 outside, 1 outside just after a boundary, then (enclosure, fresh); brackets have a depth.
-STATES = 2 + 2 * (KINDS - 1 + DEPTHS)
+#: States: outside; outside just after a boundary; inside an enclosure within a sentence; inside one that began it.
+OUTSIDE, FRESH, INSIDE, INSIDE_FRESH = range(4)
+STATES = 4
 
 
 def _compiled() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, whether a boundary is written) for each state and letter."""
-    go = np.zeros((STATES, LETTERS), dtype=np.uint8)
+    """(next state, whether a boundary is written) for each state and letter, from the rules."""
+    go = np.tile(np.arange(STATES, dtype=np.uint8)[:, None], (1, LETTERS))
     out = np.zeros((STATES, LETTERS), dtype=bool)
-    inside = lambda kind, depth, fresh: 2 + 2 * (kind - 1 + depth - 1) + fresh
-    for state in range(STATES):
-        go[state, :] = state
-        go[state, RESET] = 1
-        if state < 2:
-            go[state, MARK], out[state, MARK] = 1, True
-            for kind in range(1, KINDS + 1):
-                for adjacent in (0, 1):
-                    go[state, _open(kind, bool(adjacent))] = inside(kind, 1, adjacent & state)
-            continue
-        place, fresh = divmod(state - 2, 2)
-        kind, depth = (place + 1, 1) if place < KINDS - 1 else (KINDS, place - KINDS + 2)
-        if kind == KINDS and depth < DEPTHS:
-            for adjacent in (False, True):
-                go[state, _open(kind, adjacent)] = inside(kind, depth + 1, fresh)
-        for ends_fresh in (0, 1):
-            for ends_inner in (0, 1):
-                letter = _close(kind, bool(ends_fresh), bool(ends_inner))
-                if depth > 1:
-                    go[state, letter] = inside(kind, depth - 1, fresh)
-                else:
-                    ends = ends_fresh if fresh else ends_inner
-                    go[state, letter], out[state, letter] = ends, bool(ends)
+    go[:, RESET] = FRESH
+    for state in (OUTSIDE, FRESH):
+        go[state, BREAK], out[state, BREAK] = FRESH, True
+        go[state, OPEN] = INSIDE
+        go[state, OPEN + 1] = INSIDE_FRESH if state == FRESH else INSIDE
+    for kind in range(4):
+        for abbreviation in range(3):
+            for numbered in (False, True):
+                for shape in range(5):
+                    for after in range(10):
+                        ends = next(e for kinds, said, follow, e in RULES if kind in kinds and (said is None or said(abbreviation, numbered, shape)) and (follow is None or after in follow))
+                        letter = _mark(kind, abbreviation, numbered, shape, after)
+                        go[:2, letter], out[:2, letter] = FRESH if ends else OUTSIDE, ends
+    for sort, name in enumerate(_SORTS):
+        for marked in (False, True):
+            for after in range(10):
+                for state in (INSIDE, INSIDE_FRESH):
+                    ends = marked and next(e for sorts, began, follow, e in CLOSING if name in sorts and (began is None or began == (state == INSIDE_FRESH)) and (follow is None or after in follow))
+                    letter = _close(sort, marked, after)
+                    go[state, letter], out[state, letter] = FRESH if ends else OUTSIDE, ends
     return go, out
 
 
 GO, OUT = _compiled()
-_GO = [bytes(row) for row in GO]
-_OUT = [bytes(row.astype(np.uint8)) for row in OUT]
-
-END, GLUED, GLUED_UNCASED, UPPER, LOWER, UNCASED, DIGIT, DASH, OTHER = range(9)
+_GO, _OUT = GO.tolist(), OUT.tolist()
 
 
 def follows(text: str, at: int, end: int) -> int:
@@ -127,7 +168,10 @@ def follows(text: str, at: int, end: int) -> int:
         return END
     c = text[at]
     if c.isupper() or c.istitle():
-        return UPPER
+        stop = at
+        while stop < end and stop - at <= _LONGEST and text[stop].isalpha():
+            stop += 1
+        return OPENER if text[at:stop].lower() in OPENERS else UPPER
     if c.islower():
         return LOWER
     if c.isalpha():
@@ -137,118 +181,134 @@ def follows(text: str, at: int, end: int) -> int:
     return DASH if c in _DASHES else OTHER
 
 
-def _dot_ends(text: str, start: int, at: int, after: int) -> bool:
-    """Whether a single dot at a place ends a sentence, given what follows."""
-    if after in (GLUED, GLUED_UNCASED, LOWER, DASH):
-        return False
-    if after == END:
-        return True
-    low = max(start, at - 24)
-    token = _TOKEN.search(text, low, at).group().lower()
-    if token in NEVER:
-        return False
-    if after == DIGIT:
-        return token not in NUMBERED
-    if len(token) == 1 and token.isalpha():
-        own = text[at - 1]
-        if own.isupper() and after == UPPER:
-            return False
-        if own.islower() and after == UPPER:
-            before = text[low : at - 1].rstrip()
-            return not (before.endswith(".") and len(before) > 1 and before[-2].isalpha() and not before[-3:-2].isalpha()) or token == "д"
-    if after == UPPER and token.isdigit() and len(token) <= 2:
-        words = text[max(start, at - 24) : at - len(token)].split()
-        if words and words[-1].lower() in ORDINAL_AFTER:
-            return False
-    return True
-
-
-def mark_ends(text: str, start: int, m: re.Match, end: int) -> tuple[bool, int]:
-    """(whether a run of end marks ends a sentence where nothing is open, the end of the run and the closers after it)."""
-    run = m.group()
-    stop = _CLOSE_RUN.match(text, m.end(), end).end()
-    after = follows(text, stop, end)
-    marks = set(run)
-    if marks & _STRONG or marks & _ALWAYS:
-        return True, stop
-    if marks & {"!", "?"}:
-        return after not in (GLUED, DASH), stop
-    if run == ".":
-        return _dot_ends(text, start, m.start(), after), stop
-    return after in (END, UPPER, UNCASED, DIGIT, OTHER), stop
-
-
-def _letters(text: str, start: int, end: int, event: re.Pattern, letters: bytearray, places: list[int]) -> None:
+#: No listed word is longer, so what is longer need not be read to its start.
+_LONGEST = max(map(len, NEVER | NUMBERED | ORDINAL_AFTER | OPENERS))
+
+
+def _word_before(text: str, start: int, at: int) -> str:
+    """The word that ends at a place; one that is longer than any listed word is cut off."""
+    low = at
+    while low > start and at - low <= _LONGEST and text[low - 1] not in _NOT_WORD and not text[low - 1].isspace():
+        low -= 1
+    return text[low:at]
+
+
+def _before_dot(text: str, start: int, at: int) -> tuple[int, bool, int]:
+    """(abbreviation, numbered, shape) of the word before a dot."""
+    own = _word_before(text, start, at)
+    word = own.lower()
+    abbreviation = PLAIN if word not in NEVER else NEEDS_NAME if word in BEFORE_NAMES else NEVER_ENDS
+    shape = WORD
+    if len(word) == 1 and word.isalpha():
+        if own.isupper():
+            shape = INITIAL
+        elif own.islower() and word != "д":
+            shape = LETTER
+            low = at - 1
+            while low > start and text[low - 1].isspace():
+                low -= 1
+            if low - 1 > start and text[low - 1] == "." and text[low - 2].isalpha() and not (low - 3 >= start and text[low - 3].isalpha()):
+                shape = LETTER_AFTER_DOT
+    elif word.isdigit() and len(word) <= 2:
+        low = at - len(word)
+        while low > start and text[low - 1].isspace():
+            low -= 1
+        if _word_before(text, start, low).lower() in ORDINAL_AFTER:
+            shape = ORDINAL
+    return abbreviation, word in NUMBERED, shape
+
+
+def _outermost(text: str, start: int, end: int, found: list[re.Match]) -> dict[int, bool]:
+    """Places of the enclosure marks that open (True) or close (False) an outermost pair."""
+    stack: list[tuple[int, str, int]] = []
+    pairs: list[tuple[int, int]] = []
+    straight = sum(m.group() == '"' for m in found)
+    for m in found:
+        c, at = m.group(), m.start()
+        if c[0] in MARKS or c[0].isspace():
+            continue
+        if c == '"':
+            straight -= 1
+            before = text[at - 1] if at > start else " "
+            opening = (before.isspace() or before in _BEFORE_STRAIGHT) and straight > 0
+            kind = STRAIGHT
+            if opening and any(k == STRAIGHT for k, _, _ in stack):
+                continue
+        else:
+            kind, opening = (_PAIRS[c], True) if c in _PAIRS else (_ENDS[c], False)
+            if c == "“":
+                # it closes a low mark
+                opening = next((o != "„" for k, o, _ in reversed(stack) if k == CURLY), True)
+        if opening:
+            stack.append((kind, c, at))
+            continue
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == kind:
+                pairs.append((stack[i][2], at))
+                del stack[i:]
+                break
+    out: dict[int, bool] = {}
+    reach = -1
+    for low, high in sorted(pairs):
+        if low > reach:
+            out[low], out[high] = True, False
+            reach = high
+    return out
+
+
+def _letters(text: str, start: int, end: int, event: re.Pattern, letters: array, places: list[int]) -> None:
     """Appends the letters of a block, and after each the place where a boundary would fall."""
     letters.append(RESET)
     places.append(start)
+    found = list(event.finditer(text, start, end))
+    enclosing = _outermost(text, start, end, found)
     last = start
-    low = False  # whether a low opening mark is open, however far back
-    for m in event.finditer(text, start, end):
-        c = m.group()
-        at = m.start()
+    for m in found:
+        c, at = m.group(), m.start()
         head = c[0]
         if head in MARKS:
-            ends, stop = mark_ends(text, start, m, end)
-            if ends:
-                letters.append(MARK)
-                places.append(stop)
-                last = stop
-            continue
-        if head.isspace():
-            letters.append(MARK)
+            stop = _CLOSE_RUN.match(text, m.end(), end).end()
+            after = follows(text, stop, end)
+            marks = set(c)
+            if marks & _STRONG or marks & _ALWAYS:
+                letter = _mark(ALWAYS, PLAIN, False, WORD, after)
+            elif marks & {"!", "?"}:
+                letter = _mark(ASKS, PLAIN, False, WORD, after)
+            elif c == ".":
+                letter = _mark(DOT, *_before_dot(text, start, at), after)
+            else:
+                letter = _mark(RUN, PLAIN, False, WORD, after)
+            letters.append(letter)
+            places.append(stop)
+            last = stop
+        elif head.isspace():
+            letters.append(BREAK)
             places.append(at)
             last = at
-            continue
-        kind = 0
-        closes_low = head == "“" and low
-        if head in "„“”":
-            low = head == "„"
-        if head == '"':
-            before = text[at - 1] if at > start else " "
-            if (before.isspace() or before in "([{¿¡„“«>—–-*_（「：，。！？、") and text.find('"', at + 1, end) >= 0:
-                kind, opening = 1, True
-            else:
-                kind, opening = 1, False
-        elif head in _PAIRS and not closes_low:
-            kind, partners = _PAIRS[head]
-            opening = any(text.find(p, at + 1, end) >= 0 for p in partners)
-            if not opening:
+        elif at in enclosing:
+            if enclosing[at]:
+                letters.append(OPEN + (not text[last:at].strip(_BETWEEN)))
+                places.append(at)
+                last = m.end()
                 continue
-        else:
-            kind, opening = _ENDS.get(head, 2), False
-        if opening:
-            between = text[last:at]
-            letters.append(_open(kind, not between.strip(" \t\r\n >\"”»」』)）]】")))
-            places.append(at)
-            last = m.end()
-            continue
-        inner = text[max(start, at - 3) : at].rstrip()
-        marked = bool(inner) and inner[-1] in MARKS
-        ends_fresh = ends_inner = False
-        stop = m.end()
-        if marked:
-            stop = _CLOSE_RUN.match(text, m.end(), end).end() if kind != 1 else m.end()
-            after = follows(text, stop, end)
-            if after not in (END, GLUED, LOWER, DASH, GLUED_UNCASED, UNCASED):
-                ends_inner = kind != KINDS
-                ends_fresh = True
-            elif kind == KINDS and after in (UNCASED, GLUED_UNCASED) or kind == KINDS and after == GLUED and head in "）】":
-                ends_fresh = True
-        letters.append(_close(kind, ends_fresh, ends_inner))
-        places.append(stop)
-        last = m.end()
+            inner = at
+            while inner > start and text[inner - 1].isspace():
+                inner -= 1
+            bracket = _ENDS.get(head) == BRACKET
+            stop = m.end() if head == '"' else _CLOSE_RUN.match(text, m.end(), end).end()
+            letters.append(_close((2 if head in "）】" else 1) if bracket else 0, inner > start and text[inner - 1] in MARKS, follows(text, stop, end)))
+            places.append(stop)
+            last = stop
 
 
-def run_transducer(letters: bytes, chunk: int = CHUNK) -> list[int]:
+def run_transducer(letters: array, chunk: int = CHUNK) -> list[int]:
     """Indices of the letters at which boundaries are written."""
     n = len(letters)
     if n <= chunk:
-        return _run(letters, 0, 0, n)
+        return _run(letters, OUTSIDE, 0, n)
     starts = list(range(0, n, chunk))
-    seq = np.frombuffer(letters, dtype=np.uint8)
     padded = np.full(len(starts) * chunk, LETTERS, dtype=np.int64)
-    padded[:n] = seq
+    padded[:n] = np.frombuffer(letters, dtype=np.uint16)
     padded = padded.reshape(len(starts), chunk)
     # one more letter that keeps every state, for the end of the last chunk
     table = np.concatenate([GO, np.arange(STATES, dtype=np.uint8)[:, None]], axis=1)
@@ -261,11 +321,11 @@ def run_transducer(letters: bytes, chunk: int = CHUNK) -> list[int]:
         later = np.take_along_axis(functions[d:], functions[:-d].astype(np.int64), axis=1)
         functions = np.concatenate([functions[:d], later])
         d *= 2
-    begin = [0, *functions[:-1, 0].tolist()]
+    begin = [OUTSIDE, *functions[:-1, OUTSIDE].tolist()]
     return [i for s, state in zip(starts, begin, strict=True) for i in _run(letters, state, s, min(n, s + chunk))]
 
 
-def _run(letters: bytes, state: int, low: int, high: int) -> list[int]:
+def _run(letters: array, state: int, low: int, high: int) -> list[int]:
     found = []
     for i in range(low, high):
         c = letters[i]
@@ -348,7 +408,7 @@ def units(text: str | None, chunk: int = CHUNK) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     parts = blocks(text)
-    letters, places, owner = bytearray(), [], []
+    letters, places, owner = array("H"), [], []
     event = _EVENT_THAI if _HAS_THAI.search(text) else _EVENT
     for k, (_, content, end) in enumerate(parts):
         if content >= 0:
@@ -356,7 +416,7 @@ def units(text: str | None, chunk: int = CHUNK) -> list[tuple[int, int]]:
             _letters(text, content, end, event, letters, places)
             owner.extend([k] * (len(letters) - before))
     cuts: list[list[int]] = [[] for _ in parts]
-    for i in run_transducer(bytes(letters), chunk):
+    for i in run_transducer(letters, chunk):
         cuts[owner[i]].append(places[i])
     found = []
     for (start, _, end), inner in zip(parts, cuts, strict=True):

@@ -7,8 +7,12 @@ vector too. Similarities are cosines in double precision from the full vectors,
 
 Vectors that are equal are one node: tasks fold the copies of their rows before the shuffle, and only the k + 1 smallest
 ids of a group of copies travel with it, as no neighbour list can hold more of them. The other copies get their
-neighbours by a salted join. A shard that the sample says is too large is cut into pieces; a search of the shard visits
-all of them.
+neighbours by a salted join.
+
+The number of centroids is bounded by what the sample can fit. A shard that the sample says is too large is cut into
+pieces by fixed hyperplanes through its centroid; a vector that visits the shard searches the piece on its own side and
+those across the `PROBES` planes it is nearest to, so its work does not depend on how many pieces there are. A piece that
+has too many visitors is copied, and they share its copies. Every piece or copy is a partition of its own.
 
 Defined results: vectors that are null, of another length, not finite or all zero are not usable and take no part; a
 vector is not its own neighbour; rows repeated verbatim count once; equal similarities are ordered by smaller id; an
@@ -34,6 +38,10 @@ VISITS = 3
 MOST_SHARDS = 4_000
 ROUNDS = 8
 SALTS = 64
+PROBES = 2
+#: Rows of one shard or visitors of one piece, in shards' sizes, beyond which they are divided.
+CROWD = 4
+MOST_PARTITIONS = 50_000
 
 
 def usable(batch_ids: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +62,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def fit_centroids(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, share of the sample in the region of each)."""
+def fit_centroids(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, share of the sample in the region of each, share of the sample that visits each from another)."""
     x = unit(sample).astype(np.float32)
     x = np.unique(x, axis=0) if len(x) else x
     count = max(1, min(count, len(x)))
@@ -70,7 +78,11 @@ def fit_centroids(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarra
         sums = np.add.reduceat(x[order], starts[full], axis=0)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c[full] = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), c[full])
-    return c, np.bincount(nearest, minlength=count) / max(1, len(x))
+    visited = np.zeros(count)
+    for i in range(0, len(x) if count > 1 else 0, 4096):
+        next_ = np.argsort(-(x[i : i + 4096] @ c.T), axis=1, kind="stable")[:, 1:VISITS]
+        visited += np.bincount(next_.ravel(), minlength=count)
+    return c, np.bincount(nearest, minlength=count) / max(1, len(x)), visited / max(1, len(x))
 
 
 def _lists(flat: np.ndarray, dim: int) -> pa.Array:
@@ -111,15 +123,50 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 10) -> D
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [usable(b.column(0), b.column(1), dim)[1] for b in batches]
         sample = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
-        c, share = fit_centroids(sample, wanted)
-        yield pa.RecordBatch.from_arrays([_lists(c, dim), pa.array(share)], names=["c", "share"])
+        c, share, visited = fit_centroids(sample, wanted)
+        yield pa.RecordBatch.from_arrays([_lists(c, dim), pa.array(share), pa.array(visited)], names=["c", "share", "visited"])
 
     ratio = min(1.0, SAMPLE / max(1, total))
     chosen = source.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(ratio * (1 << 30)) + 1).limit(2 * SAMPLE)
-    fitted = chosen.repartition(1).mapInArrow(fit, "c array<float>, share double").toArrow()  # at most MOST_SHARDS rows
+    fitted = chosen.repartition(1).mapInArrow(fit, "c array<float>, share double, visited double").toArrow()  # at most MOST_SHARDS rows
     centroids = np.asarray(fitted.column("c").combine_chunks().flatten(), dtype=np.float32).reshape(-1, dim)
-    pieces = np.maximum(1, np.ceil(fitted.column("share").to_numpy() * total / (4 * SHARD))).astype(np.int64)
+    if not len(centroids):  # nothing usable
+        return spark.createDataFrame([], "id bigint, neighbour bigint, rank int")
+    sizes, guests = (np.maximum(1, fitted.column(name).to_numpy() * total / (CROWD * SHARD)) for name in ("share", "visited"))
+    bits = np.ceil(np.log2(sizes)).astype(np.int64)  # a shard has 2 ** bits pieces
+    copies_of = np.ceil(guests * np.minimum(1, (1 + PROBES) / 2.0**bits)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum((1 << bits) * copies_of)])  # number of a shard's first piece and copy
+    groups_all = int(first[-1])
+    partitions = min(groups_all, MOST_PARTITIONS)
     visits = min(VISITS, len(centroids))
+    planes = np.random.default_rng(5).standard_normal((dim, int(bits.max()))).astype(np.float32)
+
+    def places(x: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, whether the row is at home there) of every place that rows are sent to."""
+        u = unit(x).astype(np.float32)
+        best = np.argsort(-(u @ centroids.T), axis=1, kind="stable")[:, :visits]
+        row = np.repeat(np.arange(len(x)), visits)
+        shard = best.ravel()
+        home = np.tile(np.arange(visits) == 0, len(x))
+        piece = np.zeros(len(row), dtype=np.int64)
+        split = bits[shard] > 0
+        if split.any():
+            side = (u[row[split]] - centroids[shard[split]]) @ planes
+            there = np.arange(planes.shape[1]) < bits[shard[split]][:, None]
+            piece[split] = ((side > 0) & there) @ (1 << np.arange(planes.shape[1]))
+            near = np.argsort(np.where(there, np.abs(side), np.inf), axis=1, kind="stable")[:, :PROBES]
+            at = np.nonzero(split)[0]
+            more = [(at[ok], piece[at][ok] ^ (1 << near[ok, p])) for p in range(near.shape[1]) if (ok := p < bits[shard[at]]).any()]
+            row = np.concatenate([row, *[row[a] for a, _ in more]])
+            shard = np.concatenate([shard, *[shard[a] for a, _ in more]])
+            home = np.concatenate([home, *[np.zeros(len(a), dtype=bool) for a, _ in more]])
+            piece = np.concatenate([piece, *[q for _, q in more]])
+        # a row at home is in every copy of its piece, a visitor in one
+        many = np.where(home, copies_of[shard], 1)
+        copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, shard, home, piece = (np.repeat(v, many) for v in (row, shard, home, piece))
+        copy = np.where(home, copy, (digest[row] % copies_of[shard].astype(np.uint64)).astype(np.int64))
+        return row, first[shard] + piece * copies_of[shard] + copy, home
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,39 +174,22 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 10) -> D
             if not len(ids):
                 continue
             keys = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in x]
-            groups = _fold(keys, [[int(i)] for i in ids], [False] * len(ids), most)
-            rows = np.array([g[0] for g in groups.values()])
-            x = x[rows]
-            score = unit(x).astype(np.float32) @ centroids.T
-            best = np.argsort(-score, axis=1, kind="stable")[:, :visits]
-            shard, piece, home, take = [], [], [], []
-            digest = np.frombuffer(b"".join(groups), dtype=">u8").reshape(-1, 2)
-            own = (digest[:, 0] % pieces[best[:, 0]].astype(np.uint64)).astype(np.int64)
-            for i in range(len(rows)):
-                for j, s in enumerate(best[i]):
-                    for p in range(pieces[s]):
-                        shard.append(s)
-                        piece.append(p)
-                        home.append(j == 0 and p == own[i])
-                        take.append(i)
-            heads = list(groups.values())
+            folded = _fold(keys, [[int(i)] for i in ids], [False] * len(ids), most)
+            x = x[np.array([g[0] for g in folded.values()])]
+            digest = np.frombuffer(b"".join(folded), dtype=">u8").reshape(-1, 2)[:, 1].astype(np.uint64)
+            take, group, home = places(x, digest)
+            names = pa.array(list(folded), pa.binary())
+            heads = _ragged([np.array(g[1], dtype=np.int64) for g in folded.values()])
+            many = pa.array([g[2] for g in folded.values()], pa.bool_())
             for low in range(0, len(take), 4096):
-                t = take[low : low + 4096]
-                names = list(groups)
+                part = slice(low, low + 4096)
+                t = pa.array(take[part])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(shard[low : low + 4096], pa.int32()),
-                        pa.array(piece[low : low + 4096], pa.int32()),
-                        pa.array(home[low : low + 4096], pa.bool_()),
-                        pa.array([names[i] for i in t], pa.binary()),
-                        _ragged([np.array(heads[i][1], dtype=np.int64) for i in t]),
-                        pa.array([heads[i][2] for i in t], pa.bool_()),
-                        _lists(x[t], dim),
-                    ],
-                    names=["shard", "piece", "home", "key", "ids", "many", "v"],
+                    [pa.array(group[part] % partitions, pa.int32()), pa.array(group[part]), pa.array(home[part]), names.take(t), heads.take(t), many.take(t), _lists(x[take[part]], dim)],
+                    names=["at", "group", "home", "key", "ids", "many", "v"],
                 )
 
-    routed = source.mapInArrow(route, "shard int, piece int, home boolean, key binary, ids array<bigint>, many boolean, v array<float>")
+    routed = source.mapInArrow(route, "at int, group bigint, home boolean, key binary, ids array<bigint>, many boolean, v array<float>")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -233,7 +263,23 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 10) -> D
             }
         )
 
-    searched = routed.groupBy("shard", "piece").applyInArrow(search, "key binary, sims array<double>, near array<bigint>, ids array<bigint>, many boolean")
+    def search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The groups of a partition, one after the other; its rows come sorted by group."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column(1).to_numpy()
+            cuts = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1).tolist(), len(group)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column(1)[0].as_py() != group[low]:
+                    yield from search(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from search(pa.Table.from_batches(held)).to_batches()
+
+    # a number of its own for each piece: none is put together with others, as their cost is not in their bytes
+    placed = routed.repartitionById(partitions, F.col("at")).sortWithinPartitions("group")
+    searched = placed.mapInArrow(search_groups, "key binary, sims array<double>, near array<bigint>, ids array<bigint>, many boolean")
     best = (
         searched.groupBy("key")
         .agg(F.flatten(F.collect_list(F.arrays_zip("sims", "near"))).alias("c"), F.first("ids", ignorenulls=True).alias("ids"), F.max("many").alias("many"))

@@ -19,6 +19,7 @@ NOTICE = {"MIT": "Anyone may copy this work, or bundle this work, as long as cha
         ("MIT", 1), (" mit. ", 1), ("The MIT Licence", 1), ('"MIT License"', 1), ("MIT Liecnse", 1), ("Licensed under the MIT License (see LICENSE)", 1), ("ＭＩＴ", 1),
         ("apache2", 2), ("ASL 2.0", 2), ("Apache License, Version 2.0", 2), ("Aapche Licese 2.0", 2), ("BSD (2 clause)", 3), ("New BSD, 3 clauses", 4), ("bsd3", 4), ("GPLv3", 6), ("GPL 2", 5), ("GNU GPL version 3", 6),
         ("cc0", 7), ("CC BY 4.0", 8), ("Zero-Clause BSD", 9), ("GPL", 0), ("BSD", 0), ("Creative Commons", 0), ("TBD", 0), ("n/a", 0), ("proprietary", 0), ("GPL-4.0-only", 0), ("MIT only for code in this folder", 1),
+        ("MTI", 1), ("MITT", 1), ("MUT", 0), ("GPL-3.0-or-later", 6), ("GPLv3+", 6), ("GPL 2 or any later version", 5), ("Creative Commons Attribution 4.0 International", 8),
     ],
 )
 def test_licence_names(value, ref):
@@ -103,3 +104,45 @@ def test_decide(spark):
         2: ("Apache-2.0", "ok"), 3: ("MIT", "conflict"), 4: ("MIT", "ok"), 5: ("NONE", "unknown"), 6: ("NONE", "conflict"), 7: ("GPL-2.0-only OR MIT", "ok"), 8: ("GPL-2.0-only OR MIT", "conflict"), 9: ("NONE", "conflict"), 11: ("NONE", "unknown"),
     }
     assert licences.decide(repos.where("false"), skills.where("false"), files.where("false"), ref).count() == 0
+
+
+def grammar():
+    return licences.Grammar(ENTRIES, list(NOTICE.items()))
+
+
+@pytest.mark.parametrize(
+    "text,plain,choice",
+    [
+        ("This project ships under MIT.", {"MIT"}, set()), ("You may use this file under the MIT license.", {"MIT"}, set()), ("This file is subject to the Apache License 2.0", {"Apache-2.0"}, set()),
+        ("# Output is compared with a tool that ships under the MIT License.", set(), set()), ("Another library is licensed under MIT.", set(), set()), ("This library, which is licensed under MIT, is small.", {"MIT"}, set()),
+        ("Do not paste code under the MIT License into this folder.", set(), set()), ("No longer licensed under MIT.", set(), set()), ("If this is licensed under MIT, tell us.", set(), set()),
+        ("// Until 2019 this file was under the GPL 3; it is now under\n// MIT.", {"MIT"}, set()), ("Before 2019 the GPL 3 applied here. Today the MIT License does.", {"MIT"}, set()),
+        ("// SPDX-License-Identifier: MIT\n// Foo is free to use under Apache 2; see the LICENSE file.", {"MIT", "Apache-2.0"}, set()), ("License: see above\nReleased under MIT.", {"MIT"}, set()),
+        ("The cache does. The healthy reply is here; the cache does not.", set(), set()), ("The MIT License does not apply.", set(), set()), ("The MIT License applies.", {"MIT"}, set()),
+        ("Do not edit\nSPDX-License-Identifier: MIT", {"MIT"}, set()), ("License: see above.", set(), set()), ("Example value: MIT License", set(), set()), ("Scans other trees for the words MIT License.", set(), set()),
+        ("Licensed under either the GNU General Public License 3.0 or the Apache\n License 2.0, at your option.", set(), {"GPL-3.0-only", "Apache-2.0"}), ("Dual licensed, pick one of: CC-BY-4.0 / MIT", set(), {"CC-BY-4.0", "MIT"}),
+        ("Released under MIT and Apache-2.0.", {"MIT", "Apache-2.0"}, set()), ("/* GNU  General   Public      License    version    3 */", {"GPL-3.0-only"}, set()), ("", set(), set()),
+    ],
+)
+def test_statements(text, plain, choice):
+    assert tuple(map(set, grammar().stated(text))) == (plain, choice)
+
+
+@pytest.mark.parametrize(
+    "change,stated",
+    [
+        (lambda t: t, True), (str.upper, True), (lambda t: t.replace("this work", "the Foo files"), True), (lambda t: "# x\n# " + t.replace(", ", ",\n# ") + "\n# y", True),
+        (lambda t: t.replace("changed files", "files"), True), (lambda t: t.replace("copy", "freely copy"), True), (lambda t: t.replace("say so", "tell so"), True), (lambda t: t.replace("as it is", "as is"), True),
+        (lambda t: t.split(",")[0] + ".", False), (lambda t: t.replace("as long as changed files say so", "with no duty at all for anyone who does"), False), (lambda t: "w " * 3_000 + t + " w" * 3_000, True),
+    ],
+)
+def test_notices_with_edits(change, stated):
+    got = grammar().stated(change(NOTICE["MIT"]))
+    assert got == (frozenset({"MIT"} if stated else ()), frozenset())
+
+
+def test_name_of_many_words():
+    """No number of words in a name is too many."""
+    long = "The Very Long Name Of A Licence That Has More Than Nine Words In It"
+    g = licences.Grammar([*ENTRIES, (20, "declared_license", "LONG-1", long)], [])
+    assert g.stated(f"Licensed under the {long}.")[0] == {"LONG-1"} and g.stated("  ".join(long.split()) + " " * 60)[0] == {"LONG-1"}

@@ -136,3 +136,31 @@ def test_long_text_and_column(spark):
     df = spark.createDataFrame([(1, "One. Two.", 0), (2, None, 0), (3, " ", 0)], "doc_id long, text string, start_char int")
     assert sorted(map(tuple, sentences.split_sentences(df, "doc_id", "text").collect())) == [(1, 0, 4), (1, 5, 9)]
     assert sentences.split_sentences(df.where("false"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("It is in the col. Then go on.", ["It is in the col.", "Then go on."]), ("We use vs. Then go.", ["We use vs.", "Then go."]), ("See Dr. Smith. He left.", ["See Dr. Smith.", "He left."]),
+        ("A (b (c (d (e. F) g) h) i) j. Next one.", ["A (b (c (d (e. F) g) h) i) j.", "Next one."]),
+        ("He said “a «b (c. D) e. F» g. H” then. Next.", ["He said “a «b (c. D) e. F» g. H” then.", "Next."]),
+        ("Foo ( bar. Next one.", ["Foo ( bar.", "Next one."]), ("Am" + " " * 40 + "3. Mai war es. Gut.", ["Am" + " " * 40 + "3. Mai war es.", "Gut."]),
+        ("(" * 40 + "a. B" + ")" * 40 + " c. D", ["(" * 40 + "a. B" + ")" * 40 + " c.", "D"]),
+        ("„" + "Ja. " * 300 + "Nein“ sagt er. Gut.", ["„" + "Ja. " * 300 + "Nein“ sagt er.", "Gut."]),
+    ],
+)
+def test_sentences_nested_and_far(text, expected):
+    assert [text[a:b] for a, b in sentences.units(text)] == expected
+    assert [text[a:b] for a, b in sentences.units(text, 2)] == expected
+
+
+def test_packing_splits_frequent_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 10)
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 20).alias("n"))
+    out = packing.pack(df, "doc_id", "n", 21).where("container is not null").collect()
+    used = {}
+    for r in out:
+        used.setdefault(r.container, []).append((r.start, r.n))
+    for items in used.values():
+        items.sort()
+        assert all(a + n <= b for (a, n), (b, _) in zip(items, items[1:])) and items[-1][0] + items[-1][1] <= 21
