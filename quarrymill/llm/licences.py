@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -114,13 +115,13 @@ class Notice:
         pairs = set(zip(self.items, self.items[1:], strict=False))
         self.pairs, self.needed = pairs, max(1, len(pairs) - 2 * self.edits - sum(w in ARTICLES for w in self.items))
 
-    def find(self, found: list[str], joined: str, pairs: set) -> tuple[int, int] | None:
-        """(first, end) of the words that the notice covers."""
+    def find(self, found: list[str], joined: str) -> tuple[int, int] | None:
+        """(first, end) of the words that the notice covers, in a text that has `needed` of its pairs of words."""
         m = self.exact.search(joined)
         if m:
             first = joined.count(" ", 0, m.start())
             return first, first + m.group().count(" ")
-        if not self.edits or len(self.pairs & pairs) < self.needed:
+        if not self.edits:
             return None
         # alignment with free ends; each cell is (edits, where the match began)
         row = [(0, j) for j in range(len(found) + 1)]
@@ -141,6 +142,10 @@ class Grammar:
         self.canonical = {e[0]: e[2] for e in entries if e[1] == FIELD}
         self.by_key = {c.strip().casefold(): c for c in self.canonical.values()}
         self.notices = [Notice(c, t) for c, t in notices if t and t.strip()]
+        self.with_pair: dict[tuple[str, str], list[int]] = {}
+        for k, notice in enumerate(self.notices):
+            for pair in notice.pairs:
+                self.with_pair.setdefault(pair, []).append(k)
         #: No name has more letters than the longest form and its slips.
         self.longest = max((len(form) for _, form in self.resolver.exact), default=0) + names.SLIPS + len("the") + max(map(len, names.AFTER_VERSION)) + len("license")
         self.near = lru_cache(100_000)(self._near)
@@ -210,6 +215,8 @@ class Grammar:
         while True:
             spans = [m.span() for m in _WORD.finditer(body)]
             low = [body[a:b].lower() for a, b in spans]
+            if not any(pair in self.with_pair for pair in zip(low, low[1:], strict=False)):
+                return body
             # a replaceable section is one word
             text = " ".join(low) + " "
             found, where, at, k = [], [], 0, 0
@@ -226,10 +233,11 @@ class Grammar:
             found += low[k:]
             where += range(k, len(low))
             where.append(len(low))
-            pairs = set(zip(found, found[1:], strict=False))
-            joined = "".join(w + " " for w in found)
-            for notice in self.notices:
-                hit = notice.find(found, joined, pairs)
+            held = Counter(k for pair in set(zip(found, found[1:], strict=False)) for k in self.with_pair.get(pair, ()))
+            likely = [self.notices[k] for k, n in held.most_common() if n >= self.notices[k].needed]
+            joined = "".join(w + " " for w in found) if likely else ""
+            for notice in likely:
+                hit = notice.find(found, joined)
                 if hit and hit[1] > hit[0]:
                     plain.add(notice.canonical)
                     first, last = where[hit[0]], where[hit[1]] - 1
@@ -287,8 +295,11 @@ class Grammar:
                 plain.add(named)
         return frozenset(plain), frozenset(choices)
 
-    def file(self, header: str | None, enclosing: str | None, repository_flag: str) -> tuple[str, str]:
-        return verdict(*(self.stated(header) if header else (frozenset(), frozenset())), enclosing, repository_flag)
+
+@lru_cache(4)
+def grammar_of(entries: tuple, notices: tuple) -> Grammar:
+    """The grammar of a list; a Python worker keeps it from task to task."""
+    return Grammar(list(entries), list(notices))
 
 
 def verdict(plain: frozenset, choices: frozenset, enclosing: str | None, repository_flag: str) -> tuple[str, str]:
@@ -306,14 +317,11 @@ def verdict(plain: frozenset, choices: frozenset, enclosing: str | None, reposit
 
 def decide(repositories: DataFrame, skills: DataFrame, skill_files: DataFrame, reference: DataFrame) -> DataFrame:
     """(scope, subject_id, license, flag) for every repository and every file of a skill."""
-    entries = names.entries_of(reference)
-    notices = [(r[0], r[1]) for r in reference.where("field = 'declared_license' AND notice_text IS NOT NULL").select("canonical_value", "notice_text").distinct().collect()]
-    made: list[Grammar] = []
+    entries = tuple(sorted(names.entries_of(reference)))
+    notices = tuple(sorted((r[0], r[1]) for r in reference.where("field = 'declared_license' AND notice_text IS NOT NULL").select("canonical_value", "notice_text").distinct().collect()))
 
     def grammar() -> Grammar:
-        if not made:
-            made.append(Grammar(entries, notices))
-        return made[0]
+        return grammar_of(entries, notices)
 
     repos = names.latest(repositories, "github_repository_id", "fetched_at", ["license_spdx_id"])
     files = names.latest(skill_files, "file_id", "listed_at", ["skill_id", "repository_id", "header_text"])

@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,9 +84,9 @@ AFTER_VERSION = ("oranylaterversion", "orlaterversion", "oranylater", "orlater",
 def bare(squeezed: str) -> str:
     """A squeezed reading without what may follow its version."""
     key = squeezed.removesuffix("license")
-    for end in AFTER_VERSION:
-        if key.endswith(end) and key != end:
-            return key.removesuffix(end)
+    if key.endswith(AFTER_VERSION):
+        end = next(e for e in AFTER_VERSION if key.endswith(e))
+        return key.removesuffix(end) or squeezed
     return squeezed
 
 
@@ -179,10 +180,14 @@ class Resolver:
             for end in ("", "license"):
                 if ("declared_license", family + end) not in own:
                     self.exact["declared_license", family + end] = 0
+        # forms that begin alike have the same deletes
+        self.alike: dict[tuple[str, str], list[str]] = {}
         for field, form in self.exact:
             if len(form) > 2:
-                for x in deletes(form):
-                    self.near.setdefault((field, x), []).append(form)
+                self.alike.setdefault((field, form[:PREFIX]), []).append(form)
+        for field, beginning in self.alike:
+            for x in deletes(beginning):
+                self.near.setdefault((field, x), []).append(beginning)
         self.known: dict[tuple[str, str], int] = {}
 
     def readings(self, field: str, value: str) -> list[str]:
@@ -214,14 +219,10 @@ class Resolver:
         best = None
         if len(squeezed) < 3:
             return None
-        seen = set()
         digits = _DIGITS.sub("", squeezed)
-        for x in deletes(squeezed):
-            for form in self.near.get((field, x), ()):
-                if form in seen:
-                    continue
-                seen.add(form)
-                if _DIGITS.sub("", form) != digits:
+        for beginning in {b for x in deletes(squeezed) for b in self.near.get((field, x), ())}:
+            for form in self.alike[field, beginning]:
+                if abs(len(form) - len(squeezed)) > SLIPS or _DIGITS.sub("", form) != digits:
                     continue
                 d = slips(squeezed, form)
                 if d is not None and (len(form) > 3 or d[1] <= len(form) / 4):
@@ -244,6 +245,12 @@ class Resolver:
         return self.known[key]
 
 
+@lru_cache(4)
+def resolver_of(entries: tuple, named: tuple = ()) -> Resolver:
+    """The resolver of a list; a Python worker keeps it from task to task."""
+    return Resolver(list(entries), dict(named))
+
+
 def entries_of(reference: DataFrame) -> list[tuple[int, str, str, str | None]]:
     """The reference list; it must not grow with the data."""
     rows = reference.select("reference_id", "field", "canonical_value", "long_name").where("canonical_value IS NOT NULL").distinct().limit(MOST_ENTRIES + 1).collect()
@@ -271,11 +278,11 @@ def _values(skills: DataFrame) -> DataFrame:
 
 def resolved_values(skills: DataFrame, reference: DataFrame) -> DataFrame:
     """(skill_id, field, pos, value, reference_id) for every value that holds more than blanks and commas."""
-    entries = entries_of(reference)
+    entries = tuple(sorted(entries_of(reference)))
     values = Stage(skills.sparkSession, "names").write(_values(skills), "values")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resolver, named = Resolver(entries), Counter()
+        resolver, named = resolver_of(entries), Counter()
         for batch in batches:
             for field, value, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if ref := resolver.plain(field, value):
@@ -283,10 +290,10 @@ def resolved_values(skills: DataFrame, reference: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(named), pa.int32()), pa.array(list(named.values()), pa.int64())], names=["reference_id", "n"])
 
     counted = values.groupBy("field", "value").count().mapInArrow(count, "reference_id int, n long").groupBy("reference_id").agg(F.sum("n").alias("n"))
-    named = {r.reference_id: r.n for r in counted.collect()}  # at most one row for each entry
+    named = tuple(sorted((r.reference_id, r.n) for r in counted.collect()))  # at most one row for each entry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resolver = Resolver(entries, named)
+        resolver = resolver_of(entries, named)
         for batch in batches:
             refs = [resolver.resolve(f, v) for f, v in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(refs, pa.int32())], names=["skill_id", "field", "pos", "value", "reference_id"])
