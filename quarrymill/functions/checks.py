@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The patterns of identifiers.
+OWNER = "^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$"
+REPOSITORY_NAME = "^[A-Za-z0-9._-]{1,100}$"
+SHA = "^(?:[0-9a-f]{40}|[0-9a-f]{64})$"
+DOCUMENT_ID = "^github:[1-9][0-9]*:[^/].*$"
+OBJECT_SHA = re.compile(SHA)
+
+
 class ContractError(ValueError):
     """A table broke a rule."""
 
@@ -16,11 +26,11 @@ def clean(value: Column) -> Column:
 
 
 def owner(value: Column) -> Column:
-    return clean(value) & value.rlike("^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$") & ~value.contains("--")
+    return clean(value) & value.rlike(OWNER) & ~value.contains("--")
 
 
 def repository_name(value: Column) -> Column:
-    return clean(value) & value.rlike("^[A-Za-z0-9_.-]{1,100}$") & ~value.contains("..") & ~value.endswith(".")
+    return clean(value) & value.rlike(REPOSITORY_NAME) & ~value.contains("..") & ~value.endswith(".")
 
 
 def full_name(value: Column) -> Column:
@@ -37,7 +47,7 @@ def git_ref(value: Column) -> Column:
 
 
 def object_sha(value: Column) -> Column:
-    return clean(value) & value.rlike("^(?:[0-9a-f]{40}|[0-9a-f]{64})$")
+    return clean(value) & value.rlike(SHA)
 
 
 def https_url(value: Column, host: str) -> Column:
@@ -48,7 +58,7 @@ def https_url(value: Column, host: str) -> Column:
 
 
 def document_id(value: Column) -> Column:
-    return value.isNotNull() & value.rlike(r"^github:[1-9][0-9]*:[^/].*$")
+    return value.isNotNull() & value.rlike(DOCUMENT_ID)
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:

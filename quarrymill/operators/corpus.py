@@ -81,3 +81,9 @@ def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     one = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
     part = lambda k: F.sum(F.conv(F.substring(one, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)"))
     return df.agg(F.count("*").alias("rows"), F.concat_ws("-", *[F.coalesce(part(k), F.lit(0)).cast("string") for k in range(4)]).alias("digest"))
+
+
+def corpus_fingerprint(corpus: DataFrame) -> DataFrame:
+    """The fingerprint of a table of documents; repeated rows count once, and only the hashed columns and the id are shuffled."""
+    columns = ("content_sha256", "validation_status", "has_scripts", "license_status")
+    return fingerprint(corpus.select("document_id", *columns).distinct(), *columns)

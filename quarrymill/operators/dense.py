@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrymill.functions import text as X
+from quarrymill.functions.checks import ContractError
+
 #: Rows of a block of documents and of queries that one task multiplies.
 DOC_BLOCK, QUERY_BLOCK = 8_192, 2_048
 NORM_TOLERANCE = 1e-4
@@ -48,15 +53,17 @@ def search(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding
     """(query_id, rank, key, similarity): the best k rows of docs for every row (query_id, vector) of queries, exactly.
 
     Both sides are cut into blocks of fixed size; a task multiplies one block of queries with one of documents and keeps
-    the best k of each query, with all that tie with the last. Unusable vectors take no part.
+    the best k of each query, ties by key. Unusable vectors take no part.
     """
     usable = lambda df: df.where(problem(F.col(vector), dimension, unit=False).isNull())
     q, d = usable(queries).select("query_id", vector), usable(docs).select(key, vector)
     many_q = max(1, -(-q.count() // QUERY_BLOCK))
     many_d = max(1, -(-d.count() // DOC_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = q.select(block("query_id", many_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(many_d - 1))).alias("db"), F.lit(True).alias("is_query"), F.col("query_id").cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    right = d.select(F.explode(F.sequence(F.lit(0), F.lit(many_q - 1))).alias("qb"), block(key, many_d).alias("db"), F.lit(False).alias("is_query"), F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    kind_q, kind_d = queries.schema["query_id"].dataType, docs.schema[key].dataType
+    none_q, none_d = F.lit(None).cast(kind_q).alias("query_id"), F.lit(None).cast(kind_d).alias("id")
+    left = q.select(block("query_id", many_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(many_d - 1))).alias("db"), "query_id", none_d, F.lit(True).alias("is_query"), F.col(vector).cast("array<float>").alias("v"))
+    right = d.select(F.explode(F.sequence(F.lit(0), F.lit(many_q - 1))).alias("qb"), block(key, many_d).alias("db"), none_q, F.col(key).alias("id"), F.lit(False).alias("is_query"), F.col(vector).cast("array<float>").alias("v"))
 
     def multiply(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -64,27 +71,36 @@ def search(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding
         x = np.asarray(t.column("v").chunk(0).flatten(), dtype=np.float64).reshape(t.num_rows, -1)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        ids = np.array(t.column("id").to_pylist(), dtype=object)
         qs, ds = np.nonzero(is_query)[0], np.nonzero(~is_query)[0]
+        # documents in the order of their keys (text by its bytes), so that ties are cut in that order
+        keys = t.column("id").take(pa.array(ds)).to_pylist()
+        ds = ds[sorted(range(len(ds)), key=lambda i: keys[i].encode() if isinstance(keys[i], str) else keys[i])]
         out_q, out_d, out_s = [], [], []
-        for low in range(0, len(qs), 256):
+        for low in range(0, len(qs) if len(ds) else 0, 256):
             rows = qs[low : low + 256]
-            if not len(ds):
-                break
             s = np.round(np.clip(x[rows] @ x[ds].T, -1, 1), digits)
-            least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-            r, c = np.nonzero(s >= least[:, None])
-            out_q.append(ids[rows[r]])
-            out_d.append(ids[ds[c]])
+            cut = max(0, s.shape[1] - k)
+            least = np.partition(s, cut, axis=1)[:, cut : cut + 1]
+            above, tied = s > least, s == least
+            tied &= np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True)
+            r, c = np.nonzero(above | tied)
+            out_q.append(rows[r])
+            out_d.append(ds[c])
             out_s.append(s[r, c])
-        flat = lambda a, kind: pa.array(np.concatenate(a) if a else [], kind)
-        return pa.table({"query_id": flat(out_q, pa.string()), "id": flat(out_d, pa.string()), "similarity": flat(out_s, pa.float64())})
+        flat = lambda a: np.concatenate(a) if a else np.zeros(0, np.int64)
+        return pa.table({"query_id": t.column("query_id").take(pa.array(flat(out_q))), key: t.column("id").take(pa.array(flat(out_d))), "similarity": pa.array(flat(out_s).astype(np.float64))})
 
-    best = left.unionByName(right).groupBy("qb", "db").applyInArrow(multiply, "query_id string, id string, similarity double")
-    kind_q, kind_d = queries.schema["query_id"].dataType, docs.schema[key].dataType
-    typed = best.select(F.col("query_id").cast(kind_q).alias("query_id"), F.col("id").cast(kind_d).alias(key), "similarity")
+    best = left.unionByName(right).groupBy("qb", "db").applyInArrow(multiply, f"query_id {kind_q.simpleString()}, {key} {kind_d.simpleString()}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return typed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def of_model(embeddings: DataFrame, model_id: str, model_revision: str, dimension: int, config_sha256: str | None = None) -> DataFrame:
+    """The vectors that one model in one revision made (and one configuration, where the table names it): only these may be compared with its queries."""
+    rule = F.col("embedding").isNotNull() & (F.col("model_id") == model_id) & (F.col("model_revision") == model_revision) & (F.col("model_dimension") == dimension)
+    if config_sha256 is not None:
+        rule &= F.col("embedding_config_sha256") == config_sha256
+    return embeddings.where(rule)
 
 
 def coverage(corpus: DataFrame, embeddings: DataFrame, model_id: str, model_revision: str, dimension: int) -> DataFrame:
@@ -99,6 +115,42 @@ def coverage(corpus: DataFrame, embeddings: DataFrame, model_id: str, model_revi
     )
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """What makes vectors of texts: its identity, and a function of a column of texts that gives a column of unit vectors."""
+
+    model_id: str
+    model_revision: str
+    dimension: int
+    encode: Callable[[Column], Column]
+
+    @property
+    def identity(self) -> tuple[str, str, int]:
+        return self.model_id, self.model_revision, self.dimension
+
+
+_ENCODERS: dict[str, Callable[[str, int], Encoder]] = {}
+HASHING = "quarrymill/token-hashing"
+
+
+def register_encoder(model_id: str, make: Callable[[str, int], Encoder]) -> None:
+    """make: (revision, dimension) -> Encoder, called when a configuration first names the model."""
+    _ENCODERS[model_id] = make
+    encoder_for.cache_clear()
+
+
+@lru_cache(16)
+def encoder_for(model_id: str, model_revision: str, dimension: int) -> Encoder:
+    """The encoder that a configuration pins; raises if there is none or if it differs from what was pinned."""
+    if model_id not in _ENCODERS:
+        raise ContractError(f"no encoder for the model {model_id}")
+    made = _ENCODERS[model_id](model_revision, dimension)
+    if made.identity != (model_id, model_revision, dimension):
+        raise ContractError("the encoder differs from the pinned configuration")
+    return made
+
+
+# The coordinate and sign that a token's hash names, as the results demand.
 def hashing_encoder(dimension: int = 384):
     """A pandas UDF from tokens to a unit vector: every token adds 1 or -1 at a coordinate that its hash names; without tokens, the first axis."""
 
@@ -128,12 +180,15 @@ def hashing_encoder(dimension: int = 384):
     return encode
 
 
-def index_incrementally(corpus: DataFrame, embeddings: DataFrame, model_id: str, model_revision: str, dimension: int, indexed_at: Column) -> tuple[DataFrame, DataFrame]:
-    """(new embedding rows for what is stale or missing, rows kept as they are). corpus has document_id, tokens, embedding_text, embedding_text_sha256."""
-    state = coverage(corpus, embeddings, model_id, model_revision, dimension)
+def index_incrementally(corpus: DataFrame, embeddings: DataFrame, encoder: Encoder, indexed_at: Column) -> tuple[DataFrame, DataFrame]:
+    """(new embedding rows for what is stale or missing, rows kept as they are). corpus has document_id, embedding_text, embedding_text_sha256."""
+    state = coverage(corpus, embeddings, *encoder.identity)
     todo = corpus.join(state.where("state <> 'current'"), "document_id", "left_semi")
     made = todo.select(
-        "document_id", F.lit(model_id).alias("model_id"), F.lit(model_revision).alias("model_revision"), F.lit(dimension).alias("model_dimension"),
-        hashing_encoder(dimension)("tokens").alias("embedding"), "embedding_text", "embedding_text_sha256", indexed_at.alias("indexed_at"),
+        "document_id", F.lit(encoder.model_id).alias("model_id"), F.lit(encoder.model_revision).alias("model_revision"), F.lit(encoder.dimension).alias("model_dimension"),
+        encoder.encode(F.col("embedding_text")).alias("embedding"), "embedding_text", "embedding_text_sha256", indexed_at.alias("indexed_at"),
     )
     return made, embeddings.join(todo.select("document_id"), "document_id", "left_anti")
+
+
+register_encoder(HASHING, lambda revision, dimension: Encoder(HASHING, revision, dimension, lambda text: hashing_encoder(dimension)(X.tokens(text))))

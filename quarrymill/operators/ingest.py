@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from quarrymill.functions import checks
 
 IDENTITY = ["repository_id", "path"]
+#: Bounds of a discovery plan.
+MOST_QUERIES, MOST_TARGET, MOST_PAGE_ITEMS, MOST_PAGES = 20, 1_000, 100, 10
 
 
 def discovery_plan(seeds: DataFrame, markers: list[str], name: str = "SKILL.md") -> DataFrame:
-    """(position, query): each marker for each seed (repository), then each marker alone. Seeds differing in case only count once."""
-    unique = seeds.where(F.trim("repository") != "").groupBy(F.lower(F.trim("repository")).alias("_k")).agg(F.min(F.trim("repository")).alias("repository"))
+    """(position, query): each marker for each seed (repository, position), then each marker alone.
+
+    Seeds differing in case only count once, in the spelling that comes first by `position` (by text, where there is none).
+    """
+    name_of = F.trim("repository")
+    first = F.min_by(name_of, F.struct("position", name_of)) if "position" in seeds.columns else F.min(name_of)
+    unique = seeds.where(name_of != "").groupBy(F.lower(name_of).alias("_k")).agg(first.alias("repository"))
     listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("marker")) for i, m in enumerate(markers)])
     spark = seeds.sparkSession
     narrow = unique.select("_k", "repository", F.inline(listed)).select(F.lit(0).alias("_b"), "_k", "i", F.concat_ws("", "marker", F.lit(f" filename:{name} repo:"), "repository").alias("query"))
@@ -24,10 +31,19 @@ def public_files(found: DataFrame, name: str = "SKILL.md") -> DataFrame:
     return found.where(~F.col("private") & (F.substring_index("path", "/", -1) == name))
 
 
-def merge_found(found: DataFrame, evidence: list[str]) -> DataFrame:
-    """One row for each identity with the sorted union of its matched_queries; `versions` counts its distinct evidence, which should be 1."""
+def merge_found(found: DataFrame, evidence: list[str], plan: list[str] | None = None) -> DataFrame:
+    """One row for each identity with the union of its matched_queries; `versions` counts its distinct evidence, which should be 1.
+
+    plan: the queries in the order they were asked (at most MOST_QUERIES); matched_queries follow it, others come after, by text.
+    """
+    if plan is not None and len(plan) > MOST_QUERIES:
+        raise checks.ContractError(f"more than {MOST_QUERIES} queries")
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("matched_queries"))))
+    if plan:
+        place = lambda q: F.coalesce(F.nullif(F.array_position(F.lit(plan), q), F.lit(0)), F.lit(MOST_QUERIES + 1))
+        union = F.transform(F.array_sort(F.transform(union, lambda q: F.struct(place(q).alias("p"), q.alias("q")))), lambda x: x["q"])
     return found.groupBy(*IDENTITY).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("matched_queries")))).alias("matched_queries"),
+        union.alias("matched_queries"),
         F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in evidence])).alias("versions"),
     )
 
@@ -44,14 +60,15 @@ def classify(candidates: DataFrame, stored: DataFrame, version: str = "git_blob_
     return candidates.join(known, IDENTITY, "left").withColumn("change", change).drop("_v", "_there")
 
 
-def merge(stored: DataFrame, incoming: DataFrame, seen_at: str, keep: list[str], skip: bool = False) -> DataFrame:
+def merge(stored: DataFrame, incoming: DataFrame, seen_at: str, keep: list[str], skip: bool = False, clear: tuple[str, ...] = ()) -> DataFrame:
     """The new version of a table with identity keys: incoming rows replace stored ones; an unchanged one only moves last_seen_at.
 
     With `skip`, an incoming row without git_blob_sha is reported as `skipped` and replaces nothing: what is stored stays as it is, but
     for last_seen_at; if nothing is stored, its row is not part of the new version.
     Both have IDENTITY, git_blob_sha and the columns `keep`. stored has first_seen_at and last_seen_at, incoming has seen_at.
+    Columns `clear` of stored (what was derived from a version, as its embedding) stay while the version does, and are null else.
     """
-    old = stored.select(*IDENTITY, F.struct("git_blob_sha", "first_seen_at", "last_seen_at", *keep).alias("o"))
+    old = stored.select(*IDENTITY, F.struct("git_blob_sha", "first_seen_at", "last_seen_at", *keep, *clear).alias("o"))
     new = incoming.select(*IDENTITY, F.struct("git_blob_sha", F.col(seen_at).alias("seen"), *keep).alias("n"))
     both = old.join(new, IDENTITY, "full_outer")
     blank = F.lit(skip) & F.col("n").isNotNull() & F.col("n.git_blob_sha").isNull()
@@ -59,6 +76,7 @@ def merge(stored: DataFrame, incoming: DataFrame, seen_at: str, keep: list[str],
     pick = lambda c: F.when(F.col("n").isNull() | blank | same, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     return both.select(
         *IDENTITY, pick("git_blob_sha"), *[pick(c) for c in keep],
+        *[F.when(F.col("n").isNull() | blank | same, F.col(f"o.{c}")).alias(c) for c in clear],
         F.coalesce("o.first_seen_at", "n.seen").alias("first_seen_at"),
         F.greatest("o.last_seen_at", "n.seen").alias("last_seen_at"),
         F.when(F.col("n").isNull(), "kept").when(blank, "skipped").when(F.col("o").isNull(), "inserted").when(same, "unchanged").otherwise("updated").alias("action"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.functions import checks
+
 
 def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / (F.log(rank + 1.0) / F.log(F.lit(2.0)))
@@ -46,6 +48,18 @@ def macro(per: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by).agg(F.count("*").alias("queries"), F.avg("ndcg").alias("ndcg"), F.avg("reciprocal_rank").alias("mrr"), F.avg("recall").alias("recall"))
 
 
+def require_rankings(rankings: DataFrame, qrels: DataFrame, queries: DataFrame) -> None:
+    """Raises unless rankings and judgements are of these queries, and every query has a relevant document.
+
+    A query without results is named by a row with null document_id in rankings, or is absent there only if it found nothing.
+    """
+    asked = queries.select("query_id").distinct()
+    for df, what in ((rankings, "rankings"), (qrels, "judgements")):
+        checks.require_none(df.select("query_id").distinct().join(asked, "query_id", "left_anti"), f"{what} of unknown queries")
+    checks.require_none(asked.join(qrels.where("relevance >= 1").select("query_id"), "query_id", "left_anti"), "queries without a relevant document")
+
+
+# The labels of the kinds of failure.
 def failure_type() -> Column:
     return (
         F.when(F.col("first_relevant").isNull(), "no_relevant_result_in_top_10")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Limits and names of the document format.
+# Limits and names of the document format, and the patterns of its names, links, headings, fences and words.
 DOCUMENT_BYTES, FRONT_BYTES, PATH_CHARACTERS, ENTRIES = 256 * 1024, 16 * 1024, 1_024, 1_000
 STANDARD = ("name", "description", "license", "compatibility", "metadata", "allowed-tools")
 NAME = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quarrymill.functions import checks
 from quarrymill.functions.text import csv_safe
 
-BLINDING = "blinded-order-v1"
+# Fixed value: the version of the blinding, which is part of what is hashed.
+BLINDING = "sha256-query-document-v1"
 EVIDENCE = ("query_id", "query_text", "label_order", "document_id", "content_sha256", "name", "repository", "path", "snippet")
 
 

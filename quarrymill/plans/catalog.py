@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.functions import checks
+from quarrymill.functions import checks, payload
 from quarrymill.functions import text as X
-from quarrymill.operators import corpus, dense, fusion, ingest, lexical, metrics, parse, pooling, stats
+from quarrymill.operators import corpus, dense, evidence, fusion, ingest, lexical, metrics, parse, pooling, runs, stats
 from quarrymill.plans import sql as S
-from quarrymill.runtime import Stage, spread, table
+from quarrymill.runtime import Stage, spread, state_of, table
+from quarrymill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,15 +47,26 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return corpus.documents(table(spark, d, "corpus_documents"))
 
 
-def _tokenized(spark: SparkSession, d: str) -> DataFrame:
-    """The tokenised corpus as a written table: its readers (terms, lengths, names) each scan the columns they need."""
-    return Stage(spark, "tokens").write(corpus.tokenized(spread(_documents(spark, d))), "corpus")
+_KEPT: dict[tuple[str, str], tuple] = {}
+
+
+def _index(spark: SparkSession, d: str) -> lexical.Index:
+    """The stored index of a corpus; it is built again when the stored table changes."""
+    key = spark.sparkContext.applicationId, d
+    now = state_of(spark, f"{d}/corpus_documents.parquet")
+    if key not in _KEPT or _KEPT[key][0] != now:
+        _KEPT[key] = now, lexical.Index.build(corpus.tokenized(spread(_documents(spark, d))))
+    return _KEPT[key][1]
 
 
 def _one(spark: SparkSession, text: str = QUESTION) -> DataFrame:
     return spark.range(1).select(F.lit("q").alias("query_id"), F.lit(text).alias("query_text"))
 
 
+#: The terms of the fixed question, which a search for it reads.
+_ASKED = sorted(set(QUESTION.split()))
+
+
 def _batch(spark: SparkSession, d: str) -> DataFrame:
     """The documents whose skill_id is divisible by 100, their names being the queries."""
     return _documents(spark, d).where("skill_id % 100 = 0").select(F.col("document_id").alias("query_id"), F.regexp_replace("name", "-", " ").alias("query_text"))
@@ -129,19 +141,11 @@ def validate_urls(spark, d):
     return table(spark, d, "repositories").select("github_repository_id", checks.https_url(F.col("html_url"), "git.example.org").alias("good_url")).distinct()
 
 
-@query(f"""WITH {S.SKILLS}, m AS (SELECT skill_id, list_sort(map_entries(metadata)) AS e, * FROM sk)
-SELECT skill_id, concat_ws(' ', nullif(declared_license, ''), nullif(compatibility, ''), coalesce(array_to_string(list_sort(list_filter(allowed_tools, lambda t: t IS NOT NULL)), ' '), ''),
- coalesce(array_to_string(list_transform(e, lambda x: concat_ws(' ', x.key, x.value)), ' '), '')) AS metadata_text FROM m WHERE allowed_tools IS NOT NULL AND metadata IS NOT NULL""")
-def metadata_texts(spark, d):
-    s = _skills(spark, d).where("allowed_tools IS NOT NULL AND metadata IS NOT NULL")
-    return s.select("skill_id", X.metadata_text(F.col("declared_license"), F.col("compatibility"), F.filter("allowed_tools", lambda t: t.isNotNull()), F.col("metadata")).alias("metadata_text"))
-
-
 @query(f"""WITH {S.SKILLS}, m AS (SELECT skill_id, list_sort(map_entries(metadata)) AS e, * FROM sk)
 SELECT skill_id, concat_ws(' ', nullif(declared_license, ''), nullif(compatibility, ''), coalesce(array_to_string(list_sort(list_filter(allowed_tools, lambda t: t IS NOT NULL)), ' '), ''),
  coalesce(array_to_string(list_transform(e, lambda x: concat_ws(' ', x.key, x.value)), ' '), '')) AS metadata_text FROM m""")
-def metadata_texts_all(spark, d):
-    """metadata_texts with a row for every skill: null allowed_tools are an empty list, null metadata is an empty map."""
+def metadata_texts(spark, d):
+    """A row for every skill: null allowed_tools are an empty list, null metadata is an empty map."""
     tools = F.coalesce(F.filter("allowed_tools", lambda t: t.isNotNull()), F.array().cast("array<string>"))
     keyed = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     return _skills(spark, d).select("skill_id", X.metadata_text(F.col("declared_license"), F.col("compatibility"), tools, keyed).alias("metadata_text"))
@@ -158,41 +162,40 @@ def embedding_text_hashes(spark, d):
 
 @query(f"WITH {S.DOCS}, {S.TOKENS} SELECT document_id, term, tf FROM tf")
 def term_frequencies(spark, d):
-    return lexical.term_counts(_tokenized(spark, d))
+    return _index(spark, d).postings.select("document_id", "term", "tf")
 
 
 @query(f"WITH {S.DOCS}, {S.TOKENS} SELECT term, df FROM dfr")
 def document_frequencies(spark, d):
-    return lexical.document_frequency(lexical.term_counts(_tokenized(spark, d)))
+    return _index(spark, d).terms.select("term", "df")
 
 
 @query(f"WITH {S.DOCS}, {S.TOKENS} SELECT n_docs, total_len, round(avg_len, 6) AS avg_len FROM st")
 def corpus_stats(spark, d):
-    return lexical.statistics(_tokenized(spark, d)).select("n_docs", "total_len", F.round("avg_len", 6).alias("avg_len"))
+    return lexical.statistics(_index(spark, d).docs).select("n_docs", "total_len", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query(f"WITH {S.DOCS}, {S.TOKENS} SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfr CROSS JOIN st")
 def idf_table(spark, d):
-    t = _tokenized(spark, d)
-    n = t.agg(F.count("*").alias("n"))
-    return lexical.document_frequency(lexical.term_counts(t)).crossJoin(F.broadcast(n)).select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    index = _index(spark, d)
+    return index.terms.select("term", "df", F.round(lexical.idf(F.lit(index.n_docs), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {S.DOCS}, {S.TOKENS}, {S.bm25(_ONE, 10)} SELECT query_id, rank::INT AS rank, document_id, score FROM bm25")
 def bm25_search(spark, d):
-    return lexical.search(_one(spark), _tokenized(spark, d)).select("query_id", "rank", "document_id", "score")
+    return lexical.search(_one(spark), _index(spark, d), asked=_ASKED).select("query_id", "rank", "document_id", "score")
 
 
 @query(f"""WITH {S.DOCS}, {S.TOKENS}, {S.bm25(_ONE, 10)}
 SELECT b.document_id, s.term, s.tf::BIGINT AS tf, s.df, round(s.idf, 6) AS idf, round(s.s, 6) AS part FROM bm25 b JOIN sco s USING (query_id, document_id)""")
 def bm25_explain(spark, d):
-    t = lexical.search(_one(spark), _tokenized(spark, d)).select("document_id", F.inline("terms"))
+    t = lexical.search(_one(spark), _index(spark, d), asked=_ASKED).select("document_id", F.inline("terms"))
     return t.select("document_id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("score", 6).alias("part"))
 
 
 @query(f"WITH {S.DOCS}, {S.TOKENS}, {S.bm25(_BATCH, 10)} SELECT query_id, rank::INT AS rank, document_id, score FROM bm25")
 def bm25_batch(spark, d):
-    return lexical.search(_batch(spark, d), _tokenized(spark, d)).select("query_id", "rank", "document_id", "score")
+    return lexical.search(_batch(spark, d), _index(spark, d)).select("query_id", "rank", "document_id", "score")
 
 
 _ALLOWED = "o.license_status IN ('permissive', 'restrictive') AND o.validation_status = 'valid' AND NOT o.has_scripts"
@@ -201,7 +204,7 @@ _ALLOWED = "o.license_status IN ('permissive', 'restrictive') AND o.validation_s
 @query(f"WITH {S.DOCS}, {S.TOKENS}, {S.bm25(_ONE, 10, _ALLOWED)} SELECT query_id, rank::INT AS rank, document_id, score FROM bm25")
 def bm25_filtered(spark, d):
     rule = corpus.allows(["permissive", "restrictive"], ["valid"], False)
-    return lexical.search(_one(spark), _tokenized(spark, d), allowed=rule).select("query_id", "rank", "document_id", "score")
+    return lexical.search(_one(spark), _index(spark, d), allowed=rule, asked=_ASKED).select("query_id", "rank", "document_id", "score")
 
 
 _AGAIN = "ledger ledger LEDGER review"
@@ -209,13 +212,13 @@ _AGAIN = "ledger ledger LEDGER review"
 
 @query(f"WITH {S.DOCS}, {S.TOKENS}, {S.bm25(f'''SELECT 'q' AS query_id, '{_AGAIN}' AS query_text''', 10)} SELECT query_id, rank::INT AS rank, document_id, score FROM bm25")
 def bm25_repeated_terms(spark, d):
-    return lexical.search(_one(spark, _AGAIN), _tokenized(spark, d)).select("query_id", "rank", "document_id", "score")
+    return lexical.search(_one(spark, _AGAIN), _index(spark, d)).select("query_id", "rank", "document_id", "score")
 
 
 @query()
 def bm25_normalized(spark, d):
     """With the full normalisation of queries and texts, as texts from outside need it."""
-    t = corpus.tokenized(_documents(spark, d), normalize=True)
+    t = lexical.Index.build(corpus.tokenized(spread(_documents(spark, d)), normalize=True))
     return lexical.search(_one(spark, "**Escaped** [ledger](x) `review`"), t, normalize=True).select("query_id", "rank", "document_id", "score")
 
 
@@ -249,6 +252,16 @@ def dense_filtered(spark, d):
     return dense.search(q, e.where("label IN (1, 2, 3)"), 10, dimension=64).select("query_id", "rank", "vec_id", "similarity")
 
 
+@query(f"""WITH e AS (SELECT DISTINCT vec_id, embedding FROM skill_embeddings WHERE model_id = '{MODEL}' AND model_revision = '{REVISION}' AND model_dimension = {DIMENSION} AND {S.USABLE.format(v="embedding", d=384)})
+SELECT query_id, rank::INT AS rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
+ (SELECT q.vec_id AS query_id, e.vec_id, {S.cosine("q.embedding", "e.embedding")} AS similarity FROM e q CROSS JOIN e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def dense_pinned(spark, d):
+    """Only vectors of the pinned model and revision are compared."""
+    e = dense.of_model(table(spark, d, "skill_embeddings"), MODEL, REVISION, DIMENSION).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense.search(q, e, 10, dimension=DIMENSION).select("query_id", "rank", "vec_id", "similarity")
+
+
 @query("""WITH v AS (SELECT DISTINCT vec_id, embedding AS e FROM skill_embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM v)
 SELECT coalesce(CASE WHEN e IS NULL THEN 'null' WHEN len(e) <> 384 THEN 'dimension' WHEN len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not_finite' WHEN n = 0 THEN 'zero' WHEN abs(n - 1) > 1e-4 THEN 'norm' END, 'ok') AS problem, count(*) AS n FROM n GROUP BY 1""")
 def embedding_validation(spark, d):
@@ -257,7 +270,7 @@ def embedding_validation(spark, d):
 
 
 @query(f"""WITH {S.SKILLS}, c AS (SELECT DISTINCT document_id, sha256('name: ' || coalesce(name_text, '') || chr(10) || 'description: ' || coalesce(description_text, '') || chr(10) || 'metadata: ' || coalesce(metadata_text, '') || chr(10) || 'headings: ' || coalesce(heading_text, '') || chr(10) || 'body: ' || coalesce(body_text, '')) AS h FROM corpus_documents),
-e AS (SELECT document_id, bool_or(model_id = '{MODEL}' AND model_dimension = {DIMENSION}) AS model, list(DISTINCT CASE WHEN model_id = '{MODEL}' AND model_dimension = {DIMENSION} THEN embedding_text_sha256 END) AS hs FROM skill_embeddings WHERE embedding IS NOT NULL GROUP BY 1)
+e AS (SELECT document_id, list(DISTINCT CASE WHEN model_id = '{MODEL}' AND model_revision = '{REVISION}' AND model_dimension = {DIMENSION} THEN embedding_text_sha256 END) AS hs FROM skill_embeddings WHERE embedding IS NOT NULL GROUP BY 1)
 SELECT CASE WHEN e.document_id IS NULL THEN 'missing' WHEN list_contains(hs, h) THEN 'current' ELSE 'stale' END AS state, count(*) AS n FROM c LEFT JOIN e USING (document_id) GROUP BY 1""")
 def embedding_coverage(spark, d):
     c = table(spark, d, "corpus_documents").select("document_id", F.sha2(X.embedding_text(*[F.col(f) for f in corpus.FIELDS]), 256).alias("embedding_text_sha256")).distinct()
@@ -266,7 +279,7 @@ def embedding_coverage(spark, d):
 
 @query()
 def hashing_encoder(spark, d):
-    return _tokenized(spark, d).select("document_id", dense.hashing_encoder()("tokens").alias("embedding"))
+    return corpus.tokenized(spread(_documents(spark, d))).select("document_id", dense.hashing_encoder()("tokens").alias("embedding"))
 
 
 def _dense_ranking(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -294,7 +307,7 @@ _HYBRID_OUT = "SELECT query_id, rank::INT AS rank, document_id, score, rank_1::I
 
 def _hybrid(spark: SparkSession, d: str, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     docs = _documents(spark, d)
-    lex = lexical.search(_batch(spark, d), _tokenized(spark, d), k=fusion.DEPTH)
+    lex = lexical.search(_batch(spark, d), _index(spark, d), k=fusion.DEPTH)
     return fusion.fuse(lex, _dense_ranking(spark, d, fusion.DEPTH), docs, weights=weights)
 
 
@@ -357,7 +370,7 @@ FROM per WHERE ndcg < 1 OR reciprocal_rank < 1 OR recall < 1 ORDER BY round(ndcg
 def failure_examples(spark, d):
     """The queries are the first words of the names, which say little."""
     vague = _documents(spark, d).where("skill_id % 100 = 0").select(F.col("document_id").alias("query_id"), F.split_part("name", F.lit("-"), F.lit(1)).alias("query_text"))
-    per = metrics.per_query(lexical.search(vague, _tokenized(spark, d)), _qrels(spark, d), vague).withColumn("ndcg", F.round("ndcg", 9))
+    per = metrics.per_query(lexical.search(vague, _index(spark, d)), _qrels(spark, d), vague).withColumn("ndcg", F.round("ndcg", 9))
     return metrics.failures(per).select("query_id", F.round("ndcg", 6).alias("ndcg"), "failure_type")
 
 
@@ -367,8 +380,9 @@ SELECT method, count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(recip
 def method_comparison(spark, d):
     q, j = _queries(spark, d), _qrels(spark, d)
     one = lambda name, r: metrics.per_query(r, j, q).withColumn("method", F.lit(name))
-    lex = lexical.search(_batch(spark, d), _tokenized(spark, d), k=fusion.DEPTH)
-    vec = _dense_ranking(spark, d, fusion.DEPTH)
+    stage = Stage(spark, "methods")  # both rankings are read twice, alone and fused
+    lex = stage.write(lexical.search(_batch(spark, d), _index(spark, d), k=fusion.DEPTH).drop("terms"), "lexical")
+    vec = stage.write(_dense_ranking(spark, d, fusion.DEPTH), "dense")
     every = one("bm25", lex).unionByName(one("dense", vec)).unionByName(one("hybrid", fusion.fuse(lex, vec, _documents(spark, d))))
     return _rounded(metrics.macro(every, "method"))
 
@@ -387,25 +401,45 @@ def candidate_pool(spark, d):
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
     q = _batch(spark, d)
-    return pooling.pool(lexical.search(q, _tokenized(spark, d), k=20), q.select("query_id", F.col("query_id").alias("document_id")))
+    return pooling.pool(lexical.search(q, _index(spark, d), k=20), q.select("query_id", F.col("query_id").alias("document_id")))
+
+
+def _safe(column: str, name: str) -> str:
+    return rf"CASE WHEN regexp_matches({column}, '^[ \t\r\n]*[=+@-]') OR regexp_matches({column}, '^[\t\r\n]') THEN chr(39) || {column} ELSE {column} END AS {name}"
 
 
 @query(f"""WITH {S.DOCS}, {S.TOKENS}, {S.bm25(_BATCH, 20)}, sd AS (SELECT document_id AS query_id, document_id FROM docs WHERE skill_id % 100 = 0),
 po AS (SELECT query_id, document_id FROM bm25 UNION SELECT query_id, document_id FROM sd)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sha256('{pooling.BLINDING}' || chr(0) || query_id || chr(0) || document_id))::INT AS label_order, document_id, repository_full_name AS repository FROM po JOIN docs USING (document_id)""")
+SELECT p.query_id, row_number() OVER (PARTITION BY p.query_id ORDER BY sha256('sha256-query-document-v1' || chr(0) || p.query_id || chr(0) || p.document_id))::INT AS label_order, sha256(d.text) AS content_sha256,
+ {_safe("q.query_text", "query_text")}, {_safe("p.document_id", "document_id")}, {_safe("d.name", "name")}, {_safe("d.repository_full_name", "repository")}, {_safe("d.path", "path")}, {_safe("substr(d.text, 1, 200)", "snippet")}, '' AS relevance, '' AS rationale
+FROM po p JOIN docs d USING (document_id) JOIN qs q USING (query_id)""")
 def blinded_worksheet(spark, d):
     docs = _documents(spark, d).select("document_id", F.sha2("text", 256).alias("content_sha256"), "name", F.col("repository_full_name").alias("repository"), "path", F.substring("text", 1, 200).alias("snippet"))
-    return pooling.worksheet(_pool(spark, d), _batch(spark, d), docs).select("query_id", "label_order", "document_id", "repository")
+    return pooling.worksheet(_pool(spark, d), _batch(spark, d), docs)
 
 
-@query(f"""WITH {S.DOCS}, c AS (SELECT document_id, any_value(sha256(body_text)) AS now, any_value(content_sha256) AS said FROM corpus_documents GROUP BY 1)
-SELECT document_id AS query_id, document_id, 'stale_content' AS problem FROM docs JOIN c USING (document_id) WHERE said IS DISTINCT FROM now""")
+#: Judgements with faults planted by id: grades out of range, judged twice, of an unknown query, of a missing document, queries without a relevant document.
+_JUDGED = """jb AS (SELECT d.document_id, d.skill_id, c.said FROM docs d JOIN cc c USING (document_id)),
+j AS (SELECT document_id AS query_id, document_id, CASE WHEN skill_id % 50 = 0 THEN 3 ELSE 2 END AS relevance, said FROM jb UNION ALL SELECT document_id, document_id, 2, said FROM jb WHERE skill_id % 70 = 0
+ UNION ALL SELECT 'nobody', document_id, 1, said FROM jb WHERE skill_id % 90 = 0 UNION ALL SELECT document_id, 'github:1:none', 0, said FROM jb WHERE skill_id % 110 = 0),
+aq AS (SELECT document_id AS query_id FROM jb UNION ALL SELECT document_id || '?' FROM jb WHERE skill_id % 130 = 0)"""
+
+
+@query(f"""WITH {S.DOCS}, cc AS (SELECT document_id, any_value(sha256(body_text)) AS now, any_value(content_sha256) AS said FROM corpus_documents GROUP BY 1), {_JUDGED}
+SELECT j.query_id, j.document_id, CASE WHEN q.query_id IS NULL THEN 'unknown_query' WHEN c.document_id IS NULL THEN 'missing_document' WHEN j.said IS DISTINCT FROM c.now THEN 'stale_content' ELSE 'grade' END AS problem
+FROM j LEFT JOIN cc c USING (document_id) LEFT JOIN (SELECT DISTINCT query_id FROM aq) q ON q.query_id = j.query_id WHERE q.query_id IS NULL OR c.document_id IS NULL OR j.said IS DISTINCT FROM c.now OR j.relevance NOT BETWEEN 0 AND 2
+UNION ALL SELECT query_id, document_id, 'judged_twice' FROM j GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT query_id, NULL, 'no_relevant_document' FROM aq WHERE query_id NOT IN (SELECT query_id FROM j WHERE relevance >= 1)""")
 def qrel_integrity(spark, d):
-    """Every document is judged relevant for itself, with the hash that the corpus says its body has."""
+    """Every document is judged for itself, with the hash that the corpus says its body has, and faults of every kind besides."""
     c = table(spark, d, "corpus_documents").dropDuplicates(["document_id"])
-    judged = _documents(spark, d).select(F.col("document_id").alias("query_id"), "document_id", F.lit(2).alias("relevance")).join(c.select("document_id", "content_sha256"), "document_id")
-    now = c.select("document_id", F.sha2("body_text", 256).alias("content_sha256"))
-    return metrics.problems(judged.select("query_id"), judged, now)
+    base = _documents(spark, d).select("document_id", "skill_id").join(c.select("document_id", "content_sha256"), "document_id")
+    part = lambda n, q, doc, grade: base.where(F.col("skill_id") % n == 0).select(q.alias("query_id"), doc.alias("document_id"), grade.alias("relevance"), "content_sha256")
+    own = F.col("document_id")
+    judged = part(1, own, own, F.when(F.col("skill_id") % 50 == 0, 3).otherwise(2)).unionByName(part(70, own, own, F.lit(2)))
+    judged = judged.unionByName(part(90, F.lit("nobody"), own, F.lit(1))).unionByName(part(110, own, F.lit("github:1:none"), F.lit(0)))
+    asked = base.select(own.alias("query_id")).unionByName(base.where("skill_id % 130 = 0").select(F.concat("document_id", F.lit("?")).alias("query_id")))
+    return metrics.problems(asked, judged, c.select("document_id", F.sha2("body_text", 256).alias("content_sha256")))
 
 
 # --- statistics, records and integrity ------------------------------------------------------------------------------
@@ -423,18 +457,12 @@ def license_counts(spark, d):
     return stats.zero_filled(_repositories(spark, d), "license_status", ["permissive", "restrictive", "missing", "unknown"])
 
 
-@query("""WITH c AS (SELECT source AS value, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT lang AS value, count(*) AS n FROM documents WHERE lang IN ('en', 'de', 'fr', 'es', 'xx') GROUP BY 1), v AS (SELECT unnest(['en', 'de', 'fr', 'es', 'xx']) AS value), z AS (SELECT value, coalesce(n, 0) AS n FROM v LEFT JOIN f USING (value))
-SELECT value, n, round(n / sum(n) OVER (), 6) AS share FROM z""")
-def source_stats_zero_filled(spark, d):
-    return stats.zero_filled(table(spark, d, "documents"), "lang", ["en", "de", "fr", "es", "xx"])
-
-
 LANGUAGES = ["en", "de", "fr", "es", "ru", "zh", "ja", "hi", "ar", "th"]
 
 
 @query(f"""WITH v AS (SELECT unnest({[*LANGUAGES, 'other']}) AS value), f AS (SELECT CASE WHEN lang IN ({str(LANGUAGES)[1:-1]}) THEN lang ELSE 'other' END AS value, count(*) AS n FROM documents GROUP BY 1)
 SELECT value, coalesce(n, 0) AS n, CASE WHEN (SELECT count(*) FROM documents) > 0 THEN round(coalesce(n, 0) / (SELECT count(*) FROM documents), 6) ELSE 0.0 END AS share FROM v LEFT JOIN f USING (value)""")
-def source_stats_all(spark, d):
+def source_stats_zero_filled(spark, d):
     """Every document counts: a row for each language, and `other` for other spellings and null."""
     return stats.zero_filled(table(spark, d, "documents"), "lang", LANGUAGES, "other")
 
@@ -462,7 +490,7 @@ _DIGEST = "md5(concat_ws(':', coalesce(content_sha256, ''), validation_status, h
 @query(f"""WITH c AS (SELECT DISTINCT * FROM corpus_documents), h AS (SELECT {_DIGEST} AS h FROM c)
 SELECT count(*) AS rows, concat_ws('-', {', '.join(f"coalesce(sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT), 0)::VARCHAR" for k in range(4))}) AS digest FROM h""")
 def fingerprint(spark, d):
-    return corpus.fingerprint(table(spark, d, "corpus_documents").dropDuplicates(), "content_sha256", "validation_status", "has_scripts", "license_status")
+    return corpus.corpus_fingerprint(table(spark, d, "corpus_documents"))
 
 
 @query(f"""WITH {S.SKILLS}, {S.REPOSITORIES} SELECT s.skill_id, s.name, r.full_name, r.stars_count, r.license_status, c.excerpt, coalesce(c.truncated, false) AS truncated
@@ -528,24 +556,22 @@ def license_classification(spark, d):
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH s AS (SELECT min(full_name) AS repository, lower(full_name) AS k FROM (SELECT DISTINCT full_name FROM repositories WHERE stars_count >= 100) GROUP BY 2), m AS (SELECT unnest(['name:', 'description:']) AS marker)
+@query("""WITH s AS (SELECT arg_min(trim(full_name), github_repository_id) AS repository, lower(trim(full_name)) AS k FROM repositories WHERE trim(full_name) <> '' GROUP BY 2), m AS (SELECT unnest(['name:', 'description:']) AS marker)
 SELECT marker || ' filename:SKILL.md repo:' || repository AS query FROM s CROSS JOIN m UNION ALL SELECT marker || ' filename:SKILL.md' FROM m""")
 def discovery_plan(spark, d):
-    seeds = table(spark, d, "repositories").where("stars_count >= 100").select(F.col("full_name").alias("repository")).distinct()
+    """Every repository is a seed, in the spelling of the one that has the smallest id."""
+    seeds = table(spark, d, "repositories").select(F.col("full_name").alias("repository"), F.col("github_repository_id").alias("position"))
     return ingest.discovery_plan(seeds, ["name:", "description:"]).select("query")
 
 
-@query("""WITH s AS (SELECT min(trim(full_name)) AS repository, lower(trim(full_name)) AS k FROM repositories WHERE trim(full_name) <> '' GROUP BY 2), m AS (SELECT unnest(['name:', 'description:']) AS marker)
-SELECT marker || ' filename:SKILL.md repo:' || repository AS query FROM s CROSS JOIN m UNION ALL SELECT marker || ' filename:SKILL.md' FROM m""")
-def discovery_plan_all(spark, d):
-    """Every repository is a seed, whatever its stars."""
-    seeds = table(spark, d, "repositories").select(F.col("full_name").alias("repository")).distinct()
-    return ingest.discovery_plan(seeds, ["name:", "description:"]).select("query")
+#: The order in which the queries of the tables were asked.
+PLAN = ["marker:tools scope:seed", "marker:agents scope:seed", "marker:docs scope:wide", "marker:any scope:wide"]
 
 
-@query("""SELECT repository_id, path, array_to_string(list_sort(list_distinct(flatten(list(matched_queries)))), '|') AS matched_queries, count(DISTINCT coalesce(git_blob_sha, '') || '|' || coalesce(repository_full_name, '')) AS versions FROM skill_candidates GROUP BY 1, 2""")
+@query(f"""WITH u AS (SELECT repository_id, path, list_distinct(flatten(list(matched_queries))) AS m, count(DISTINCT coalesce(git_blob_sha, '') || '|' || coalesce(repository_full_name, '')) AS versions FROM skill_candidates GROUP BY 1, 2)
+SELECT repository_id, path, array_to_string(list_concat(list_filter({PLAN}, lambda q: list_contains(m, q)), list_sort(list_filter(m, lambda q: NOT list_contains({PLAN}, q)))), '|') AS matched_queries, versions FROM u""")
 def dedupe_candidates(spark, d):
-    return ingest.merge_found(table(spark, d, "skill_candidates"), ["git_blob_sha", "repository_full_name"]).withColumn("matched_queries", F.array_join("matched_queries", "|"))
+    return ingest.merge_found(table(spark, d, "skill_candidates"), ["git_blob_sha", "repository_full_name"], PLAN).withColumn("matched_queries", F.array_join("matched_queries", "|"))
 
 
 @query("""SELECT repository_id, path, count(DISTINCT coalesce(git_blob_sha, '')) AS versions FROM skill_candidates GROUP BY 1, 2 HAVING count(DISTINCT coalesce(git_blob_sha, '')) > 1""")
@@ -553,77 +579,33 @@ def conflict_candidates(spark, d):
     return ingest.conflicts(table(spark, d, "skill_candidates"), ["git_blob_sha"])
 
 
-_INCOMING = f"{S.CANDIDATES}, inc AS (SELECT repository_id, path, arg_max(git_blob_sha, record_id) AS git_blob_sha, max(record_id) AS record_id, arg_max(arrived_at, record_id) AS seen_at FROM ca WHERE git_blob_sha IS NOT NULL GROUP BY 1, 2), old AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha, record_id, accepted_at FROM existing_skills ORDER BY repository_id, path, record_id)"
+#: Of the candidates of an identity the last with a blob decides; an identity without any is skipped.
+_INCOMING = f"{S.CANDIDATES}, inc AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha, record_id, arrived_at AS seen_at FROM ca ORDER BY repository_id, path, git_blob_sha IS NULL, record_id DESC), old AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha, record_id, accepted_at, content_sha256 FROM existing_skills ORDER BY repository_id, path, record_id)"
 
 
 def _incoming(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "skill_candidates").groupBy("record_id").agg(F.min_by(F.struct("repository_id", "path", "git_blob_sha", "arrived_at"), "arrived_at").alias("r")).select("record_id", "r.*").where("git_blob_sha IS NOT NULL")
-    return c.groupBy("repository_id", "path").agg(F.max_by(F.struct("git_blob_sha", "record_id", F.col("arrived_at").alias("seen_at")), "record_id").alias("r")).select("repository_id", "path", "r.*")
+    c = table(spark, d, "skill_candidates").groupBy("record_id").agg(F.min_by(F.struct("repository_id", "path", "git_blob_sha", "arrived_at"), "arrived_at").alias("r")).select("record_id", "r.*")
+    last = F.max_by(F.struct("git_blob_sha", "record_id", F.col("arrived_at").alias("seen_at")), F.struct(F.col("git_blob_sha").isNotNull(), "record_id"))
+    return c.groupBy("repository_id", "path").agg(last.alias("r")).select("repository_id", "path", "r.*")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "existing_skills")
-    return e.groupBy("repository_id", "path").agg(F.min_by(F.struct("git_blob_sha", "record_id", "accepted_at"), "record_id").alias("r")).select("repository_id", "path", "r.*")
+    return e.groupBy("repository_id", "path").agg(F.min_by(F.struct("git_blob_sha", "record_id", "accepted_at", "content_sha256"), "record_id").alias("r")).select("repository_id", "path", "r.*")
 
 
-@query(f"""WITH {_INCOMING} SELECT i.record_id, CASE WHEN o.repository_id IS NULL THEN 'new' WHEN i.git_blob_sha = o.git_blob_sha THEN 'unchanged' ELSE 'changed' END AS change FROM inc i LEFT JOIN old o USING (repository_id, path)""")
+@query(f"""WITH {_INCOMING} SELECT i.record_id, CASE WHEN i.git_blob_sha IS NULL THEN 'skipped' WHEN o.repository_id IS NULL THEN 'new' WHEN i.git_blob_sha = o.git_blob_sha THEN 'unchanged' ELSE 'changed' END AS change FROM inc i LEFT JOIN old o USING (repository_id, path)""")
 def classify_changes(spark, d):
     return ingest.classify(_incoming(spark, d), _stored(spark, d)).select("record_id", "change")
 
 
-@query(f"""WITH {_INCOMING} SELECT coalesce(o.repository_id, i.repository_id) AS repository_id, coalesce(o.path, i.path) AS path,
- CASE WHEN i.path IS NULL OR (o.path IS NOT NULL AND o.git_blob_sha IS NOT DISTINCT FROM i.git_blob_sha) THEN o.git_blob_sha ELSE i.git_blob_sha END AS git_blob_sha,
- CASE WHEN i.path IS NULL THEN 'kept' WHEN o.path IS NULL THEN 'inserted' WHEN o.git_blob_sha IS NOT DISTINCT FROM i.git_blob_sha THEN 'unchanged' ELSE 'updated' END AS action,
- coalesce(o.accepted_at, i.seen_at) AS first_seen_at, greatest(o.accepted_at, i.seen_at) AS last_seen_at
-FROM old o FULL OUTER JOIN inc i ON o.repository_id = i.repository_id AND o.path = i.path""")
-def merge_upsert(spark, d):
-    stored = _stored(spark, d).withColumn("first_seen_at", F.col("accepted_at")).withColumn("last_seen_at", F.col("accepted_at"))
-    return ingest.merge(stored, _incoming(spark, d), "seen_at", ["record_id"]).select("repository_id", "path", "git_blob_sha", "action", "first_seen_at", "last_seen_at")
-
-
-@query(f"""WITH {_INCOMING}, {S.SKILLS}, it AS (SELECT i.repository_id, CASE WHEN o.repository_id IS NULL THEN 'ingested' WHEN i.git_blob_sha = o.git_blob_sha THEN 'unchanged' ELSE 'ingested' END AS status, true AS stored, s.validation_status FROM inc i LEFT JOIN old o USING (repository_id, path) LEFT JOIN sk s USING (repository_id, path))
-SELECT count(*) AS item_count, count(DISTINCT CASE WHEN stored THEN repository_id END) AS repository_count, count(CASE WHEN stored THEN 1 END) AS stored_count, count(CASE WHEN status = 'ingested' THEN 1 END) AS ingested_count, count(CASE WHEN status = 'unchanged' THEN 1 END) AS unchanged_count,
- 0::BIGINT AS invalid_count, 0::BIGINT AS skipped_count, 0::BIGINT AS error_count, count(CASE WHEN validation_status = 'valid' THEN 1 END) AS valid_skill_count, count(CASE WHEN validation_status = 'warning' THEN 1 END) AS warning_skill_count, count(CASE WHEN validation_status = 'invalid' THEN 1 END) AS invalid_skill_count FROM it""")
-def snapshot_counts(spark, d):
-    changes = ingest.classify(_incoming(spark, d), _stored(spark, d))
-    known = _skills(spark, d).select("repository_id", "path", "validation_status")
-    items = changes.join(known, ["repository_id", "path"], "left").select("repository_id", F.when(F.col("change") == "unchanged", "unchanged").otherwise("ingested").alias("status"), F.lit(True).alias("stored"), "validation_status")
-    return ingest.snapshot_counts(items)
-
-
-# The three queries again over every identity: of its candidates the last with a blob decides, and one that has none at all is skipped.
-_INCOMING_ALL = f"{S.CANDIDATES}, inc AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha, record_id, arrived_at AS seen_at FROM ca ORDER BY repository_id, path, git_blob_sha IS NULL, record_id DESC), old AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha, record_id, accepted_at FROM existing_skills ORDER BY repository_id, path, record_id)"
-
-
-def _incoming_all(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "skill_candidates").groupBy("record_id").agg(F.min_by(F.struct("repository_id", "path", "git_blob_sha", "arrived_at"), "arrived_at").alias("r")).select("record_id", "r.*")
-    last = F.max_by(F.struct("git_blob_sha", "record_id", F.col("arrived_at").alias("seen_at")), F.struct(F.col("git_blob_sha").isNotNull(), "record_id"))
-    return c.groupBy("repository_id", "path").agg(last.alias("r")).select("repository_id", "path", "r.*")
-
-
-@query(f"""WITH {_INCOMING_ALL} SELECT i.record_id, CASE WHEN i.git_blob_sha IS NULL THEN 'skipped' WHEN o.repository_id IS NULL THEN 'new' WHEN i.git_blob_sha = o.git_blob_sha THEN 'unchanged' ELSE 'changed' END AS change FROM inc i LEFT JOIN old o USING (repository_id, path)""")
-def classify_changes_all(spark, d):
-    return ingest.classify(_incoming_all(spark, d), _stored(spark, d)).select("record_id", "change")
-
-
-@query(f"""WITH {_INCOMING_ALL} SELECT coalesce(o.repository_id, i.repository_id) AS repository_id, coalesce(o.path, i.path) AS path, CASE WHEN i.git_blob_sha IS NULL THEN o.git_blob_sha ELSE i.git_blob_sha END AS git_blob_sha,
+@query(f"""WITH {_INCOMING} SELECT coalesce(o.repository_id, i.repository_id) AS repository_id, coalesce(o.path, i.path) AS path, CASE WHEN i.git_blob_sha IS NULL THEN o.git_blob_sha ELSE i.git_blob_sha END AS git_blob_sha,
  CASE WHEN i.path IS NULL THEN 'kept' WHEN i.git_blob_sha IS NULL THEN 'skipped' WHEN o.path IS NULL THEN 'inserted' WHEN o.git_blob_sha = i.git_blob_sha THEN 'unchanged' ELSE 'updated' END AS action,
  coalesce(o.accepted_at, i.seen_at) AS first_seen_at, greatest(o.accepted_at, i.seen_at) AS last_seen_at
 FROM old o FULL OUTER JOIN inc i ON o.repository_id = i.repository_id AND o.path = i.path""")
-def merge_upsert_all(spark, d):
+def merge_upsert(spark, d):
     stored = _stored(spark, d).withColumn("first_seen_at", F.col("accepted_at")).withColumn("last_seen_at", F.col("accepted_at"))
-    return ingest.merge(stored, _incoming_all(spark, d), "seen_at", ["record_id"], skip=True).select("repository_id", "path", "git_blob_sha", "action", "first_seen_at", "last_seen_at")
-
-
-@query(f"""WITH {_INCOMING_ALL}, {S.SKILLS}, it AS (SELECT i.repository_id, CASE WHEN i.git_blob_sha IS NULL THEN 'skipped' WHEN i.git_blob_sha = o.git_blob_sha THEN 'unchanged' ELSE 'ingested' END AS status, i.git_blob_sha IS NOT NULL AS stored, s.validation_status FROM inc i LEFT JOIN old o USING (repository_id, path) LEFT JOIN sk s USING (repository_id, path))
-SELECT count(*) AS item_count, count(DISTINCT CASE WHEN stored THEN repository_id END) AS repository_count, count(CASE WHEN stored THEN 1 END) AS stored_count, count(CASE WHEN status = 'ingested' THEN 1 END) AS ingested_count, count(CASE WHEN status = 'unchanged' THEN 1 END) AS unchanged_count,
- 0::BIGINT AS invalid_count, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped_count, 0::BIGINT AS error_count, count(CASE WHEN stored AND validation_status = 'valid' THEN 1 END) AS valid_skill_count, count(CASE WHEN stored AND validation_status = 'warning' THEN 1 END) AS warning_skill_count, count(CASE WHEN stored AND validation_status = 'invalid' THEN 1 END) AS invalid_skill_count FROM it""")
-def snapshot_counts_all(spark, d):
-    changes = ingest.classify(_incoming_all(spark, d), _stored(spark, d))
-    known = _skills(spark, d).select("repository_id", "path", "validation_status")
-    status = F.when(F.col("change").isin("unchanged", "skipped"), F.col("change")).otherwise("ingested")
-    items = changes.join(known, ["repository_id", "path"], "left").select("repository_id", status.alias("status"), (F.col("change") != "skipped").alias("stored"), "validation_status")
-    return ingest.snapshot_counts(items)
+    return ingest.merge(stored, _incoming(spark, d), "seen_at", ["record_id"], skip=True).select("repository_id", "path", "git_blob_sha", "action", "first_seen_at", "last_seen_at")
 
 
 @query(f"""WITH {S.SKILLS}, {S.REPOSITORIES}, c AS (SELECT DISTINCT repository_id, path, lower(repository_full_name) AS n, validation_status, content_sha256, sha256(body_text) AS now FROM corpus_documents)
@@ -679,3 +661,142 @@ def orders_by_nation(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return o.join(c, "c_custkey").join(n, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("orders"), F.count_distinct("c_custkey").alias("customers"))
+
+
+@query(f"""WITH {_INCOMING} SELECT coalesce(o.repository_id, i.repository_id) AS repository_id, coalesce(o.path, i.path) AS path, CASE WHEN i.path IS NULL OR i.git_blob_sha IS NULL OR o.git_blob_sha = i.git_blob_sha THEN o.content_sha256 END AS content_sha256
+FROM old o FULL OUTER JOIN inc i ON o.repository_id = i.repository_id AND o.path = i.path""")
+def merge_clears_derived(spark, d):
+    """What was derived from a stored version goes with it."""
+    stored = _stored(spark, d).withColumn("first_seen_at", F.col("accepted_at")).withColumn("last_seen_at", F.col("accepted_at"))
+    return ingest.merge(stored, _incoming(spark, d), "seen_at", ["record_id"], skip=True, clear=("content_sha256",)).select("repository_id", "path", "content_sha256")
+
+
+#: The last candidate of an identity is what a fetch of it finds.
+_FETCHED = """fe AS (SELECT DISTINCT ON (repository_id, path) repository_id, path, git_blob_sha AS fetched_sha, content_text FROM ca ORDER BY repository_id, path, record_id DESC),
+ou AS (SELECT i.record_id, i.repository_id, i.path, i.git_blob_sha, o.content_sha256 AS old_hash, o.path IS NULL AS fresh, coalesce(o.git_blob_sha = i.git_blob_sha, false) AS same, f.content_text IS NOT NULL AS came, f.fetched_sha IS DISTINCT FROM i.git_blob_sha AS other,
+ CASE WHEN trim(f.content_text) = '' THEN 'invalid' WHEN starts_with(f.content_text, '---') THEN 'valid' ELSE 'warning' END AS vs, sha256(f.content_text) AS hash
+ FROM inc i LEFT JOIN old o USING (repository_id, path) LEFT JOIN fe f USING (repository_id, path)),
+st AS (SELECT *, CASE WHEN git_blob_sha IS NULL THEN 'skipped' WHEN same THEN 'unchanged' WHEN NOT came OR other THEN 'error' WHEN vs = 'invalid' THEN 'invalid' ELSE 'ingested' END AS status FROM ou)"""
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    fields = F.struct("repository_id", "path", "git_blob_sha", "content_text")
+    ca = table(spark, d, "skill_candidates").groupBy("record_id").agg(F.min_by(fields, "arrived_at").alias("r")).select("record_id", "r.*")
+    last = ca.groupBy("repository_id", "path").agg(F.max_by(F.struct("git_blob_sha", "content_text"), "record_id").alias("r")).select("repository_id", "path", "r.*")
+    text = F.col("content_text")
+    status = F.when(text.isNotNull(), F.when(F.trim(text) == "", "invalid").when(F.startswith(text, F.lit("---")), "valid").otherwise("warning"))
+    fetched = last.select(
+        "repository_id", "path", F.col("git_blob_sha").alias("fetched_sha"), F.sha2(text, 256).alias("content_sha256"), status.alias("validation_status"),
+        F.when(status == "invalid", F.array(F.lit("empty_body"))).alias("codes"), F.when(text.isNull(), "The file has no content.").alias("failure"),
+    )
+    return runs.outcomes(_incoming(spark, d), _stored(spark, d), fetched)
+
+
+@query(f"""WITH {_INCOMING}, {_FETCHED} SELECT record_id, CASE WHEN fresh THEN 'new' WHEN same THEN 'unchanged' ELSE 'changed' END AS change, status,
+ CASE status WHEN 'skipped' THEN '{{"category":"candidate","message":"The candidate names no version."}}' WHEN 'invalid' THEN '{{"category":"validation","codes":["empty_body"],"message":"The parser reported invalid content."}}'
+  WHEN 'error' THEN CASE WHEN came THEN '{{"category":"changed","message":"The file changed after its discovery."}}' ELSE '{{"category":"fetch","message":"The file has no content."}}' END END AS reason,
+ CASE WHEN status = 'unchanged' THEN old_hash WHEN status IN ('invalid', 'ingested') THEN hash END AS content_sha256, status IN ('invalid', 'ingested') OR status = 'error' AND came AS fetched, status IN ('invalid', 'ingested') AS parsed FROM st""")
+def ingest_outcomes(spark, d):
+    return _outcomes(spark, d).select("record_id", "change", "status", "reason", "content_sha256", "fetched", "parsed")
+
+
+@query(f"""WITH {_INCOMING}, {_FETCHED} SELECT count(*) AS discovered_count, count(CASE WHEN status IN ('invalid', 'ingested') OR status = 'error' AND came THEN 1 END) AS fetched_count, count(CASE WHEN status = 'unchanged' THEN 1 END) AS unchanged_count,
+ count(CASE WHEN status IN ('invalid', 'ingested') THEN 1 END) AS parsed_count, count(CASE WHEN status = 'invalid' THEN 1 END) AS invalid_count, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped_count, count(CASE WHEN status = 'error' THEN 1 END) AS error_count FROM st""")
+def run_summary(spark, d):
+    return runs.summary(_outcomes(spark, d))
+
+
+@query(f"""WITH {_INCOMING}, {_FETCHED} SELECT CASE status WHEN 'skipped' THEN 'candidate' WHEN 'invalid' THEN 'validation' ELSE CASE WHEN came THEN 'changed' ELSE 'fetch' END END AS category, CASE WHEN status = 'invalid' THEN 'empty_body' END AS code, count(*) AS n
+FROM st WHERE status IN ('skipped', 'invalid', 'error') GROUP BY ALL""")
+def failure_reasons(spark, d):
+    """The reasons are read back from their JSON."""
+    return runs.failures(_outcomes(spark, d))
+
+
+@query(f"""WITH {_INCOMING}, {_FETCHED}, {S.SKILLS}, it AS (SELECT x.repository_id, x.status, x.status IN ('ingested', 'unchanged') AS stored, CASE WHEN x.status IN ('invalid', 'ingested') THEN x.vs ELSE s.validation_status END AS validation_status FROM st x LEFT JOIN sk s USING (repository_id, path))
+SELECT count(*) AS item_count, count(DISTINCT CASE WHEN stored THEN repository_id END) AS repository_count, count(CASE WHEN stored THEN 1 END) AS stored_count, count(CASE WHEN status = 'ingested' THEN 1 END) AS ingested_count, count(CASE WHEN status = 'unchanged' THEN 1 END) AS unchanged_count,
+ count(CASE WHEN status = 'invalid' THEN 1 END) AS invalid_count, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped_count, count(CASE WHEN status = 'error' THEN 1 END) AS error_count, count(CASE WHEN stored AND validation_status = 'valid' THEN 1 END) AS valid_skill_count,
+ count(CASE WHEN stored AND validation_status = 'warning' THEN 1 END) AS warning_skill_count, count(CASE WHEN stored AND validation_status = 'invalid' THEN 1 END) AS invalid_skill_count FROM it""")
+def snapshot_counts(spark, d):
+    known = _skills(spark, d).select("repository_id", "path", F.col("validation_status").alias("known"))
+    done = F.col("status").isin("invalid", "ingested")
+    items = _outcomes(spark, d).join(known, ["repository_id", "path"], "left")
+    return ingest.snapshot_counts(items.select("repository_id", "status", F.col("status").isin("ingested", "unchanged").alias("stored"), F.when(done, F.col("validation_status")).otherwise(F.col("known")).alias("validation_status")))
+
+
+# --- evidence -------------------------------------------------------------------------------------------------------
+
+#: Candidates as pages of a listing: ten record ids a page, a batch being a query.
+_PAGES = """lo AS (SELECT batch_id, min(record_id) AS low, count(*) AS total FROM ca GROUP BY 1),
+pg AS (SELECT 'batch ' || batch_id AS query, ((record_id - low) // 10 + 1)::INT AS page_number, count(*)::INT AS item_count, count(CASE WHEN git_blob_sha IS NOT NULL THEN 1 END)::INT AS accepted_item_count, any_value(total)::INT AS total_count, arg_min(path, record_id) AS first_result, arg_max(path, record_id) AS last_result
+ FROM ca JOIN lo USING (batch_id) GROUP BY 1, 2)"""
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    ca = table(spark, d, "skill_candidates").groupBy("record_id").agg(F.min_by(F.struct("batch_id", "path", "git_blob_sha"), "arrived_at").alias("r")).select("record_id", "r.*")
+    low = ca.groupBy("batch_id").agg(F.min("record_id").alias("low"), F.count("*").cast("int").alias("total"))
+    page = F.floor((F.col("record_id") - F.col("low")) / 10).cast("int") + 1
+    return ca.join(low, "batch_id").groupBy(F.concat(F.lit("batch "), F.col("batch_id")).alias("query"), page.alias("page_number")).agg(
+        F.count("*").cast("int").alias("item_count"), F.count("git_blob_sha").cast("int").alias("accepted_item_count"), F.max("total").alias("total_count"),
+        F.min_by("path", "record_id").alias("first_result"), F.max_by("path", "record_id").alias("last_result"),
+    )
+
+
+@query(f"WITH {S.CANDIDATES}, {_PAGES} SELECT * FROM pg")
+def listing_pages(spark, d):
+    return _pages(spark, d)
+
+
+@query(f"""WITH {S.CANDIDATES}, {_PAGES}, b AS (SELECT query, page_number, array_to_string(list_filter([CASE WHEN page_number NOT BETWEEN 1 AND 10 THEN 'page_number' END, CASE WHEN item_count NOT BETWEEN 0 AND 100 THEN 'item_count' END, CASE WHEN accepted_item_count NOT BETWEEN 0 AND item_count THEN 'accepted_over_items' END,
+ CASE WHEN total_count < item_count THEN 'items_over_total' END, CASE WHEN (item_count > 0) <> (first_result IS NOT NULL AND last_result IS NOT NULL) THEN 'boundaries' END], lambda x: x IS NOT NULL), '+') AS problems FROM pg) SELECT * FROM b WHERE problems <> ''""")
+def listing_page_problems(spark, d):
+    return evidence.page_problems(_pages(spark, d)).select("query", "page_number", F.array_join("problems", "+").alias("problems"))
+
+
+@query(f"WITH {S.CANDIDATES}, {_PAGES} SELECT query, count(*) AS pages, max(page_number) AS last_page FROM pg GROUP BY 1 HAVING min(page_number) <> 1 OR max(page_number) <> count(*)")
+def listing_page_gaps(spark, d):
+    return evidence.page_gaps(_pages(spark, d))
+
+
+_QUERY_SET = "qset AS (SELECT document_id AS query_id, replace(name, '-', ' ') AS query_text, validation_status AS category, CASE WHEN skill_id % 300 = 0 THEN 'test' ELSE 'development' END AS split, text AS intent, document_id AS seed FROM docs WHERE skill_id % 100 = 0)"
+
+
+def _query_set(spark: SparkSession, d: str) -> DataFrame:
+    q = _documents(spark, d).where("skill_id % 100 = 0")
+    return q.select(
+        F.col("document_id").alias("query_id"), F.regexp_replace("name", "-", " ").alias("query_text"), F.col("validation_status").alias("category"),
+        F.when(F.col("skill_id") % 300 == 0, "test").otherwise("development").alias("split"), F.col("text").alias("intent"), F.array("document_id").alias("pool_seed_document_ids"),
+    )
+
+
+@query(f"WITH {S.DOCS}, {_QUERY_SET} SELECT count(*) AS query_count, count(CASE WHEN split = 'development' THEN 1 END) AS development_count, count(CASE WHEN split = 'test' THEN 1 END) AS test_count FROM qset")
+def query_split_counts(spark, d):
+    return evidence.split_counts(_query_set(spark, d))
+
+
+@query(rf"""WITH {S.DOCS}, {_QUERY_SET}, b AS (SELECT query_id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(query_id, '^q[0-9]{{3}}$') THEN 'query_id' END, CASE WHEN trim(query_text) <> query_text OR regexp_matches(query_text, '[\r\n]') OR length(query_text) NOT BETWEEN 3 AND 200 THEN 'query_text' END,
+ CASE WHEN trim(intent) <> intent OR regexp_matches(intent, '[\r\n]') OR length(intent) NOT BETWEEN 10 AND 500 THEN 'intent' END, CASE WHEN NOT regexp_matches(category, '^[a-z][a-z0-9_]{{1,49}}$') THEN 'category' END,
+ CASE WHEN NOT regexp_matches(seed, '^github:[1-9][0-9]*:[^/].*$') THEN 'seed_ids' END], lambda x: x IS NOT NULL), '+') AS problems FROM qset) SELECT * FROM b WHERE problems <> ''""")
+def query_record_problems(spark, d):
+    return evidence.query_problems(_query_set(spark, d)).select("query_id", F.array_join("problems", "+").alias("problems"))
+
+
+@query(f"WITH {S.DOCS}, {_QRELS} SELECT count(DISTINCT query_id) AS query_count, count(*) AS judgement_count, count(CASE WHEN relevance >= 1 THEN 1 END) AS relevant_judgement_count FROM qrels")
+def qrel_counts(spark, d):
+    return evidence.qrel_counts(_qrels(spark, d))
+
+
+@query("""SELECT doc_id, strlen(text) AS size, sha1('blob ' || strlen(text)::VARCHAR || chr(0) || text) AS sha, CASE WHEN strlen(text) <> n_chars THEN 'size' END AS problem FROM documents WHERE text IS NOT NULL""")
+def decoded_payloads(spark, d):
+    """Texts as payloads of a service, with the sizes that the table says; wrong where it counted characters."""
+    t = table(spark, d, "documents").where("text IS NOT NULL").withColumn("raw", F.encode("text", "UTF-8"))
+    sent = t.select("doc_id", F.base64("raw").alias("content"), F.lit("base64").alias("encoding"), F.col("n_chars").alias("size"), files.git_blob_sha(F.col("raw")).alias("sha"))
+    got = payload.files(sent)
+    return got.select("doc_id", F.octet_length("bytes").cast("bigint").alias("size"), files.git_blob_sha(F.col("bytes")).alias("sha"), "problem")
+
+
+@query("SELECT max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_completed FROM events")
+def last_completed_run(spark, d):
+    """Events as runs of which some were completed."""
+    state = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    return runs.last_completed(table(spark, d, "events").select(state.alias("status"), F.col("ts").alias("completed_at")))

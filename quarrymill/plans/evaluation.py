@@ -37,8 +37,10 @@ def nearest_rank(values: list[float], share: float) -> float:
 
 
 def timed(retriever: Retriever, queries: DataFrame) -> list[float]:
-    """Milliseconds of each query on its own, after one unmeasured run; for small query sets."""
-    rows = queries.select("query_id", "query_text").limit(MOST_QUERIES).collect()
+    """Milliseconds of each query on its own, after one unmeasured run; for query sets of at most MOST_QUERIES."""
+    rows = queries.select("query_id", "query_text").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ContractError(f"more than {MOST_QUERIES} queries to be timed")
     took = []
     for i, row in enumerate([*rows[:1], *rows]):
         one = queries.where(F.col("query_id") == row.query_id)
@@ -49,10 +51,11 @@ def timed(retriever: Retriever, queries: DataFrame) -> list[float]:
     return took
 
 
-def compare(retrievers: dict[str, Retriever], queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def compare(retrievers: dict[str, Retriever], queries: DataFrame, qrels: DataFrame, methods: tuple[str, ...] = METHODS) -> tuple[DataFrame, DataFrame]:
     """(rankings with their method, per-query metrics with their method) of all methods; no loop over queries."""
+    metrics.require_rankings(qrels, qrels, queries)
     rankings = scored = None
-    for name in METHODS:
+    for name in methods:
         if name not in retrievers:
             raise ContractError(f"no retriever for {name}")
         ranking = retrievers[name](queries).select("query_id", "document_id", "rank", "score").withColumn("method", F.lit(name))
@@ -62,14 +65,14 @@ def compare(retrievers: dict[str, Retriever], queries: DataFrame, qrels: DataFra
     return rankings, scored
 
 
-def report(rankings: DataFrame, scored: DataFrame, generated_at: datetime, evidence: dict[str, str], latencies: dict[str, list[float]] | None = None) -> dict:
+def report(rankings: DataFrame, scored: DataFrame, generated_at: datetime, evidence: dict[str, str], latencies: dict[str, list[float]] | None = None, methods: tuple[str, ...] = METHODS) -> dict:
     """A report of small size: aggregates, every query's metrics and the three worst queries of each method."""
-    rows = [r.asDict() for r in scored.limit(MOST_QUERIES * len(METHODS) + 1).collect()]
-    if len(rows) > MOST_QUERIES * len(METHODS):
+    rows = [r.asDict() for r in scored.limit(MOST_QUERIES * len(methods) + 1).collect()]
+    if len(rows) > MOST_QUERIES * len(methods):
         raise ContractError("too many queries for a report")
     found = {(r.method, r.query_id): r.ids for r in rankings.where("rank <= 10").groupBy("method", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document_id"))), lambda x: x["document_id"]).alias("ids")).collect()}
     out = []
-    for method in METHODS:
+    for method in methods:
         mine = sorted((r for r in rows if r["method"] == method), key=lambda r: r["query_id"])
         mean = lambda k, of=mine: math.fsum(r[k] for r in of) / len(of) if of else 0.0
         worst = sorted((r for r in mine if min(r["ndcg"], r["reciprocal_rank"], r["recall"]) < 1), key=lambda r: (r["ndcg"], r["reciprocal_rank"], r["recall"], r["query_id"]))[:3]

@@ -18,15 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may leave it unset; it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _UNSET_DIR:
         _UNSET_DIR.append("file://" + tempfile.mkdtemp(prefix="quarrymill-"))
+        atexit.register(_remove, spark, _UNSET_DIR[0])
     return _UNSET_DIR[0]
 
 
+def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, latest change) of a stored table, from its file listing: whether something kept from it is still current."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

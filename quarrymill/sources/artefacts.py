@@ -35,6 +35,7 @@ class Kind:
     count_field: str
 
 
+# The record types and field names of the file formats.
 MANIFEST = Kind(
     "manifest", "candidate",
     "repository_id bigint, repository_full_name string, repository_html_url string, path string, git_blob_sha string, html_url string, matched_queries array<string>",
@@ -139,3 +140,85 @@ def require_snapshot_counts(header: dict, counted: DataFrame) -> None:
     row = counted.first().asDict()
     if any(header.get(k) != v for k, v in row.items() if k in header):
         raise ContractError("the header's totals are not those of the items")
+
+
+PAGE_SCHEMA = "query string, page_number int, item_count int, accepted_item_count int, total_count int, first_result string, last_result string"
+MOST_PAGE_RECORDS = 200
+
+
+def write_manifest(path: str, header: dict, pages: DataFrame, candidates: DataFrame, refuse_overwrite: bool = False) -> str:
+    """Header, then pages in the order of the header's queries, then candidates by repository and path. Returns the hash of the bytes."""
+    rank = {q: i for i, q in enumerate(header["queries"])}
+    listed = [r.asDict() for r in pages.select(*T.StructType.fromDDL(PAGE_SCHEMA).names).limit(MOST_PAGE_RECORDS + 1).collect()]
+    rows = [r.asDict(recursive=True) for r in candidates.select(*T.StructType.fromDDL(MANIFEST.schema).names).limit(MANIFEST.most + 1).collect()]
+    if len(listed) > MOST_PAGE_RECORDS or len(rows) > MANIFEST.most:
+        raise ContractError("too many records for a manifest")
+    listed.sort(key=lambda p: (rank.get(p["query"], -1), p["page_number"]))
+    rows.sort(key=lambda c: (c["repository_full_name"], c["path"]))
+    head = {**header, "record_type": MANIFEST.header, "schema_version": 1, "candidate_count": len(rows), "page_count": len(listed)}
+    require_manifest(head, listed, rows)
+    parts = [canonical(head), *[canonical({"record_type": "page", **p}) for p in listed], *[canonical({"record_type": MANIFEST.record, **c}) for c in rows]]
+    if any(len(p) > MOST_RECORD_BYTES for p in parts) or sum(map(len, parts)) > MOST_BYTES:
+        raise ContractError("the artefact is too large")
+    return replace_atomically(path, b"".join(parts), refuse_overwrite)
+
+
+def read_manifest(spark: SparkSession, path: str, expected_sha256: str | None = None) -> tuple[dict, DataFrame, DataFrame]:
+    """(header, pages, candidates). The file's bounds, hash, order of records and agreement with its header are checked."""
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ContractError("the artefact is too large")
+    with open(path, "rb") as f:
+        data = f.read()
+    if expected_sha256 is not None and sha256(data) != expected_sha256:
+        raise ContractError("the artefact has other bytes than expected")
+    if not data.endswith(b"\n") or b"\n\n" in data:
+        raise ContractError("the artefact doesn't end with a line break, or has an empty line")
+    if any(len(line) > MOST_RECORD_BYTES for line in data.split(b"\n")):
+        raise ContractError("a record is too large")
+    records = [json.loads(line) for line in data.decode("utf-8").splitlines()]
+    kinds = [r.get("record_type") for r in records]
+    pages = kinds.count("page")
+    if kinds != [MANIFEST.header] + ["page"] * pages + [MANIFEST.record] * (len(records) - 1 - pages):
+        raise ContractError("a manifest is a header, then pages, then candidates")
+    schemas = [T.StructType.fromDDL(d) for d in (PAGE_SCHEMA, MANIFEST.schema)]
+    parts = [records[1 : 1 + pages], records[1 + pages :]]
+    for part, schema in zip(parts, schemas, strict=True):
+        if any(set(r) - {"record_type", *schema.names} for r in part):
+            raise ContractError("a record has an unknown field")
+    require_manifest(records[0], *parts)
+    out = [spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in part], schema) for part, schema in zip(parts, schemas, strict=True)]
+    return records[0], *out
+
+
+def require_manifest(header: dict, pages: list[dict], candidates: list[dict]) -> None:
+    """The records of a manifest agree with each other and with the header (small lists)."""
+    from quarrymill.operators.evidence import header_problems
+
+    wrong = header_problems(header)
+    if header.get("page_count") != len(pages) or header.get("candidate_count") != len(candidates):
+        wrong.append("counts")
+    rank = {q: i for i, q in enumerate(header["queries"])}
+    expected: dict[str, int] = {}
+    keys = []
+    for p in pages:
+        if p["query"] not in rank or p["page_number"] != expected.get(p["query"], 1):
+            wrong.append("pages_not_contiguous")
+            break
+        expected[p["query"]] = p["page_number"] + 1
+        keys.append((rank[p["query"]], p["page_number"]))
+        shown = (p["first_result"] is not None) + (p["last_result"] is not None)
+        if not 0 <= p["accepted_item_count"] <= p["item_count"] <= p["total_count"] or shown != (2 if p["item_count"] else 0):
+            wrong.append("page_contradicts_itself")
+    places = [(c["repository_full_name"], c["path"]) for c in candidates]
+    for name, listed in (("pages_out_of_order", keys), ("candidates_out_of_order", places)):
+        if any(a >= b for a, b in zip(listed, listed[1:], strict=False)):
+            wrong.append(name)
+    if len({(c["repository_id"], c["path"]) for c in candidates}) != len(candidates):
+        wrong.append("candidates_twice")
+    for c in candidates:
+        ranks = [rank.get(q, -1) for q in c["matched_queries"]]
+        if not ranks or -1 in ranks or ranks != sorted(set(ranks)):
+            wrong.append("matched_queries")
+            break
+    if wrong:
+        raise ContractError(f"the manifest is not consistent: {sorted(set(wrong))}")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
 import os
-from typing import TypeVar
+import re
+from typing import TypeVar, get_args, get_origin, get_type_hints
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,9 @@ def documents(spark: SparkSession, root: str, name: str = "SKILL.md") -> DataFra
 
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(repository) lines of a text file without what follows a #, blank lines left out."""
-    return spark.read.text(path).select(F.trim(F.substring_index("value", "#", 1)).alias("repository")).where("repository <> ''")
+    """(repository, position) lines of a text file in their order, without what follows a #, blank lines left out."""
+    read = spark.read.text(path).select(F.monotonically_increasing_id().alias("position"), F.trim(F.substring_index("value", "#", 1)).alias("repository"))
+    return read.where("repository <> ''").select("repository", "position")
 
 
 def settings(path: str, kind: type[C]) -> C:
@@ -46,7 +49,19 @@ def settings(path: str, kind: type[C]) -> C:
     needed = {n for n, f in fields.items() if f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING}
     if not isinstance(given, dict) or set(given) - set(fields) or needed - set(given):
         raise ContractError("the settings have unknown or missing fields")
-    return kind(**given)
+    hints = get_type_hints(kind)
+    for name, value in given.items():
+        if not _fits(value, hints[name]):
+            raise ContractError(f"the setting {name} has the wrong type")
+    return kind(**{n: tuple(v) if isinstance(v, list) else v for n, v in given.items()})
+
+
+def _fits(value: object, kind: type) -> bool:
+    if get_origin(kind) is tuple:
+        return isinstance(value, list) and all(_fits(v, get_args(kind)[0]) for v in value)
+    if kind is float:
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    return isinstance(value, kind) and (kind is bool or not isinstance(value, bool))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -71,8 +86,14 @@ class HybridSettings:
     bm25_weight: float = 1.0
     dense_weight: float = 1.0
     batch_size: int = 16
+    metric: str = "cosine"
+    search: str = "exact"
+    max_sequence_length: int = 256
+    normalize_embeddings: bool = True
 
     def __post_init__(self):
+        if self.metric != "cosine" or self.search != "exact" or not 1 <= self.max_sequence_length <= 8_192 or not 1 <= self.rrf_candidate_depth <= 100:
+            raise ContractError("hybrid settings name an unknown metric, search or depth")
         if not 1 <= self.rrf_k <= 10_000 or min(self.bm25_weight, self.dense_weight) <= 0 or not 1 <= self.batch_size <= 128 or self.model_dimension < 1:
             raise ContractError("hybrid settings out of range")
 
@@ -84,3 +105,38 @@ def write_worksheet(rows: DataFrame, path: str) -> None:
 def read_worksheet(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, as they stand."""
     return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).csv(path).na.fill("")
+
+
+@dataclasses.dataclass(frozen=True)
+class EvaluationSettings:
+    query_set_path: str
+    qrels_path: str
+    query_set_sha256: str
+    qrels_sha256: str
+    corpus_snapshot_sha256: str
+    cutoff: int = 10
+    relevance_threshold: int = 1
+
+    def __post_init__(self):
+        if not 1 <= self.cutoff <= 100 or not 1 <= self.relevance_threshold <= 2:
+            raise ContractError("evaluation settings out of range")
+        for path in (self.query_set_path, self.qrels_path):
+            safe_path(path, ".jsonl")
+        if not all(re.fullmatch("[0-9a-f]{64}", h) for h in (self.query_set_sha256, self.qrels_sha256, self.corpus_snapshot_sha256)):
+            raise ContractError("evaluation settings need SHA-256 hashes")
+
+
+def safe_path(path: str, suffix: str) -> str:
+    """A relative path of plain parts with a suffix, or an error."""
+    parts = path.split("/")
+    if not path or path != path.strip() or "\\" in path or "\0" in path or any(p in ("", ".", "..") for p in parts) or not path.endswith(suffix):
+        raise ContractError(f"not a safe relative {suffix} path: {path!r}")
+    return path
+
+
+def bound_settings(path: str, kind: type[C], expected_sha256: str) -> C:
+    """Settings whose bytes another artefact names by their hash."""
+    with open(path, "rb") as f:
+        if hashlib.sha256(f.read(MOST_SETTINGS_BYTES + 1)).hexdigest() != expected_sha256:
+            raise ContractError("the settings have other bytes than expected")
+    return settings(path, kind)

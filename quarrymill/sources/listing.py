@@ -1,8 +1,10 @@
 """A paged listing as a Python data source: spark.read.format("paged_listing").
 
 A page is a JSON file `<query>/<page>.json` below the option `root`, as an earlier run of a REST client left it: an object
-with total, items and, optionally, headers. One partition reads one query, page after page, within bounds; a page that can't be read is tried
-again with growing pauses. Nothing is fetched from a network.
+with total, items and, optionally, headers. One partition reads one query, page after page, as far as the Link header of a page (or
+the next file, where a page has none) leads. Beyond MOST_PAGES pages, or MOST_PAGE_BYTES in a page, it raises: nothing is
+left out silently. A page that can't be read, or whose headers say that the limit is used up, is tried again after the pause
+that the service asks for, else after growing ones. Nothing is fetched from a network.
 """
 
 from __future__ import annotations
@@ -57,32 +59,48 @@ class _Query(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]):
         self.root = options["root"]
-        self.pages = min(MOST_PAGES, int(options.get("pages", MOST_PAGES)))
+        self.pages = int(options.get("pages", MOST_PAGES))
+        self.longest_pause = float(options.get("longest_pause", 60.0))
+        if not 1 <= self.pages <= MOST_PAGES:
+            raise ValueError(f"pages must be between 1 and {MOST_PAGES}")
 
     def partitions(self) -> list[_Query]:
         return [_Query(n) for n in sorted(os.listdir(self.root)) if os.path.isdir(os.path.join(self.root, n))]
 
     def _page(self, path: str) -> dict:
         for attempt in range(TRIES):
+            headers: Mapping[str, str] = {}
             try:
                 if os.path.getsize(path) > MOST_PAGE_BYTES:
                     raise ValueError(f"page too large: {path}")
                 with open(path, encoding="utf-8") as f:
-                    return json.load(f)
+                    page = json.load(f)
+                headers = page.get("headers", {})
+                if "items" in page:
+                    return page
+                if page.get("status") not in (403, 429, 500, 502, 503, 504):
+                    raise ValueError(f"not a page: {path}")
             except OSError:
                 if attempt == TRIES - 1:
                     raise
-                time.sleep(pause(attempt, {}, time.time()) / 10)
-        raise AssertionError
+            if attempt < TRIES - 1:
+                time.sleep(pause(attempt, headers, time.time(), self.longest_pause))
+        raise OSError(f"no page after {TRIES} tries: {path}")
 
     def read(self, partition: _Query) -> Iterator[tuple]:
-        for number in range(1, self.pages + 1):
-            path = os.path.join(self.root, partition.name, f"{number}.json")
-            if not os.path.exists(path):
+        folder, number, path = os.path.join(self.root, partition.name), 1, "1.json"
+        while path is not None and os.path.exists(os.path.join(folder, path)):
+            if number > self.pages:
+                if self.pages == MOST_PAGES:
+                    raise ValueError(f"more than {MOST_PAGES} pages for {partition.name}")
                 return
-            for item in self._page(path)["items"]:
+            page = self._page(os.path.join(folder, path))
+            for item in page["items"]:
                 repository = item["repository"]
                 yield partition.name, number, repository["id"], repository["full_name"], item["path"], item["sha"], item["html_url"], bool(repository.get("private"))
+            number += 1
+            link = {k.lower(): v for k, v in page.get("headers", {}).items()}.get("link")
+            path = f"{number}.json" if link is None else None if (following := next_page(link)) is None else os.path.basename(following)
 
 
 class PagedListing(DataSource):

@@ -8,25 +8,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarrymill.functions import checks
 from quarrymill.operators import ingest
-from quarrymill.sources.tables import VersionedTable
+from quarrymill.sources.tables import VersionedTable, part_of
 
+#: Parts that a table is kept in; a micro-batch rewrites those it has rows for.
+PARTS = 64
 
-def upsert_stream(source: DataFrame, target: VersionedTable, checkpoint: str, keep: list[str], seen_at: str = "seen_at") -> StreamingQuery:
-    """Merges each micro-batch of candidates (repository_id, path, git_blob_sha, seen_at, keep...) into a table.
 
-    Within a batch the latest row of an identity counts. Running a batch again changes nothing, as equal versions only
-    move last_seen_at to what it is already.
+def upsert_stream(source: DataFrame, target: VersionedTable, checkpoint: str, keep: list[str], seen_at: str = "seen_at", parts: int = PARTS) -> StreamingQuery:
+    """Merges each micro-batch of candidates (repository_id, path, git_blob_sha, seen_at, keep...) into a table kept in parts by a hash of the identity.
+
+    Within a batch the latest row of an identity counts. Only parts that the batch has rows for are read and written.
+    Running a batch again changes nothing, as equal versions only move last_seen_at to what it is already.
     """
+    part = part_of(*ingest.IDENTITY, parts=parts)
 
     def merge(batch: DataFrame, _: int) -> None:
         rest = ["git_blob_sha", seen_at, *keep]
         one = batch.groupBy(*ingest.IDENTITY).agg(F.max_by(F.struct(*rest), F.struct(seen_at, "git_blob_sha")).alias("r")).select(*ingest.IDENTITY, "r.*")
-        stored = target.read()
-        if stored is None:
-            first = one.select(*ingest.IDENTITY, "git_blob_sha", *keep, F.col(seen_at).alias("first_seen_at"), F.col(seen_at).alias("last_seen_at"))
-            target.write(first, unique)
-        else:
-            target.write(ingest.merge(stored, one, seen_at, keep).drop("action").select(*stored.columns), unique)
+        touched = [r.p for r in one.select(part.alias("p")).distinct().collect()]  # at most `parts` rows
+        if not touched:
+            return
+        first = one.select(*ingest.IDENTITY, "git_blob_sha", *keep, F.col(seen_at).alias("first_seen_at"), F.col(seen_at).alias("last_seen_at"))
+        stored = target.read(touched)
+        merged = first if stored is None else ingest.merge(stored, one, seen_at, keep).drop("action").select(*first.columns)
+        target.write_parts(merged, part, touched, unique)
 
     def unique(written: DataFrame) -> None:
         checks.require_none(checks.duplicates(written, *ingest.IDENTITY), "identities are not unique")

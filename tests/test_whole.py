@@ -17,7 +17,7 @@ def written(spark, tmp_path, **tables):
 def test_every_skill_has_a_metadata_text(spark, tmp_path):
     rows = [(1, "MIT", "linux", ["b", None, "a"], {"k": "v"}, T1), (2, "MIT", None, None, {"k": "v"}, T1), (3, "MIT", None, ["a"], None, T1), (4, None, None, None, None, T1)]
     d = written(spark, tmp_path, skills=(rows, "skill_id long, declared_license string, compatibility string, allowed_tools array<string>, metadata map<string,string>, last_seen_at timestamp"))
-    got = {r.skill_id: r.metadata_text.split() for r in catalog.QUERIES["metadata_texts_all"](spark, d).collect()}
+    got = {r.skill_id: r.metadata_text.split() for r in catalog.QUERIES["metadata_texts"](spark, d).collect()}
     assert got == {1: ["MIT", "linux", "a", "b", "k", "v"], 2: ["MIT", "k", "v"], 3: ["MIT", "a"], 4: []}
 
 
@@ -30,24 +30,24 @@ def test_candidates_without_a_blob_have_an_outcome(spark, tmp_path):
         skill_candidates=(new, "record_id long, repository_id long, path string, git_blob_sha string, arrived_at timestamp"),
         skills=(skills, "skill_id long, repository_id long, path string, validation_status string, last_seen_at timestamp"),
     )
-    assert {r.record_id: r.change for r in catalog.QUERIES["classify_changes_all"](spark, d).collect()} == {11: "skipped", 12: "skipped", 13: "changed", 15: "new"}
-    got = {r.path: (r.action, r.git_blob_sha, r.first_seen_at, r.last_seen_at) for r in catalog.QUERIES["merge_upsert_all"](spark, d).collect()}
+    assert {r.record_id: r.change for r in catalog.QUERIES["classify_changes"](spark, d).collect()} == {11: "skipped", 12: "skipped", 13: "changed", 15: "new"}
+    got = {r.path: (r.action, r.git_blob_sha, r.first_seen_at, r.last_seen_at) for r in catalog.QUERIES["merge_upsert"](spark, d).collect()}
     assert got == {"a": ("skipped", "s1", T1, T2), "b": ("updated", "s9", T1, T2), "c": ("skipped", None, T2, T2), "d": ("inserted", "s3", T2, T2)}
-    c = catalog.QUERIES["snapshot_counts_all"](spark, d).first()
+    c = catalog.QUERIES["snapshot_counts"](spark, d).first()
     assert (c.item_count, c.skipped_count, c.ingested_count, c.stored_count, c.repository_count, c.valid_skill_count, c.warning_skill_count) == (4, 2, 2, 2, 2, 1, 1)
 
 
 def test_every_document_counts_in_the_shares(spark, tmp_path):
     rows = [(i, lang) for i, lang in enumerate(["en", "en", "de", "zh", "EN", "de-XX", None, "th"])]
     d = written(spark, tmp_path, documents=(rows, "doc_id long, lang string"))
-    got = {r.value: (r.n, r.share) for r in catalog.QUERIES["source_stats_all"](spark, d).collect()}
+    got = {r.value: (r.n, r.share) for r in catalog.QUERIES["source_stats_zero_filled"](spark, d).collect()}
     assert len(got) == 11 and sum(n for n, _ in got.values()) == 8
     assert [got[v] for v in ("en", "zh", "th", "ja", "other")] == [(2, 0.25), (1, 0.125), (1, 0.125), (0, 0.0), (3, 0.375)]
 
 
 def test_every_repository_is_a_seed(spark, tmp_path):
     d = written(spark, tmp_path, repositories=([("a/x", 500), ("b/y", 3), ("c/z", None), ("B/Y", 2), (None, 900)], "full_name string, stars_count int"))
-    got = sorted(r.query for r in catalog.QUERIES["discovery_plan_all"](spark, d).collect())
+    got = sorted(r.query for r in catalog.QUERIES["discovery_plan"](spark, d).collect())
     assert got == sorted([f"{m} filename:SKILL.md{r}" for m in ("name:", "description:") for r in ("", " repo:B/Y", " repo:a/x", " repo:c/z")])
 
 
