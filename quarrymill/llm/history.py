@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import near, pivots
-from quarrymill.llm.words import Weights
+from quarrymill.llm.words import Weights, mix
 from quarrymill.runtime import Stage
 
 
@@ -75,6 +75,10 @@ def _paths(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+#: Batches that wait are added together until they have this share of the texts held: a step has a cost of its own, and order within a step is kept.
+TOGETHER = 0.5
+#: Bits of the filter by which the stored rows of a join are sifted before they are shuffled (8 MB, whatever the data).
+SIEVE = 1 << 26
 _ONE_FILE = ["repository_id", "path", "git_blob_sha", "content_text"]
 
 
@@ -151,20 +155,25 @@ def decide(holds: DataFrame, seeks: DataFrame, undecided: DataFrame, stage: Stag
 
 
 def repeated(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(accepted_id, record_id): the records that every candidate repeats, batch after batch against the stored history."""
+    """(accepted_id, record_id): the records that every candidate repeats; arrivals of one batch or several, one after the other, against the stored history."""
     spark = existing.sparkSession
     stage = Stage(spark, "history")
     held = History(spark, f"{stage.root}/held")
-    held.start(existing)
+    texts = held.start(existing)
     # a record belongs to the batch of its first arrival
     first = stage.write(_new(candidates), "candidates")
+    waiting = [(r.batch, r["count"]) for r in first.groupBy("batch").count().orderBy("batch").collect()]  # one row for each batch that arrived
     found = None
-    for row in first.select("batch").distinct().orderBy("batch").collect():  # one row for each batch that arrived
-        one = held.add_records(first.where(F.col("batch") == row.batch))
+    while waiting:
+        arrival, size = [], 0
+        while waiting and (not arrival or size < TOGETHER * texts):
+            arrival.append(waiting[0][0])
+            size += waiting.pop(0)[1]
+        one = held.add_records(first.where(F.col("batch").isin(arrival)))
+        texts += size
         found = one if found is None else found.unionByName(one)
     if found is None:
-        kind = existing.schema["record_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"accepted_id {kind}, record_id {candidates.schema['record_id'].dataType.simpleString()}")
+        return spark.createDataFrame([], f"accepted_id {existing.schema['record_id'].dataType.simpleString()}, record_id {candidates.schema['record_id'].dataType.simpleString()}")
     return found
 
 
@@ -223,8 +232,8 @@ class History:
         self._write(self.spark.createDataFrame(rows), step, "weights")
         return weights
 
-    def start(self, existing: DataFrame) -> None:
-        """The first step: the history there is. It may be empty."""
+    def start(self, existing: DataFrame) -> int:
+        """The first step: the history there is. It may be empty. Returns the number of its texts."""
         stage = Stage(self.spark, "history")
         records = stage.write(_old(existing), "records")
         members, nodes = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
@@ -234,6 +243,7 @@ class History:
         texts = written["nodes"].count()
         ddl = {name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for name, df in made.items()}
         self._commit(0, {"texts": texts, "weighed": texts, "weights": 0, "schemas": ddl})
+        return texts
 
     def add(self, batch: DataFrame) -> DataFrame:
         """(accepted_id, record_id) for the candidates of a batch that are held already; the others are accepted."""
@@ -285,14 +295,54 @@ class History:
 
         asked: marks of the batch's texts, `fresh` or stored already; old: the stored marks.
         """
-        cell = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(float(np.log(pivots.LONGEST))) + 1e-9).cast("int")  # as pivots.cell
-        own = asked.select("node", "keys", F.explode(F.sequence(F.greatest(cell - 1, F.lit(0)), cell + 1)).alias("cell"))
-        own = own.select(F.explode("keys").alias("band"), "cell", "node", F.lit(True).alias("new"))
+        kind = asked.schema["node"].dataType.simpleString()
+
+        def places(batch: pa.RecordBatch, of_asked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(row, band, range, hash of both) of a batch of marks."""
+            n = batch.column("n").to_numpy().astype(np.float64)
+            keys = batch.column("keys").flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), len(keys) // max(1, len(n)))
+            at = pivots.reach(n) if of_asked else (pivots.cell(n),)
+            rows, bands, cells = row, keys, at[0][row]
+            if of_asked:
+                two = (at[0] != at[1])[row]
+                rows, bands, cells = np.concatenate([row, row[two]]), np.concatenate([keys, keys[two]]), np.concatenate([cells, at[1][row[two]]])
+            return rows, bands, cells, (mix(bands.view(np.uint64) ^ mix(cells.view(np.uint64), 3), 5) & np.uint64(SIEVE - 1)).astype(np.int64)
+
+        def spread(of_asked: bool, sieve: np.ndarray | None):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    row, band, cell, h = places(batch, of_asked)
+                    if sieve is not None:
+                        ok = (sieve[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) > 0
+                        row, band, cell = row[ok], band[ok], cell[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(cell.astype(np.int32)), batch.column("node").take(pa.array(row)), pa.array(np.full(len(row), of_asked))], names=["band", "cell", "node", "new"])
+
+            return run
+
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = places(batch, True)[3] if batch.num_rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h >> 6), pa.array((np.uint64(1) << (h & 63).astype(np.uint64)).view(np.int64))], names=["word", "mask"])
+
+        shape = f"band bigint, cell int, node {kind}, new boolean"
+        own = asked.select("node", "n", "keys").mapInArrow(spread(True, None), shape)
+        # what the batch asks for, as a filter of fixed size: stored rows that it does not want are never shuffled
+        words = asked.select("node", "n", "keys").mapInArrow(bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most SIEVE / 64 rows
+        sieve = np.zeros(SIEVE // 64, dtype=np.uint64)
+        sieve[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+        kept = self.spark.sparkContext.broadcast(sieve)  # SIEVE bits
+
+        def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from spread(False, kept.value)(batches)
+
         # the range join: stored rows whose band and range the batch asks for
-        wanted = own.select("band", "cell").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(near.SALTS - 1))))
-        theirs = old.select(F.explode("keys").alias("band"), cell.alias("cell"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(near.SALTS)).cast("int"))
-        met = theirs.join(wanted, ["band", "cell", "salt"], "left_semi").join(asked.where("NOT fresh").select("node"), "node", "left_anti")
-        rows = near.shared(stage.write(own.unionByName(met.select("band", "cell", "node", F.lit(False).alias("new"))), "met"), ["band", "cell"])
+        theirs = old.select("node", "n", "keys").mapInArrow(sifted, shape).join(own.select("band", "cell").distinct(), ["band", "cell"], "left_semi")
+        met = theirs.join(asked.where("NOT fresh").select("node"), "node", "left_anti").select("band", "cell", "node", "new")
+        met = stage.write(own.unionByName(met), "met")
+        rows = near.shared(met, ["band", "cell"])
         mine, theirs = asked.select("node", "n", "sketch"), old.select("node", "n", "sketch")
         full = rows.where("new").join(mine, "node").unionByName(rows.where("NOT new").join(theirs, "node"))
         usual = full.where(F.col("c") <= near.TILE).withColumn("tile", F.lit(0).cast("long")).withColumn("block", F.lit(0))

@@ -7,8 +7,7 @@ number of words entries whatever the number of texts, and all others weigh alike
 
 Of a text two things are kept: its band keys, and a sketch as wide as the text is long (see planes.py, pivots.py). Keys
 are counted with partial aggregation, and only rows of buckets with two rows or more go on and get their sketches, so
-neither a window nor a sketch is spent on the others. Rows meet their counts by key and salt, so a bucket of any size is
-spread over tasks. A bucket of more than `TILE` rows is compared in tiles, block by block, in different tasks. Where only
+neither a window nor a sketch is spent on the others. A bucket of more than `TILE` rows is compared in tiles, block by block, in different tasks. Where only
 groups are asked for, the rows of such a bucket are first held against a few leaders: rows alike to the same leader are
 connected by that and are not compared with each other, so a huge group of texts alike costs no more than its rows.
 
@@ -123,9 +122,12 @@ def slim(marked: DataFrame) -> DataFrame:
 
 
 def shared(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with `c`, how many rows have their bucket, of the buckets with two rows or more."""
-    counts = rows.groupBy(*by).agg(F.count("*").alias("c")).where("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(counts, [*by, "salt"]).drop("salt")
+    """rows with `c`, how many rows have their bucket, of the buckets with two rows or more.
+
+    Rows are a few bytes each. The counts are made with partial aggregation; a bucket that holds much of all rows is a
+    skewed side of an inner join, whose partitions adaptive execution splits.
+    """
+    return rows.join(rows.groupBy(*by).agg(F.count("*").alias("c")).where("c > 1"), by)
 
 
 def tiled(rows: DataFrame, tile: int) -> DataFrame:

@@ -11,8 +11,7 @@ A set of n elements has distances to at least n / 2 pivots (a power of two), so
 ones: sums of random differences grow with the square root of n times the number of pivots, the radius grows with n. The
 classes of a smaller number of pivots are unions of those of a larger one, so two sets are compared at the smaller.
 
-The distance to the empty set also parts the table into ranges (`cell`): sets within reach of each other are in the same
-range or in neighbouring ones.
+The distance to the empty set also parts the table into ranges (`cell`): all sets within reach of a set are in two of them.
 """
 
 from __future__ import annotations
@@ -33,8 +32,13 @@ def classes_for(n: int) -> int:
 
 
 def cell(n: np.ndarray) -> np.ndarray:
-    """The range of sizes: a partner's is at most one off."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(LONGEST) + 1e-9).astype(np.int64)
+    """The range of sizes that a set is stored in; ranges are as wide as the reach of a set in both directions."""
+    return np.floor(np.log(np.maximum(n, 1e-9)) / (2 * np.log(LONGEST)) + 1e-9).astype(np.int64)
+
+
+def reach(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two ranges (which may be the same) that hold every partner of a set."""
+    return cell(n / LONGEST * (1 - 1e-9)), cell(n * LONGEST * (1 + 1e-9))
 
 
 def distances(sets: Sets) -> list[bytes]:
