@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions import checks
 from quarrymill.functions import text as X
 
 ELIGIBLE = ("valid", "warning")
@@ -76,6 +77,15 @@ def drift(snapshot: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def frozen(snapshot: DataFrame, header: dict, stored: DataFrame, manifest_sha256: str) -> DataFrame:
+    """The stored rows of a snapshot, or an error: the snapshot must be of this manifest, and nothing stored may differ from it."""
+    if header.get("manifest_sha256") != manifest_sha256:
+        raise checks.ContractError("the snapshot is of another manifest")
+    taken = snapshot.where("stored")
+    checks.require_none(drift(taken, stored), "what is stored differs from the snapshot")
+    return stored.join(taken.where(F.col("validation_status").isin(*ELIGIBLE)).select("repository_id", "path"), ["repository_id", "path"], "left_semi")
+
+
 def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     """(rows, digest): changes with any row, does not depend on their order, and is summed in parts, so no task sees all rows."""
     one = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))

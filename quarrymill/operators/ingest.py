@@ -53,6 +53,14 @@ def conflicts(found: DataFrame, evidence: list[str]) -> DataFrame:
     return merge_found(found, evidence).where("versions > 1").drop("matched_queries")
 
 
+def repository_conflicts(repositories: DataFrame) -> DataFrame:
+    """(problem, repository): ids that come with several names, and names (without regard to case) that come with several ids."""
+    name = F.lower("full_name")
+    renamed = repositories.where("full_name IS NOT NULL").groupBy("github_repository_id").agg(F.count_distinct(name).alias("n")).where("n > 1").select(F.lit("id_with_names").alias("problem"), F.col("github_repository_id").cast("string").alias("repository"))
+    shared = repositories.where("full_name IS NOT NULL").groupBy(name.alias("repository")).agg(F.count_distinct("github_repository_id").alias("n")).where("n > 1").select(F.lit("name_with_ids").alias("problem"), "repository")
+    return renamed.unionByName(shared)
+
+
 def classify(candidates: DataFrame, stored: DataFrame, version: str = "git_blob_sha") -> DataFrame:
     """candidates with `change`: unchanged (same version is stored), changed, new, or skipped (without a version). Identities are unique on both sides."""
     known = stored.select(*IDENTITY, F.col(version).alias("_v"), F.lit(True).alias("_there"))

@@ -18,15 +18,6 @@ K1, B = 1.5, 0.75
 BUCKETS, BUCKET_ROWS = 16, 5_000_000
 
 
-def term_counts(tokenized: DataFrame) -> DataFrame:
-    """(document_id, term, tf) by exploding and counting: for documents with many different terms."""
-    return tokenized.select("document_id", F.explode("tokens").alias("term")).groupBy("document_id", "term").agg(F.count("*").cast("int").alias("tf"))
-
-
-def document_frequency(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
-
-
 def statistics(tokenized: DataFrame) -> DataFrame:
     """One row: n_docs, total_len, avg_len (0 without documents)."""
     return tokenized.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"))

@@ -800,3 +800,20 @@ def last_completed_run(spark, d):
     """Events as runs of which some were completed."""
     state = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
     return runs.last_completed(table(spark, d, "events").select(state.alias("status"), F.col("ts").alias("completed_at")))
+
+
+@query("""SELECT 'id_with_names' AS problem, github_repository_id::VARCHAR AS repository FROM repositories WHERE full_name IS NOT NULL GROUP BY github_repository_id HAVING count(DISTINCT lower(full_name)) > 1
+UNION ALL SELECT 'name_with_ids', lower(full_name) FROM (SELECT github_repository_id, full_name FROM repositories UNION ALL SELECT repository_id, repository_full_name FROM skill_candidates) r WHERE full_name IS NOT NULL AND github_repository_id IS NOT NULL GROUP BY 2 HAVING count(DISTINCT github_repository_id) > 1""")
+def repository_conflicts(spark, d):
+    """Names are looked for among the candidates as well."""
+    r = table(spark, d, "repositories").select("github_repository_id", "full_name")
+    c = table(spark, d, "skill_candidates").select(F.col("repository_id").alias("github_repository_id"), F.col("repository_full_name").alias("full_name"))
+    found = ingest.repository_conflicts(r).where("problem = 'id_with_names'")
+    return found.unionByName(ingest.repository_conflicts(r.unionByName(c)).where("problem = 'name_with_ids'"))
+
+
+@query(r"""SELECT DISTINCT document_id, coalesce(regexp_matches(document_id, '^github:[1-9][0-9]*:[^/].*$'), false) AS good_id,
+ (path <> '' AND NOT regexp_matches(path, '^\s|\s$') AND strlen(path) <= 4096 AND NOT regexp_matches(path, '[\\%]') AND NOT regexp_matches(path, '(^|/)\.{0,2}(/|$)')) AS good_path FROM corpus_documents""")
+def validate_document_ids(spark, d):
+    c = table(spark, d, "corpus_documents")
+    return c.select("document_id", checks.document_id(F.col("document_id")).alias("good_id"), checks.relative_path(F.col("path")).alias("good_path")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.checks import ContractError
-from quarrymill.operators import evidence, ingest, metrics, parse, pooling, runs
+from quarrymill.operators import corpus, evidence, ingest, metrics, parse, pooling, runs
 from quarrymill.plans import evaluation
 from quarrymill.plans.engine import Engine
 from quarrymill.sources import artefacts, files, listing
@@ -133,3 +133,19 @@ def ingest_run(spark: SparkSession, manifest: str, root: str, store: str, git_co
     except Exception:
         audit.fail(run_id, now)
         raise
+
+
+def snapshot(items: DataFrame, out: str, manifest_sha256: str, now: datetime) -> str:
+    """Writes the items of a run (repository_full_name, path, status, stored, ...) as a snapshot whose header holds their totals; raises if an item contradicts itself."""
+    wrong = ingest.snapshot_problems(items)
+    if not wrong.isEmpty():
+        raise ContractError(f"items contradict their evidence: {[r.problems for r in wrong.select('problems').limit(3).collect()]}")
+    totals = ingest.snapshot_counts(items).first().asDict()
+    return artefacts.write(artefacts.SNAPSHOT, out, {**totals, "manifest_sha256": manifest_sha256, "generated_at": artefacts.utc(now)}, items)
+
+
+def read_snapshot(spark: SparkSession, path: str, expected_sha256: str, manifest_sha256: str, stored: DataFrame) -> DataFrame:
+    """The stored corpus that a snapshot froze; its bytes, its manifest, its totals and every stored row must agree with it."""
+    header, items = artefacts.read(spark, artefacts.SNAPSHOT, path, expected_sha256)
+    artefacts.require_snapshot_counts(header, ingest.snapshot_counts(items))
+    return corpus.frozen(items, header, stored, manifest_sha256)

@@ -155,7 +155,7 @@ def test_files_settings_and_worksheet(spark, tmp_path):
     assert [x.repository for x in files.seeds(spark, str(tmp_path / "seeds.txt")).collect()] == ["o/r"]
     (tmp_path / "c.json").write_text('{"k1": 1.2}')
     assert files.settings(str(tmp_path / "c.json"), files.Bm25Settings).k1 == 1.2
-    for bad in ('{"k9": 1}', '{"k1": -1}', "[]"):
+    for bad in ('{"k9": 1}', '{"k1": -1}', "[]", '{"k1": "1.2"}', '{"default_top_k": 1.5}', '{"default_top_k": true}', '{"eligible_validation_statuses": "valid"}'):
         (tmp_path / "c.json").write_text(bad)
         with pytest.raises(ContractError):
             files.settings(str(tmp_path / "c.json"), files.Bm25Settings)
@@ -173,6 +173,21 @@ def test_paged_listing(spark, tmp_path):
     got = spark.read.format("paged_listing").option("root", str(tmp_path)).load()
     assert sorted((r.query, r.page, r.repository_id) for r in got.collect()) == [("q1", 1, 1), ("q1", 2, 2)]
     assert spark.read.format("paged_listing").option("root", str(tmp_path)).option("pages", 1).load().count() == 1
+    item = json.loads((tmp_path / "q1" / "2.json").read_text())
+    for page in range(3, 12):
+        (tmp_path / "q1" / f"{page}.json").write_text(json.dumps(item))
+    with pytest.raises(Exception, match="more than 10 pages"):  # nothing is left out silently
+        spark.read.format("paged_listing").option("root", str(tmp_path)).load().count()
+    with pytest.raises(Exception, match="pages must be"):
+        spark.read.format("paged_listing").option("root", str(tmp_path)).option("pages", 11).load().count()
+    # a Link header says where the next page is, or that there is none
+    (tmp_path / "q1" / "1.json").write_text(json.dumps({**item, "headers": {"Link": '<https://x/q1/7.json>; rel="next"'}}))
+    (tmp_path / "q1" / "7.json").write_text(json.dumps({**item, "headers": {"Link": '<https://x/q1/1.json>; rel="prev"'}}))
+    assert spark.read.format("paged_listing").option("root", str(tmp_path)).load().count() == 2
+    # a page that says that the limit is used up never becomes one
+    (tmp_path / "q1" / "7.json").write_text(json.dumps({"status": 403, "headers": {"Retry-After": "0"}}))
+    with pytest.raises(Exception, match="no page after"):
+        spark.read.format("paged_listing").option("root", str(tmp_path)).load().count()
     assert listing.rate_limit({"X-RateLimit-Remaining": "0", "x-ratelimit-reset": "oops"}) == {"limit": None, "remaining": 0, "reset": None, "retry_after": None}
     assert listing.pause(3, {}, 0) == 4.0 and listing.pause(0, {"Retry-After": "7"}, 0) == 7
     assert listing.next_page('<https://x/2>; rel="next", <https://x/9>; rel="last"') == "https://x/2"
@@ -196,6 +211,14 @@ def test_versioned_table_and_streams(spark, tmp_path):
     assert {p: (r.git_blob_sha, r.name, r.last_seen_at) for p, r in got.items()} == {"a": ("s2", "n2", day(3)), "b": ("s3", "n3", day(3))}
     with pytest.raises(ContractError):
         t.write(t.read(), lambda df: (_ for _ in ()).throw(ContractError("no")))
-    assert t.version() == 2
+    assert t.version() == 2 and t.read().count() == 2
+    # a version without its commit file does not count, whatever it holds
+    os.makedirs(tmp_path / "t" / "v00000009" / "data")
+    assert t.version() == 2 and t.read().count() == 2
+    before = t.parts()
+    candidates(spark, [(1, "a", "s4", day(4), "n4")]).write.mode("append").parquet(src)
+    incremental.upsert_stream(stream(), t, str(tmp_path / "ck"), ["name"]).awaitTermination()
+    assert {r.path: r.git_blob_sha for r in t.read().collect()} == {"a": "s4", "b": "s3"}
+    assert len({p for p, f in t.parts().items() if before.get(p) != f}) == 1  # only the part of the changed row was written
     events = spark.createDataFrame([(datetime(2025, 1, 1, 0, m), "x") for m in (1, 2, 11)], "ts timestamp, kind string")
     assert sorted(r.n for r in incremental.counts_by_window(events, "ts", "kind").collect()) == [1, 2]

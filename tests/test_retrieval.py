@@ -102,11 +102,11 @@ def test_embedding_problems_and_encoder(spark):
 def test_incremental_index_does_nothing_twice(spark):
     c = spark.createDataFrame([("d1", ["a"], "t1", "h1"), ("d2", ["b"], "t2", "h2")], "document_id string, tokens array<string>, embedding_text string, embedding_text_sha256 string")
     none = spark.createDataFrame([], "document_id string, model_id string, model_revision string, model_dimension int, embedding array<float>, embedding_text string, embedding_text_sha256 string, indexed_at timestamp")
-    made, kept = dense.index_incrementally(c, none, "m", "r", 8, F.lit("2025-01-01").cast("timestamp"))
+    made, kept = dense.index_incrementally(c, none, dense.encoder_for(dense.HASHING, "r", 8), F.lit("2025-01-01").cast("timestamp"))
     assert (made.count(), kept.count()) == (2, 0)
-    again, kept = dense.index_incrementally(c, made, "m", "r", 8, F.current_timestamp())
+    again, kept = dense.index_incrementally(c, made, dense.encoder_for(dense.HASHING, "r", 8), F.current_timestamp())
     assert (again.count(), kept.count()) == (0, 2)
-    stale, kept = dense.index_incrementally(c.withColumn("embedding_text_sha256", F.concat("embedding_text_sha256", F.when(F.col("document_id") == "d1", "x").otherwise(""))), made, "m", "r", 8, F.current_timestamp())
+    stale, kept = dense.index_incrementally(c.withColumn("embedding_text_sha256", F.concat("embedding_text_sha256", F.when(F.col("document_id") == "d1", "x").otherwise(""))), made, dense.encoder_for(dense.HASHING, "r", 8), F.current_timestamp())
     assert [r.document_id for r in stale.collect()] == ["d1"] and kept.count() == 1
 
 
