@@ -76,9 +76,9 @@ def _paths(df: DataFrame) -> DataFrame:
 
 
 #: Batches that wait are added together until they have this share of the texts held: a step has a cost of its own, and order within a step is kept.
-TOGETHER = 0.5
-#: Bits of the filter by which the stored rows of a join are sifted before they are shuffled (8 MB, whatever the data).
-SIEVE = 1 << 26
+TOGETHER = 1.0
+#: The filter by which the stored rows of a join are sifted before they are shuffled has 8 to 16 bits for each key of the batch, within these bounds (32 MB at most). A full filter lets rows pass, it loses none.
+SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 8, 1 << 20, 1 << 28
 _ONE_FILE = ["repository_id", "path", "git_blob_sha", "content_text"]
 
 
@@ -236,11 +236,12 @@ class History:
         """The first step: the history there is. It may be empty. Returns the number of its texts."""
         stage = Stage(self.spark, "history")
         records = stage.write(_old(existing), "records")
-        members, nodes = near.classes(records.where("text IS NOT NULL"), "id", "text", 1, stage)
+        bags = stage.write(near.bags(records.where("text IS NOT NULL"), "id", "text", 1), "bags")
+        nodes = self._write(bags.groupBy("bag").agg(F.min("id").alias("node"), F.min_by("text", "id").alias("text")).select("node", "text", "bag"), 0, "nodes")
+        members = bags.select("id", "bag").distinct().join(nodes.select("bag", "node"), "bag").select("id", "node")
         weights = self._store_weights(nodes, 0)
-        made = {"nodes": nodes, "marks": near.marks(nodes, weights, pivots.Pivots), "holds": holds_of(records, members)}
-        written = {name: self._write(df, 0, name) for name, df in made.items()}
-        texts = written["nodes"].count()
+        made = {"nodes": nodes, "marks": self._write(near.marks(nodes, weights, pivots.Pivots), 0, "marks"), "holds": self._write(holds_of(records, members), 0, "holds")}
+        texts = nodes.count()
         ddl = {name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for name, df in made.items()}
         self._commit(0, {"texts": texts, "weighed": texts, "weights": 0, "schemas": ddl})
         return texts
@@ -296,6 +297,10 @@ class History:
         asked: marks of the batch's texts, `fresh` or stored already; old: the stored marks.
         """
         kind = asked.schema["node"].dataType.simpleString()
+        size = SIEVE_LEAST
+        keys = asked.count() * near.BANDS * 2
+        while size < SIEVE_MOST and size < SIEVE_BITS * keys:
+            size *= 2
 
         def places(batch: pa.RecordBatch, of_asked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             """(row, band, range, hash of both) of a batch of marks."""
@@ -307,7 +312,7 @@ class History:
             if of_asked:
                 two = (at[0] != at[1])[row]
                 rows, bands, cells = np.concatenate([row, row[two]]), np.concatenate([keys, keys[two]]), np.concatenate([cells, at[1][row[two]]])
-            return rows, bands, cells, (mix(bands.view(np.uint64) ^ mix(cells.view(np.uint64), 3), 5) & np.uint64(SIEVE - 1)).astype(np.int64)
+            return rows, bands, cells, (mix(bands.view(np.uint64) ^ mix(cells.view(np.uint64), 3), 5) & np.uint64(size - 1)).astype(np.int64)
 
         def spread(of_asked: bool, sieve: np.ndarray | None):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +335,11 @@ class History:
         shape = f"band bigint, cell int, node {kind}, new boolean"
         own = asked.select("node", "n", "keys").mapInArrow(spread(True, None), shape)
         # what the batch asks for, as a filter of fixed size: stored rows that it does not want are never shuffled
-        words = asked.select("node", "n", "keys").mapInArrow(bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most SIEVE / 64 rows
-        sieve = np.zeros(SIEVE // 64, dtype=np.uint64)
+        words = asked.select("node", "n", "keys").mapInArrow(bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most SIEVE_MOST / 64 rows
+        sieve = np.zeros(size // 64, dtype=np.uint64)
         sieve[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-        kept = self.spark.sparkContext.broadcast(sieve)  # SIEVE bits
+        kept = self.spark.sparkContext.broadcast(sieve)  # `size` bits
+        del words, sieve
 
         def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from spread(False, kept.value)(batches)
@@ -342,6 +348,7 @@ class History:
         theirs = old.select("node", "n", "keys").mapInArrow(sifted, shape).join(own.select("band", "cell").distinct(), ["band", "cell"], "left_semi")
         met = theirs.join(asked.where("NOT fresh").select("node"), "node", "left_anti").select("band", "cell", "node", "new")
         met = stage.write(own.unionByName(met), "met")
+        kept.destroy()
         rows = near.shared(met, ["band", "cell"])
         mine, theirs = asked.select("node", "n", "sketch"), old.select("node", "n", "sketch")
         full = rows.where("new").join(mine, "node").unionByName(rows.where("NOT new").join(theirs, "node"))
