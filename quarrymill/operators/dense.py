@@ -55,10 +55,9 @@ def search(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding
     Both sides are cut into blocks of fixed size; a task multiplies one block of queries with one of documents and keeps
     the best k of each query, ties by key. Unusable vectors take no part.
     """
-    usable = lambda df: df.where(problem(F.col(vector), dimension, unit=False).isNull())
-    q, d = usable(queries).select("query_id", vector), usable(docs).select(key, vector)
-    many_q = max(1, -(-q.count() // QUERY_BLOCK))
-    many_d = max(1, -(-d.count() // DOC_BLOCK))
+    q, d = (df.where(F.size(F.col(vector)) == dimension) for df in (queries.select("query_id", vector), docs.select(key, vector)))
+    many_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    many_d = max(1, -(-docs.count() // DOC_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     kind_q, kind_d = queries.schema["query_id"].dataType, docs.schema[key].dataType
     none_q, none_d = F.lit(None).cast(kind_q).alias("query_id"), F.lit(None).cast(kind_d).alias("id")
@@ -67,8 +66,11 @@ def search(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding
 
     def multiply(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
+        flat = t.column("v").chunk(0).flatten()
+        x = np.asarray(flat.fill_null(float("nan")) if flat.null_count else flat, dtype=np.float64).reshape(t.num_rows, -1)
+        good = np.isfinite(x).all(1) & (x != 0).any(1)
+        t, x = t.filter(pa.array(good)).combine_chunks(), x[good]
         is_query = t.column("is_query").to_numpy()
-        x = np.asarray(t.column("v").chunk(0).flatten(), dtype=np.float64).reshape(t.num_rows, -1)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1)[:, None]
         qs, ds = np.nonzero(is_query)[0], np.nonzero(~is_query)[0]

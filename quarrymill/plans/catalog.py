@@ -286,6 +286,7 @@ def _dense_ranking(spark: SparkSession, d: str, k: int) -> DataFrame:
     """For the batch queries, the documents nearest to the query document's own vector."""
     docs = _documents(spark, d).select("document_id", "skill_id")
     e = table(spark, d, "skill_embeddings").select("document_id", "embedding").dropDuplicates(["document_id"]).join(docs, "document_id")
+    e = Stage(spark, "vectors").write(e, "vectors")  # read for both sides and their counts
     q = e.where("skill_id % 100 = 0").select(F.col("document_id").alias("query_id"), "embedding")
     return dense.search(q, e, k, key="document_id")
 
