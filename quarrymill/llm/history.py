@@ -242,6 +242,8 @@ class History:
         weights = self._store_weights(nodes, 0)
         made = {"nodes": nodes, "marks": self._write(near.marks(nodes, weights, pivots.Pivots), 0, "marks"), "holds": self._write(holds_of(records, members), 0, "holds")}
         texts = nodes.count()
+        stage.drop(records)
+        stage.drop(bags)
         ddl = {name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for name, df in made.items()}
         self._commit(0, {"texts": texts, "weighed": texts, "weights": 0, "schemas": ddl})
         return texts
@@ -271,8 +273,9 @@ class History:
         marked = near.marks(fresh, weights, pivots.Pivots).withColumn("fresh", F.lit(True))
         asked = stage.write(marked.unionByName(old.join(known, "node", "left_semi").withColumn("fresh", F.lit(False))), "asked")
         texts = stored.select("node", "text").unionByName(fresh.select("node", "text"))
-        links = near.verified(self._near(asked, old, stage), texts)
-        seeks = stage.write(seeks_of(records, members, links), "seeks")
+        pairs, met = self._near(asked, old, stage)
+        seeks = stage.write(seeks_of(records, members, near.verified(pairs, texts)), "seeks")
+        stage.drop(met)
         before = self._read("holds", log).join(seeks.select("key").distinct(), "key", "left_semi").withColumn("new", F.lit(False))
         holds = stage.write(before.unionByName(holds_of(records, members)), "holds")
         found, accepted = decide(holds, seeks, records.select("id", "batch"), stage)
@@ -289,10 +292,12 @@ class History:
         else:
             self._write(asked.where("fresh").drop("fresh").join(added.select("node"), "node", "left_semi"), step, "marks")
         self._commit(step, {"texts": count, "weighed": weighed, "weights": at})
+        for used in (bags, placed, asked, seeks, holds):
+            stage.drop(used)
         return found
 
-    def _near(self, asked: DataFrame, old: DataFrame, stage: Stage) -> DataFrame:
-        """(a, b): pairs of a text of the batch and another, stored or of the batch, that bands and pivots do not keep apart.
+    def _near(self, asked: DataFrame, old: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+        """((a, b), the written table they come from): pairs of a text of the batch and another, stored or of the batch, that bands and pivots do not keep apart.
 
         asked: marks of the batch's texts, `fresh` or stored already; old: the stored marks.
         """
@@ -355,4 +360,4 @@ class History:
         usual = full.where(F.col("c") <= near.TILE).withColumn("tile", F.lit(0).cast("long")).withColumn("block", F.lit(0))
         crowded = near.tiled(full.where(F.col("c") > near.TILE), near.TILE)
         columns = ["band", "cell", "tile", "block", "node", "n", "sketch", "new"]
-        return near.compared(usual.select(*columns).unionByName(crowded.select(*columns)), ["band", "cell"], pivots.Pivots)
+        return near.compared(usual.select(*columns).unionByName(crowded.select(*columns)), ["band", "cell"], pivots.Pivots), met
